@@ -16,14 +16,14 @@ r = 0.2 of 1 - Jaccard, which is a metric.
     same for all documents and the join exact - it only keeps passages that
     many documents share from becoming regions.
 3.  Inner regions.  A region of up to ``block`` points joins its points within
-    size windows.  A larger one takes some of its own points as pivots,
-    measures everybody's exact distance to these, and splits into their
-    Voronoi regions: x is replicated to pivot q if d(x, q) <= d(x, home) + 2r,
-    and points further than 0.5 from all pivots form a region of their own
-    with the ring (0.5 - r, 0.5] around it.  Points within r of q are linked to
-    q, so of these a region keeps only the ones that can reach a point beyond
-    (triangle inequality again).  Pivots leave, so regions shrink, and the
-    recursion ends.
+    size windows.  A larger one takes some of its own points as pivots and
+    measures everybody's exact distance to these.  A pivot's inner region is
+    what lies within r of it; all of that is linked through the pivot, so of
+    these points only the ones in the triangle-inequality window of a point
+    outside (``d(y, q) >= d(z, q) - r`` for some z) are replicated to the rest.
+    The rest and its windows are a region again, and so on while that shrinks
+    it; what doesn't shrink joins in blocks of bounded size, each pair of
+    blocks giving a spanning forest of its links, never its pairs.
 4.  Pairs are cut by an upper bound of the intersection from counts in 128
     hash classes, then the exact sizes decide.
 
@@ -36,6 +36,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,6 @@ from swarmlens.llm.wordhash import blocks, shingles, words
 
 CLASSES = 128
 RADIUS = 0.2
-FAR = 0.5
 
 
 def shingle_sets(texts, width: int = 5) -> Iterator[np.ndarray]:
@@ -119,10 +119,8 @@ class _Space:
         shared = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
         return both.withColumn("most", shared).where("100 * most >= 80 * (na + nb - most)").select("a", "b")
 
-    def measured(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, d, link) for distinct kept ``pairs`` of sids."""
-        scratch = self.scratch
-        needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    def sets(self, needed: DataFrame) -> DataFrame:
+        """(sid, set) of the sids in ``needed``."""
         # the documents to read again, as a bit array of fixed size; the join after it is exact
         names = self.points.join(needed, "sid").select(F.xxhash64("doc_id").alias("h"))
 
@@ -145,8 +143,24 @@ class _Space:
                             sets.append(s.view(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), _lists(sets, pa.int64())], names=["sid", "set"])
 
-        sets = self.docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "sid long, set array<long>")
-        sets = scratch.keep(sets.dropDuplicates(["sid"]), "sets")
+        found = self.docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "sid long, set array<long>")
+        return self.scratch.keep(found.dropDuplicates(["sid"]), "sets")
+
+    def blocks(self, members: DataFrame, shingles_in_block: int = 1 << 19) -> DataFrame:
+        """Links that connect what is linked within each region of ``members``, by pairs of bounded blocks."""
+        sets = self.sets(members.select("sid").distinct())
+        sized = members.join(self.points.select("sid", "n"), "sid")
+        many = sized.groupBy("region").agg(F.ceil(F.sum("n") / shingles_in_block).cast("int").alias("k"))
+        dealt = sized.join(many, "region").withColumn("i", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("k")).cast("int"))
+        dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        dealt = dealt.select("region", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "sid").join(sets, "sid")
+        found = dealt.groupBy("region", "i", "j").applyInPandas(_links_of_block, "a long, b long")
+        return self.scratch.keep(found, "block-links")
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, d, link) for distinct kept ``pairs`` of sids."""
+        scratch = self.scratch
+        sets = self.sets(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
         left = sets.toDF("a", "sa")
         right = sets.toDF("b", "sb")
         both = pairs.join(left, "a").join(right, "b")
@@ -163,10 +177,46 @@ class _Space:
 
 
 def _inner_pairs(members: DataFrame) -> DataFrame:
-    """Pairs within regions of bounded size, without those of two points that are linked to the region's pivot."""
-    left = members.select("region", F.col("sid").alias("a"), F.col("core").alias("core_a"))
-    right = members.select("region", F.col("sid").alias("b"), F.col("core").alias("core_b"))
-    return left.join(right, "region").where("a < b and not (core_a and core_b)").select("a", "b")
+    """Pairs within regions of bounded size, without those of two points of one pivot's inner region."""
+    left = members.select("region", F.col("sid").alias("a"), F.col("pivot").alias("pa"))
+    right = members.select("region", F.col("sid").alias("b"), F.col("pivot").alias("pb"))
+    return left.join(right, "region").where("a < b and not (pa <=> pb and pa is not null)").select("a", "b")
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric boolean matrix."""
+    todo = np.ones(len(linked), bool)
+    edges = []
+    for k in range(len(linked)):
+        if not todo[k]:
+            continue
+        todo[k] = False
+        queue = [k]
+        while queue:
+            x = queue.pop()
+            for y in np.flatnonzero(linked[x] & todo):
+                todo[y] = False
+                edges.append((x, y))
+                queue.append(y)
+    return edges
+
+
+def _links_of_block(group: pd.DataFrame) -> pd.DataFrame:
+    sets = list(group["set"])
+    n = np.array([len(s) for s in sets])
+    code, count = np.unique(np.concatenate(sets), return_counts=True)
+    code = code[count > 1]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    own = [np.searchsorted(code, s[np.isin(s, code)]) for s in map(np.asarray, sets)]
+    for start in range(0, len(code), 2048):
+        part = np.zeros((len(sets), 2048), np.float32)
+        for k, c in enumerate(own):
+            part[k, c[(c >= start) & (c < start + 2048)] - start] = 1
+        shared += part @ part.T
+    inter = shared.astype(np.int64)
+    edges = _forest(100 * inter >= 80 * (n[:, None] + n[None, :] - inter))
+    sid = group["sid"].to_numpy()
+    return pd.DataFrame({"a": [sid[x] for x, _ in edges], "b": [sid[y] for _, y in edges]}, dtype="int64")
 
 
 def jaccard_links(docs: DataFrame, scratch: Scratch, block: int = 32, pivots: int = 4, sketch_bits: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -186,24 +236,19 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, block: int = 32, pivots: in
     entries = points.select(F.explode("pivots").alias("region"), "sid")
     regions = entries.groupBy("region").agg(F.count("*").alias("size"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("size > 1")
     regions = scratch.keep(regions, "regions")
-    members = entries.join(regions.where("size > 2").select("region", "size"), "region").withColumn("core", F.lit(False))
+    members = entries.join(regions.where("size > 2").select("region", "size"), "region").withColumn("pivot", F.lit(None).cast("long"))
     members = scratch.keep(members, "members")
 
     pairs = regions.where("size = 2").select("a", "b").unionByName(_inner_pairs(members.where(F.col("size") <= block)))
     links = []
     large = members.where(F.col("size") > block)
-    spent: list[DataFrame] = [regions, members]
-    todo = []
     while not large.isEmpty():
-        inner, more, linked, used = _split(large, space, scratch, block, pivots)
+        members, linked = _split(large, space, scratch, pivots)
         links.append(linked)
-        todo.append(inner)
-        large, pivots = more, min(4 * pivots, 256)
-        spent += used
-    for more in todo:
-        pairs = pairs.unionByName(more)
+        pairs = pairs.unionByName(_inner_pairs(members.where(F.col("size") <= block)))
+        links.append(space.blocks(members.where((F.col("size") > block) & ~F.col("shrunk"))))
+        large = members.where((F.col("size") > block) & F.col("shrunk"))
     pairs = scratch.keep(space.possible(pairs.distinct()), "pairs")
-    scratch.drop(*spent)
     links.append(space.measured(pairs).where("link").select("a", "b"))
     found = links[0]
     for more in links[1:]:
@@ -211,31 +256,28 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, block: int = 32, pivots: in
     return rows.select("doc_id", "n", "sid"), found.distinct()
 
 
-def _split(large: DataFrame, space: _Space, scratch: Scratch, block: int, pivots: int):
-    """One level of the recursion: (pairs of regions small enough, members of the rest, links, tables used)."""
+def _split(large: DataFrame, space: _Space, scratch: Scratch, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """One level of the recursion: members (region, sid, size, pivot, shrunk) of what is left, and links to pivots."""
     chosen = large.groupBy("region", F.pmod("sid", F.lit(pivots)).alias("k")).agg(F.min("sid").alias("q")).select("region", "q")
     chosen = scratch.keep(chosen, "pivots")
-    star = large.join(chosen, "region").where("sid <> q").select("region", "sid", "q")
+    star = large.join(chosen, "region").where("sid <> q").select("region", "sid", "q", F.col("size").alias("was"))
     star = scratch.keep(star, "star")
-    pairs = scratch.keep(star.select(F.least("sid", "q").alias("a"), F.greatest("sid", "q").alias("b")).distinct(), "star-pairs")
-    distance = space.measured(pairs)
+    distance = space.measured(scratch.keep(star.select(F.least("sid", "q").alias("a"), F.greatest("sid", "q").alias("b")).distinct(), "star-pairs"))
     # pivots have met everybody in their region and leave it
     rest = star.join(chosen.select("region", F.col("q").alias("sid")), ["region", "sid"], "left_anti")
-    rest = rest.withColumn("a", F.least("sid", "q")).withColumn("b", F.greatest("sid", "q")).join(distance, ["a", "b"]).select("region", "sid", "q", "d")
-    home = rest.groupBy("region", "sid").agg(F.min("d").alias("home"))
-    rest = rest.join(home, ["region", "sid"])
-    near = rest.where((F.col("home") <= FAR) & (F.col("d") <= F.col("home") + 2 * RADIUS + 1e-9))
-    near = near.select(F.xxhash64("region", "q").alias("region"), "sid", "d", (F.col("d") <= RADIUS).alias("core"))
-    far = home.where(F.col("home") > FAR - RADIUS - 1e-9)
-    far = far.select(F.xxhash64("region", F.lit("far")).alias("region"), "sid", F.col("home").alias("d"), F.lit(False).alias("core"))
-    split = scratch.keep(near.unionByName(far), "split")
-    edge = split.where("not core").groupBy("region").agg(F.min("d").alias("outer"))
-    split_in = split.join(edge, "region").where(~F.col("core") | (F.col("d") >= F.col("outer") - RADIUS - 1e-9))
-    size = split_in.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
-    members = scratch.keep(split_in.join(size, "region").select("region", "sid", "size", "core"), "members")
-    scratch.drop(star, pairs, split)
-    inner = _inner_pairs(members.where(F.col("size") <= block))
-    return inner, members.where(F.col("size") > block), distance.where("link").select("a", "b"), [chosen, members]
+    rest = rest.withColumn("a", F.least("sid", "q")).withColumn("b", F.greatest("sid", "q")).join(distance, ["a", "b"])
+    near = F.when(F.col("link"), F.struct("d", "q"))
+    home = rest.groupBy("region", "sid").agg(F.min(near).alias("home"), F.max("was").alias("was"))
+    home = home.select("region", "sid", "was", F.col("home.q").alias("pivot"), F.col("home.d").alias("own"))
+    home = scratch.keep(home, "homes")
+    outside = rest.join(home.select("region", "sid", "pivot"), ["region", "sid"]).where("not (pivot <=> q)")
+    outer = outside.groupBy("region", F.col("q").alias("pivot")).agg(F.min("d").alias("outer"))
+    left = home.join(outer, ["region", "pivot"], "left").where((F.col("pivot").isNull()) | (F.col("own") >= F.col("outer") - RADIUS - 1e-9))
+    size = left.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
+    members = left.join(size, "region").select("region", "sid", "size", "pivot", (F.col("size") <= 0.7 * F.col("was")).alias("shrunk"))
+    members = scratch.keep(members, "members")
+    scratch.drop(star)
+    return members, distance.where("link").select("a", "b")
 
 
 def jaccard_classes(docs: DataFrame, scratch: Scratch | None = None, **settings) -> DataFrame:

@@ -37,12 +37,22 @@ def counted_bits(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        seen = False
+        held, held_size, seen = [], 0, False
+
+        def add():
+            nonlocal total
+            total += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=size)
+
         for batch in batches:
             for h in hashes(batch):
-                if len(h):
-                    seen = True
-                    total += np.bincount((h >> shift).astype(np.int64), minlength=size)
+                held.append(h)
+                held_size += len(h)
+                if held_size >= size:
+                    add()
+                    held, held_size, seen = [], 0, True
+        if held_size:
+            add()
+            seen = True
         if seen:
             short = np.minimum(total, 65535).astype("<u2").reshape(parts, -1)
             rows = [k for k in range(parts) if short[k].any()]
