@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -37,12 +38,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class MonoidBPE:
     """Encoder of byte strings for a table of ranks whose tokens encode to themselves."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 400_000):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.matches = regex.compile(pattern).findall
         self.remembered = remembered
         self._seams: dict[tuple[int, int], Tokens] = {}
+        self._parts: dict[bytes, Tokens] = {}
         self._matches = _Remembered(self)
 
     def merge(self, data: bytes) -> Tokens:
@@ -98,12 +100,19 @@ class MonoidBPE:
             window = self.merge(b"".join([of[t] for t in left[len(left) - i :]] + [of[t] for t in right[:j]]))
 
     def encode_piece(self, data: bytes) -> Tokens:
-        """The encoding of one match of the split pattern."""
-        rank = self.ranks.get(data)
-        if rank is not None:
-            return (rank,)
-        half = len(data) // 2
-        return self.join(self.encode_piece(data[:half]), self.encode_piece(data[half:]))
+        """The encoding of one match of the split pattern, or of a part of one."""
+        found = self._parts.get(data)
+        if found is None:
+            rank = self.ranks.get(data)
+            if rank is not None:
+                return (rank,)
+            half = len(data) // 2
+            found = self.join(self.encode_piece(data[:half]), self.encode_piece(data[half:]))
+            if len(data) <= 8:
+                if len(self._parts) >= self.remembered:
+                    self._parts.clear()
+                self._parts[data] = found
+        return found
 
     def encode(self, text: str) -> np.ndarray:
         """Identifiers of ``text`` (uint32)."""
@@ -128,7 +137,8 @@ class _Remembered(dict):
         self.bpe = bpe
 
     def __missing__(self, match: str) -> bytes:
-        found = np.array(self.bpe.encode_piece(match.encode()), "<u4").tobytes()
+        tokens = self.bpe.encode_piece(match.encode())
+        found = struct.pack(f"<{len(tokens)}I", *tokens)
         if len(match) <= 64:
             if len(self) >= self.bpe.remembered:
                 self.clear()

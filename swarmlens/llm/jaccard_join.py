@@ -24,7 +24,7 @@ r = 0.2 of 1 - Jaccard, which is a metric.
     The rest and its windows are a region again, and so on while that shrinks
     it; what doesn't shrink joins in blocks of bounded size, each pair of
     blocks giving a spanning forest of its links, never its pairs.
-4.  Pairs are cut by an upper bound of the intersection from counts in 128
+4.  Pairs are cut by an upper bound of the intersection from counts in 512
     hash classes, then the exact sizes decide.
 
 Links are pairs of points; components of them come from `components`.
@@ -46,7 +46,7 @@ from swarmlens.llm.scratch import Scratch
 from swarmlens.llm.sketch import counted_bits
 from swarmlens.llm.wordhash import blocks, shingles, words
 
-CLASSES = 128
+CLASSES = 512
 RADIUS = 0.2
 
 
@@ -94,13 +94,13 @@ def _points(docs: DataFrame, common: np.ndarray) -> DataFrame:
                     sid[-1] = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
                 late = common[(s >> shift).astype(np.int64)]
                 pivots.append(np.concatenate((s[~late], s[late]))[:window].view(np.int64))
-                classes.append(np.bincount((s % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES).astype(np.int32))
+                classes.append(np.bincount((s % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), _lists(pivots, pa.int64()), _lists(classes, pa.int32())],
+                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), _lists(pivots, pa.int64()), _lists([np.minimum(c, 32767).astype(np.int16) for c in classes], pa.int16())],
                 names=["doc_id", "n", "sid", "pivots", "classes"],
             )
 
-    schema = "doc_id long, n long, sid long, pivots array<long>, classes array<int>"
+    schema = "doc_id long, n long, sid long, pivots array<long>, classes array<short>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -116,8 +116,8 @@ class _Space:
         left = side.toDF("a", "na", "ca")
         right = side.toDF("b", "nb", "cb")
         both = pairs.join(left, "a").where("na is not null").join(right, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
-        shared = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        return both.withColumn("most", shared).where("100 * most >= 80 * (na + nb - most)").select("a", "b")
+        shared = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x.cast("int"))
+        return both.withColumn("most", shared).where("100 * most >= 80 * (na + nb - most) or least(na, nb) > 8000000").select("a", "b")
 
     def sets(self, needed: DataFrame) -> DataFrame:
         """(sid, set) of the sids in ``needed``."""
@@ -144,7 +144,7 @@ class _Space:
                     yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), _lists(sets, pa.int64())], names=["sid", "set"])
 
         found = self.docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "sid long, set array<long>")
-        return self.scratch.keep(found.dropDuplicates(["sid"]), "sets")
+        return self.scratch.keep(found, "sets")
 
     def blocks(self, members: DataFrame, shingles_in_block: int = 1 << 19) -> DataFrame:
         """Links that connect what is linked within each region of ``members``, by pairs of bounded blocks."""
@@ -231,12 +231,15 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, block: int = 32, pivots: in
     first = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "n")).alias("first")).select("sid", "first.doc_id")
     points = rows.join(first, [rows.sid == first.sid, rows.doc_id.eqNullSafe(first.doc_id)], "left_semi").dropDuplicates(["sid"])
     points = scratch.keep(points.select("sid", "doc_id", "n", "pivots", "classes"), "distinct-points")
+    ids = scratch.keep(rows.select("doc_id", "n", "sid"), "ids")
+    scratch.drop(rows)
     space = _Space(docs, points, scratch)
 
     entries = points.select(F.explode("pivots").alias("region"), "sid")
     regions = entries.groupBy("region").agg(F.count("*").alias("size"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("size > 1")
     regions = scratch.keep(regions, "regions")
-    members = entries.join(regions.where("size > 2").select("region", "size"), "region").withColumn("pivot", F.lit(None).cast("long"))
+    wide = regions.where("size > 2").select("region", "size")
+    members = _entries_of(points, wide).join(wide, "region").withColumn("pivot", F.lit(None).cast("long"))
     members = scratch.keep(members, "members")
 
     pairs = regions.where("size = 2").select("a", "b").unionByName(_inner_pairs(members.where(F.col("size") <= block)))
@@ -253,7 +256,27 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, block: int = 32, pivots: in
     found = links[0]
     for more in links[1:]:
         found = found.unionByName(more)
-    return rows.select("doc_id", "n", "sid"), found.distinct()
+    return ids, scratch.keep(found.distinct(), "links")
+
+
+def _entries_of(points: DataFrame, regions: DataFrame) -> DataFrame:
+    """(region, sid) of the points' pivots, less most of those that aren't in ``regions``."""
+
+    def codes(batch):
+        yield batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+
+    wanted = counted_bits(regions.select("region"), codes, lambda counts: 0, bits=22)
+    shift = np.uint64(64 - 22)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            region = lists.flatten().to_numpy(zero_copy_only=False)
+            sid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False))
+            pick = wanted[(region.view(np.uint64) >> shift).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(region[pick]), pa.array(sid[pick])], names=["region", "sid"])
+
+    return points.select("sid", "pivots").mapInArrow(run, "region long, sid long")
 
 
 def _split(large: DataFrame, space: _Space, scratch: Scratch, pivots: int) -> tuple[DataFrame, DataFrame]:
