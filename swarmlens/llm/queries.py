@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from swarmlens.llm import bpe, jaccard_join
+from swarmlens.llm import bpe, chat_format, jaccard_join, quality_crf
 
 
 def queries() -> dict:
     return {
         "op2_byte_bpe": bpe.op2,
+        "op5_quality_crf": quality_crf.op5,
+        "op6_chat_format": chat_format.op6,
         "op7_jaccard_join": jaccard_join.op7,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat_format": chat_format.OP6_SQL}

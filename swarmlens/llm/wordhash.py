@@ -60,11 +60,18 @@ class Words(NamedTuple):
     end: np.ndarray  # byte after its last
     offset: np.ndarray  # int64, number of texts + 1
     data: np.ndarray  # uint8, texts joined by a space
+    first: np.ndarray  # int64, byte of ``data`` where each text starts, and the end
+    total: np.ndarray  # uint64, running polynomial of ``data``
 
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offset) - 1), np.diff(self.offset))
 
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes of each span of ``data``."""
+        inverse = _power_tables(len(self.data) + 1)[1]
+        return mix((self.total[end] - self.total[start]) * inverse[start] + (end - start).astype(U64))
+
 
 def words(texts: Sequence[str | None], lower: bool = True) -> Words:
     """Hash every word of ``texts``; ``lower`` maps A-Z to a-z first."""
@@ -85,7 +92,7 @@ def words(texts: Sequence[str | None], lower: bool = True) -> Words:
     first = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) + 1 for r in raw], out=first[1:])
     offset = np.searchsorted(start, first)
-    return Words(code, start, end, offset, data)
+    return Words(code, start, end, offset, data, first, total)
 
 
 def blocks(texts: Sequence[str | None], block_bytes: int = 1 << 21) -> Iterator[tuple[int, int]]:
