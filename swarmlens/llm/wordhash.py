@@ -42,7 +42,7 @@ _LOWER[65:91] += 32
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
         for k, base in enumerate((_BASE, _BASE_INV)):
@@ -69,7 +69,7 @@ class Words(NamedTuple):
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the bytes of each span of ``data``."""
-        inverse = _power_tables(len(self.data) + 1)[1]
+        inverse = power_tables(len(self.data) + 1)[1]
         return mix((self.total[end] - self.total[start]) * inverse[start] + (end - start).astype(U64))
 
 
@@ -84,7 +84,7 @@ def words(texts: Sequence[str | None], lower: bool = True) -> Words:
     if len(data) and not blank[0]:
         edge = np.concatenate(([0], edge))
     start, end = edge[0::2], edge[1::2]
-    power, inverse = _power_tables(len(data) + 1)
+    power, inverse = power_tables(len(data) + 1)
     total = np.empty(len(data) + 1, U64)
     total[0] = 0
     np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
