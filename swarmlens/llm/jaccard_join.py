@@ -157,12 +157,16 @@ class _Space:
         found = dealt.groupBy("region", "i", "j").applyInPandas(_links_of_block, "a long, b long")
         return self.scratch.keep(found, "block-links")
 
-    def measured(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, d, link) for distinct kept ``pairs`` of sids."""
+    def measured(self, pairs: DataFrame, screen: bool = False) -> DataFrame:
+        """(a, b, d, link) for distinct kept ``pairs`` of sids; ``screen`` leaves out most pairs that don't link."""
         scratch = self.scratch
         sets = self.sets(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
-        left = sets.toDF("a", "sa")
-        right = sets.toDF("b", "sb")
+        full = sets
+        if screen:
+            pairs = scratch.keep(self._screened(pairs, sets), "screened-pairs")
+            full = _rows_of(sets, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "sid long, set array<long>")
+        left = full.toDF("a", "sa")
+        right = full.toDF("b", "sb")
         both = pairs.join(left, "a").join(right, "b")
         sized = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("i"))
         result = sized.select(
@@ -175,6 +179,20 @@ class _Space:
         scratch.drop(sets)
         return result
 
+    @staticmethod
+    def _screened(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs whose sets, cut to 16 bits a shingle, can still link.
+
+        Shingles that share their 16 bits are one code, so the intersection is
+        at most that of the codes and the lesser number of shingles cut away.
+        """
+        codes = F.array_distinct(F.transform("set", lambda x: F.shiftright(F.shiftleft(x, 48), 48).cast("short")))
+        short = sets.select("sid", F.size("set").alias("n"), codes.alias("codes"))
+        both = pairs.join(short.toDF("a", "na", "ca"), "a").join(short.toDF("b", "nb", "cb"), "b")
+        most = F.size(F.array_intersect("ca", "cb")) + F.least(F.col("na") - F.size("ca"), F.col("nb") - F.size("cb"))
+        both = both.select("a", "b", "na", "nb", F.least(most, "na", "nb").cast("long").alias("most"))
+        return both.where("100 * most >= 80 * (na + nb - most)").select("a", "b")
+
 
 def _inner_pairs(members: DataFrame) -> DataFrame:
     """Pairs within regions of bounded size, without those of two points of one pivot's inner region."""
@@ -252,13 +270,35 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, block: int = 32, pivots: in
         links.append(space.blocks(members.where((F.col("size") > block) & ~F.col("shrunk"))))
         large = members.where((F.col("size") > block) & F.col("shrunk"))
     pairs = scratch.keep(space.possible(pairs.distinct()), "pairs")
-    links.append(space.measured(pairs).where("link").select("a", "b"))
+    links.append(space.measured(pairs, screen=True).where("link").select("a", "b"))
     found = links[0]
     for more in links[1:]:
         found = found.unionByName(more)
     return ids, scratch.keep(found.distinct(), "links")
 
 
+def _hash_bits(ids: DataFrame, bits: int = 22) -> np.ndarray:
+    """A bit array of fixed size with the hashed values of the one column of ``ids``."""
+
+    def codes(batch):
+        yield batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+
+    return counted_bits(ids.select(F.xxhash64(ids.columns[0])), codes, lambda counts: 0, bits=bits)
+
+
+def _rows_of(table: DataFrame, ids: DataFrame, schema: str) -> DataFrame:
+    """The rows of ``table`` whose first column may be in ``ids``, by a bit array of fixed size."""
+    wanted = _hash_bits(ids)
+    shift = np.uint64(64 - 22)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.select(range(1, batch.num_columns)).filter(pa.array(wanted[(h >> shift).astype(np.int64)]))
+
+    return table.select(F.xxhash64(table.columns[0]), *table.columns).mapInArrow(run, schema)
+
+
 def _entries_of(points: DataFrame, regions: DataFrame) -> DataFrame:
     """(region, sid) of the points' pivots, less most of those that aren't in ``regions``."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -47,6 +48,8 @@ class Scratch:
             for folder in {os.path.dirname(f) for f in df.inputFiles()}:
                 if folder.replace("file:///", "file:/").startswith(self.base.replace("file:///", "file:/")):
                     self._delete(folder)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # shuffle files go once the driver forgets their plans
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
