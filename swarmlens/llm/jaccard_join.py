@@ -24,8 +24,9 @@ r = 0.2 of 1 - Jaccard, which is a metric.
     The rest and its windows are a region again, and so on while that shrinks
     it; what doesn't shrink joins in blocks of bounded size, each pair of
     blocks giving a spanning forest of its links, never its pairs.
-4.  Pairs are cut by an upper bound of the intersection from counts in 512
-    hash classes, then the exact sizes decide.
+4.  Pairs are cut by upper bounds of the intersection: from the number of
+    windows' shingles they have in common, from counts in 512 hash classes and
+    from 16 bits of every shingle.  Then the exact sizes decide.
 
 Links are pairs of points; components of them come from `components`.
 """
@@ -110,12 +111,22 @@ class _Space:
     def __init__(self, docs: DataFrame, points: DataFrame, scratch: Scratch):
         self.docs, self.points, self.scratch = docs, points, scratch
 
-    def possible(self, pairs: DataFrame) -> DataFrame:
-        """The (a, b) of ``pairs`` that sizes and class counts don't rule out."""
-        side = self.points.select("sid", "n", "classes")
-        left = side.toDF("a", "na", "ca")
-        right = side.toDF("b", "nb", "cb")
+    def possible(self, met: DataFrame, wide: DataFrame) -> DataFrame:
+        """The (a, b) of ``met`` that the windows they met in, sizes and class counts don't rule out.
+
+        ``met`` has a row for each region of bounded size that a pair met in,
+        ``wide`` the (sid, wide) number of larger regions of a point.  A common
+        shingle lies in both windows, so in a region where both are, or behind
+        the end of the window that ends first.
+        """
+        pairs = met.groupBy("a", "b").agg(F.count("*").alias("m"))
+        side = self.points.select("sid", "n", "classes").join(wide, "sid", "left").withColumn("wide", F.coalesce("wide", F.lit(0)))
+        left = side.toDF("a", "na", "ca", "wa")
+        right = side.toDF("b", "nb", "cb", "wb")
+        behind = lambda n: F.ceil(4 * F.col(n) / 5) - 1
+        bound = F.col("m") + F.least("wa", "wb") + F.greatest(behind("na"), behind("nb"))
         both = pairs.join(left, "a").where("na is not null").join(right, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
+        both = both.where(180 * bound >= 80 * (F.col("na") + F.col("nb")))
         shared = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x.cast("int"))
         return both.withColumn("most", shared).where("100 * most >= 80 * (na + nb - most) or least(na, nb) > 8000000").select("a", "b")
 
@@ -263,13 +274,14 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, block: int = 32, pivots: in
     pairs = regions.where("size = 2").select("a", "b").unionByName(_inner_pairs(members.where(F.col("size") <= block)))
     links = []
     large = members.where(F.col("size") > block)
+    wide_regions = scratch.keep(large.groupBy("sid").agg(F.count("*").alias("wide")), "wide")
     while not large.isEmpty():
         members, linked = _split(large, space, scratch, pivots)
         links.append(linked)
         pairs = pairs.unionByName(_inner_pairs(members.where(F.col("size") <= block)))
         links.append(space.blocks(members.where((F.col("size") > block) & ~F.col("shrunk"))))
         large = members.where((F.col("size") > block) & F.col("shrunk"))
-    pairs = scratch.keep(space.possible(pairs.distinct()), "pairs")
+    pairs = scratch.keep(space.possible(pairs, wide_regions), "pairs")
     links.append(space.measured(pairs, screen=True).where("link").select("a", "b"))
     found = links[0]
     for more in links[1:]:
