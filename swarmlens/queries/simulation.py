@@ -154,7 +154,7 @@ QUERIES = {
     "reddit_profiles": (
         lambda s, d: sinks.reddit_profiles(_profiles(s, d)).select("user_id", "username", "bio", "karma", "age", "gender", "mbti", "country"),
         f"""{G} SELECT agent_id AS user_id, lower(replace(name, '#', '_')) AS username, left('bio of' || chr(10) || name || ' ' || repeat('x', 140), 150) AS bio, 1000 AS karma,
-        CAST(CASE WHEN agent_id % 2 = 0 THEN agent_id % 60 + 10 ELSE 30 END AS INTEGER) AS age, CASE WHEN agent_id % 3 = 0 THEN 'male' ELSE 'other' END AS gender, CASE WHEN agent_id % 5 = 0 THEN 'INTJ' ELSE 'ISTJ' END AS mbti, 'China' AS country FROM agents""",
+        CAST(CASE WHEN agent_id % 2 = 0 THEN agent_id % 60 + 10 ELSE 30 END AS INTEGER) AS age, CASE WHEN agent_id % 3 = 0 THEN 'male' ELSE 'other' END AS gender, CASE WHEN agent_id % 5 = 0 THEN 'INTJ' ELSE 'ISTJ' END AS mbti, '中国' AS country FROM agents""",
     ),
     "twitter_profiles": (
         lambda s, d: sinks.twitter_profiles(_profiles(s, d)),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from swarmlens.functions import rules
 
 # What a profile has where nothing is known.
-DEFAULTS = {"karma": 1000, "age": 30, "mbti": "ISTJ", "country": "China"}
+DEFAULTS = {"karma": 1000, "age": 30, "mbti": "ISTJ", "country": "中国"}
 BIO_LENGTH = 150
 
 
