@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swarmlens.llm.components import connected
+from swarmlens.llm.rows import without
 from swarmlens.llm.scratch import Scratch
 from swarmlens.llm.sketch import counted_bits
 from swarmlens.llm.wordhash import blocks, shingles, words
@@ -374,11 +375,13 @@ def jaccard_classes(docs: DataFrame, scratch: Scratch | None = None, **settings)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are linked to one of a smaller doc_id."""
+    """``docs`` without the documents that are linked to one of a smaller doc_id.
+
+    Rows that repeat a doc_id stay or go together; a null doc_id stays.
+    """
     scratch = Scratch(docs.sparkSession, "jaccard")
     classes = scratch.keep(jaccard_classes(docs, scratch), "classes")
-    extra = classes.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, classes.where("component_id < doc_id").select("doc_id"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,8 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def codewords(n: int, bits: int = 0) -> np.ndarray:
     """(n, bits) codewords: all splits of the languages up to five of them, far-apart ones for more."""
+    if n < 2:
+        return np.zeros((n, 0), np.int8)
     if n <= 5:
         rows = [c for c in product((0, 1), repeat=n) if c[0] == 0 and any(c)]
         return np.array(rows, np.int8).reshape(len(rows), n).T

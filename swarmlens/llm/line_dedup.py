@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swarmlens.llm.rows import numbered
 from swarmlens.llm.scratch import Scratch
 from swarmlens.llm.sketch import counted_bits
 from swarmlens.llm.wordhash import blocks, mix, power_tables, words
@@ -231,13 +232,17 @@ def without_repeated_lines(docs: DataFrame, scratch: Scratch | None = None) -> D
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     _, dropped = dropped_lines(docs, scratch)
-    gone = dropped.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set("line").alias("_gone"))
-    rows = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_key"]), "left")
-    left = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("_gone", k))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    rows = rows.withColumn("_text", text).where(F.col("_gone").isNull() | F.col("_text").rlike("[^\\x20\\x09-\\x0D]"))
-    changed = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return rows.withColumns(changed).select(*docs.columns)
+    gone = dropped.groupBy("doc_id").agg(F.collect_set("line").alias("gone")).withColumnRenamed("doc_id", "key")
+    rows, place = numbered(docs)
+    text = F.col(place["text"])
+    rows = rows.join(gone, rows[place["doc_id"]].cast("long").eqNullSafe(gone["key"]), "left")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda line, k: ~F.array_contains("gone", k)), "\n")
+    rows = rows.withColumn("left", F.when(F.col("gone").isNull(), text).otherwise(left))
+    rows = rows.where(F.col("gone").isNull() | F.col("left").rlike("[^\\x20\\x09-\\x0D]"))
+    changed = {place["text"]: F.col("left")}
+    if "n_chars" in place:
+        changed[place["n_chars"]] = F.length("left").cast(dict(docs.dtypes)["n_chars"])
+    return rows.withColumns(changed).select(*place.values()).toDF(*docs.columns)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

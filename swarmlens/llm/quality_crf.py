@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swarmlens.llm.rows import without
 from swarmlens.llm.wordhash import Words, blocks, mix, windows, words
 
 U64 = np.uint64
@@ -264,10 +265,7 @@ def judged(docs: DataFrame, crf: ChainCRF, content_share: float = CONTENT_SHARE)
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep; a doc_id goes if any of its rows goes."""
-    gone = judged(docs, fit(docs, labels)).where("not kept").select("doc_id").distinct()
-    keyed = docs.withColumn("_key", F.col("doc_id").cast("long"))
-    gone = gone.withColumnRenamed("doc_id", "_key")
-    return keyed.join(gone, keyed["_key"].eqNullSafe(gone["_key"]), "left_anti").select(*docs.columns)
+    return without(docs, judged(docs, fit(docs, labels)).where("not kept").select("doc_id"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swarmlens.llm.rows import without
 from swarmlens.llm.wordhash import blocks, power_tables, windows, words
 
 SEED = 5  #: words of the shortest tile
@@ -177,9 +178,7 @@ def _against(docs: DataFrame, items: _Items, coverage: float, schema: str) -> Da
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates; a doc_id goes if any of its rows goes."""
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("_key")).distinct()
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    return keyed.join(gone, keyed["_id"].eqNullSafe(gone["_key"]), "left_anti").select(*docs.columns)
+    return without(docs, contaminated(docs, benchmark).select("doc_id"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
