@@ -17,7 +17,8 @@ r = 0.2 of 1 - Jaccard, which is a metric.
     many documents share from becoming regions.
 3.  Inner regions.  A region of up to ``block`` points joins its points within
     size windows.  A larger one takes some of its own points as pivots and
-    measures everybody's exact distance to these.  A pivot's inner region is
+    measures everybody's distance to these: exactly within r, by a lower bound
+    from class counts where that is beyond r.  A pivot's inner region is
     what lies within r of it; all of that is linked through the pivot, so of
     these points only the ones in the triangle-inequality window of a point
     outside (``d(y, q) >= d(z, q) - r`` for some z) are replicated to the rest.
@@ -131,6 +132,18 @@ class _Space:
         shared = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x.cast("int"))
         return both.withColumn("most", shared).where("100 * most >= 80 * (na + nb - most) or least(na, nb) > 8000000").select("a", "b")
 
+    def distances(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, d, link) for distinct kept ``pairs``; where sizes or class counts rule a link out, d is a lower bound."""
+        side = self.points.select("sid", "n", "classes")
+        both = pairs.join(side.toDF("a", "na", "ca"), "a").join(side.toDF("b", "nb", "cb"), "b")
+        shared = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x.cast("int"))
+        most = F.when(F.least("na", "nb") > 8000000, F.least("na", "nb")).otherwise(F.least(shared, "na", "nb"))
+        low = both.select("a", "b", (1 - most / (F.col("na") + F.col("nb") - most)).alias("low"))
+        low = self.scratch.keep(low, "bounds")
+        exact = self.measured(self.scratch.keep(low.where(F.col("low") <= RADIUS + 1e-9).select("a", "b"), "near-pivots"), screen=True)
+        known = low.join(exact, ["a", "b"], "left")
+        return self.scratch.keep(known.select("a", "b", F.coalesce("d", "low").alias("d"), F.coalesce("link", F.lit(False)).alias("link")), "pivot-distances")
+
     def sets(self, needed: DataFrame) -> DataFrame:
         """(sid, set) of the sids in ``needed``."""
         # the documents to read again, as a bit array of fixed size; the join after it is exact
@@ -338,7 +351,7 @@ def _split(large: DataFrame, space: _Space, scratch: Scratch, pivots: int) -> tu
     chosen = scratch.keep(chosen, "pivots")
     star = large.join(chosen, "region").where("sid <> q").select("region", "sid", "q", F.col("size").alias("was"))
     star = scratch.keep(star, "star")
-    distance = space.measured(scratch.keep(star.select(F.least("sid", "q").alias("a"), F.greatest("sid", "q").alias("b")).distinct(), "star-pairs"))
+    distance = space.distances(scratch.keep(star.select(F.least("sid", "q").alias("a"), F.greatest("sid", "q").alias("b")).distinct(), "star-pairs"))
     # pivots have met everybody in their region and leave it
     rest = star.join(chosen.select("region", F.col("q").alias("sid")), ["region", "sid"], "left_anti")
     rest = rest.withColumn("a", F.least("sid", "q")).withColumn("b", F.greatest("sid", "q")).join(distance, ["a", "b"])
