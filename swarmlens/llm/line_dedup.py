@@ -166,6 +166,9 @@ def dropped_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     def codes(batch):
         yield _occurrence(_ids(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False))
 
+    def hashes(batch):
+        yield batch.column(0).to_numpy(zero_copy_only=False).view(U64)
+
     wanted = counted_bits(near.select("doc_id", "line"), codes, lambda counts: 0, bits=BITS)
     shift = U64(64 - BITS)
 
@@ -198,7 +201,16 @@ def dropped_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     shorter = groups.where("line_at is not null and earliest < line_at").select("line_at.doc_id", "line_at.line")
     # lines with an earlier one in their group, or with an earlier line that lacks one word of them
     keys = groups.select("variant", "place", F.least("earliest", F.coalesce("line_at", "earliest")).alias("least"))
-    longer = variants.where("place >= 0").join(keys, ["variant", "place"]).where(F.struct("doc_id", "line") > F.col("least")).select("doc_id", "line")
+    # few variants are in a group: a bit array of fixed size drops most others before they are shuffled
+    marked = counted_bits(groups.select("variant"), hashes, lambda counts: 0, bits=BITS)
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
+            yield batch.filter(pa.array(marked[(h >> shift).astype(np.int64)]))
+
+    some = variants.mapInArrow(grouped, variants.schema)
+    longer = some.where("place >= 0").join(keys, ["variant", "place"]).where(F.struct("doc_id", "line") > F.col("least")).select("doc_id", "line")
     dropped = again.unionByName(shorter).unionByName(longer).distinct()
     return lines.select("doc_id", "line"), scratch.keep(dropped, "dropped")
 
