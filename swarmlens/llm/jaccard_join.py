@@ -295,7 +295,9 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, block: int = 32, pivots: in
         pairs = pairs.unionByName(_inner_pairs(members.where(F.col("size") <= block)))
         links.append(space.blocks(members.where((F.col("size") > block) & ~F.col("shrunk"))))
         large = members.where((F.col("size") > block) & F.col("shrunk"))
-    pairs = scratch.keep(space.possible(pairs, wide_regions), "pairs")
+    done = pairs
+    pairs = scratch.keep(space.possible(done, wide_regions), "pairs")
+    scratch.drop(done, members, regions, wide_regions)
     links.append(space.measured(pairs, screen=True).where("link").select("a", "b"))
     found = links[0]
     for more in links[1:]:

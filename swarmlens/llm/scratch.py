@@ -41,6 +41,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
+        self.sweep()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:
@@ -48,8 +49,12 @@ class Scratch:
             for folder in {os.path.dirname(f) for f in df.inputFiles()}:
                 if folder.replace("file:///", "file:/").startswith(self.base.replace("file:///", "file:/")):
                     self._delete(folder)
+        self.sweep()
+
+    def sweep(self) -> None:
+        """Let the shuffle files of finished steps go: Spark deletes them once the driver forgets their plans."""
         gc.collect()
-        self.spark.sparkContext._jvm.System.gc()  # shuffle files go once the driver forgets their plans
+        self.spark.sparkContext._jvm.System.gc()
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
