@@ -11,10 +11,10 @@ whole paragraph in every text.
     minimum for each of ROWS * BANDS hash functions.  At a Jaccard similarity
     of 0.8 two bands of two rows collide in 0.87 of pairs; of equal paragraphs
     all do.
-2.  Paragraphs that collide in a band meet at the band's first paragraph (a
-    min-aggregation, combined before the shuffle), never in pairs.  Those with
-    its hash are equal; the different ones are read again and their exact
-    Jaccard similarity to it decides at 0.8.
+2.  The different paragraphs that collide in a band are read again and meet in
+    the band's cell, where the exact Jaccard similarity of every two of them
+    decides at 0.8.  A cell sends on one row for each paragraph: a link to its
+    component and the earliest paragraph near it.
 3.  Paragraphs of a text that overlap form a run, and runs are linked to their
     paragraphs, these to the ones they are alike.  Components of these links
     are the passages; in each the earliest run stays, the others are to be
@@ -24,6 +24,7 @@ whole paragraph in every text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +96,7 @@ class Paragraphs:
         return out
 
     def shingles(self, k: int) -> np.ndarray:
-        return np.unique(self.shingle[self.start[k] : self.start[k] + PARAGRAPH - SHINGLE + 1])
+        return self.shingle[self.start[k] : self.start[k] + PARAGRAPH - SHINGLE + 1]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -126,13 +127,9 @@ def _hashed(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).view(U64)
 
 
-def _jaccard_links(docs: DataFrame, places: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The (a, b) of ``pairs`` of paragraph hashes whose exact Jaccard similarity is 0.8 or more.
-
-    ``places`` has the (doc_id, hash) of paragraphs; each is read again from one document that has it.
-    """
-    needed = pairs.select(F.col("a").alias("hash")).union(pairs.select("b")).distinct()
-    held = places.join(needed, "hash").groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
+def _paragraph_sets(docs: DataFrame, places: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(hash, shingles) of the paragraphs of ``rows``, the shingles in their order; each is read again from one document that has it."""
+    held = places.join(rows.select("hash").distinct(), "hash").groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
     held = scratch.keep(held, "needed")
 
     def codes(batch):
@@ -152,14 +149,159 @@ def _jaccard_links(docs: DataFrame, places: DataFrame, pairs: DataFrame, scratch
             for a, b in blocks(texts):
                 p = Paragraphs(texts[a:b])
                 found = np.flatnonzero(wanted[(mix(p.hash) >> shift).astype(np.int64)])
-                sets = [p.shingles(k).view(np.int64) for k in found]
-                yield pa.RecordBatch.from_arrays([pa.array(p.hash[found].view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["h", "set"])
+                lists = [p.shingles(k).tobytes() for k in found]
+                yield pa.RecordBatch.from_arrays([pa.array(p.hash[found].view(np.int64)), pa.array(lists, pa.binary())], names=["hash", "shingles"])
+
+    found = docs.select("doc_id", "text").mapInArrow(run, "hash long, shingles binary")
+    return scratch.keep(found.dropDuplicates(["hash"]), "paragraph-sets")
+
+
+def _components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least of 0..n-1 that each reaches by the links (i, j)."""
+    root = np.arange(n)
+    while True:
+        a, b = root[i], root[j]
+        if (a == b).all():
+            return root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _overlaps(code: np.ndarray, start: int, n: int, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, j, shared) of every two rows i <> j of the cell of ``n`` rows at ``start`` that share an element, by products of incidence matrices."""
+    cell = code[start : start + n]
+    _, where, times = np.unique(cell, return_inverse=True, return_counts=True)
+    where = where.reshape(cell.shape)
+    often = (times > 1)[where] & (cell >= 0)
+    row = np.repeat(np.arange(n), often.sum(1))
+    _, column = np.unique(where[often], return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width, step = int(column[-1]) + 1 if len(column) else 0, max(1, most // n)
+    for at in range(0, n, step):
+        shared = np.zeros((min(step, n - at), n), np.float32)
+        for c in range(0, width, step):
+            part = slice(*np.searchsorted(column, (c, c + step)))
+            held = np.zeros((n, min(step, width - c)), np.float32)
+            held[row[part], column[part] - c] = 1
+            shared += held[at : at + step] @ held.T
+        i, j = np.nonzero(shared)
+        count = shared[i, j].astype(np.int64)
+        i = i + at
+        yield i[i != j] + start, j[i != j] + start, count[i != j]
+
+
+def _pairs(code: np.ndarray, start: np.ndarray, n: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, j, shared) of every two rows i <> j of small cells, by comparing them."""
+    left = np.concatenate([np.arange(a, a + k) for a, k in zip(start, n)]) if len(start) else np.zeros(0, np.int64)
+    first, count = np.repeat(start, n), np.repeat(n, n)
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(left):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + min(most, 1 << 14), "right")))
+        i = np.repeat(left[at:end], count[at:end])
+        j = np.repeat(first[at:end] - (ends[at:end] - count[at:end]), count[at:end]) + np.arange(len(i)) + (ends[at - 1] if at else 0)
+        at = end
+        i, j = i[i < j], j[i < j]
+        a, b = code[i], code[j]
+        shared = np.zeros(len(i), np.int64)
+        for k in range(code.shape[1]):
+            shared += ((a[:, k : k + 1] == b).any(1)) & (a[:, k] >= 0)
+        yield np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((shared, shared))
+
+
+def near_in_cells(cell: np.ndarray, shingle: np.ndarray, first: np.ndarray, last: np.ndarray, most: int = 1 << 22, small: int = 48) -> tuple[np.ndarray, ...]:
+    """(row, root, partner, from, to) of the rows that a row of their cell is near to; the rows of a cell come together.
+
+    Every two rows of a cell are decided by the exact Jaccard similarity of
+    their shingles, and links of two places of one text that overlap do not
+    count.  ``first`` and ``last`` are the (doc, start) of a row's earliest and
+    last place.  ``root`` names the row's component; ``partner`` is the row
+    nearest the beginning that it is near to, or itself, and from and to bound
+    the words that both have.  ``most`` bounds the overlaps held at once; cells
+    of up to ``small`` rows are compared directly.
+    """
+    n, width = shingle.shape
+    code = np.unique(shingle, return_inverse=True)[1].reshape(n, width).astype(np.int32)
+    ordered = np.sort(code, 1)
+    if (ordered[:, 1:] == ordered[:, :-1]).any():  # a shingle counts once
+        rank = np.argsort(code, 1, kind="stable")
+        again = np.zeros((n, width), bool)
+        np.put_along_axis(again, rank[:, 1:], ordered[:, 1:] == ordered[:, :-1], 1)
+        code = np.where(again, -1, code)
+    size = (code >= 0).sum(1)
+    place = np.unique(first, axis=0, return_inverse=True)[1].ravel()
+    best, partner = place.copy(), np.arange(n)
+    start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    length = np.diff(start, append=n)
+    few = length <= small
+    lefts, rights, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for i, j, shared in chain(_pairs(code, start[few], length[few], most), *(_overlaps(code, int(a), int(k), most) for a, k in zip(start[~few], length[~few]))):
+        near = 100 * shared >= 80 * (size[i] + size[j] - shared)
+        i, j = i[near], j[near]
+        early = np.where((place[i] <= place[j])[:, None], first[i], first[j])
+        swap = (last[i, 0] > last[j, 0]) | ((last[i, 0] == last[j, 0]) & (last[i, 1] > last[j, 1]))
+        late = np.where(swap[:, None], last[i], last[j])
+        apart = (early[:, 0] != late[:, 0]) | (late[:, 1] - early[:, 1] >= PARAGRAPH)
+        i, j = i[apart], j[apart]
+        order = np.lexsort((place[j], i))
+        i, j = i[order], j[order]
+        top = np.flatnonzero(np.diff(i, prepend=-1))  # each row's earliest partner
+        top = top[place[j[top]] < best[i[top]]]
+        partner[i[top]], best[i[top]] = j[top], place[j[top]]
+        lefts.append(i)
+        rights.append(j)
+        held += len(i)
+        if held > most:  # fewer links of the same components
+            i = np.unique(np.concatenate(lefts))
+            root = _components(n, np.concatenate(lefts), np.concatenate(rights))
+            lefts, rights, held = [i], [root[i]], 0
+    i, j = np.concatenate(lefts), np.concatenate(rights)
+    root = _components(n, i, j)
+    linked = np.unique(np.concatenate((i, j)))
+    both = np.zeros((len(linked), width), bool)
+    for k in range(width):
+        both |= shingle[linked] == shingle[partner[linked], k][:, None]
+    return linked, root[linked], partner[linked], both.argmax(1), width - both[:, ::-1].argmax(1) + SHINGLE - 1
+
+
+def _near(members: DataFrame) -> DataFrame:
+    """(a, b, doc, start, lo, hi) of ``members`` (band, hash, shingles, d0, s0, d1, s1) that another of their cell is near to.
+
+    ``b`` links a's component; (doc, start) is the earliest place of the
+    paragraphs near a, and lo to hi are a's words from the first to the last that it has too.
+    """
 
-    sets = docs.select("doc_id", "text").mapInArrow(run, "h long, set array<long>")
-    sets = scratch.keep(sets.dropDuplicates(["h"]), "paragraph-sets")
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * shared >= 80 * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    def decide(table: pa.Table) -> pa.RecordBatch:
+        column = {k: table.column(k).combine_chunks() for k in table.column_names}
+        number = {k: column[k].to_numpy(zero_copy_only=False).astype(np.int64) for k in column if k != "shingles"}
+        shingle = np.frombuffer(b"".join(column["shingles"].to_pylist()), U64).reshape(table.num_rows, -1)
+        ends = [np.stack((number[f"d{k}"], number[f"s{k}"]), 1) for k in (0, 1)]
+        row, root, partner, lo, hi = near_in_cells(number["band"], shingle, *ends)
+        out = [number["hash"][row], number["hash"][root], *ends[0][partner].T, lo, hi]
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), t) for x, t in zip(out, kinds)], names=["a", "b", "doc", "start", "lo", "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = []  # cells come one after the other, the last one may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            band = batch.column(0).to_numpy()
+            change = np.flatnonzero(np.diff(band))
+            cut = int(change[-1]) + 1 if len(change) else 0
+            if kept and not cut and kept[-1].column(0)[-1].as_py() != band[0]:
+                yield decide(pa.Table.from_batches(kept))
+                kept = []
+            if cut:
+                yield decide(pa.Table.from_batches([*kept, batch.slice(0, cut)]))
+                kept = []
+            kept.append(batch.slice(cut))
+        if kept:
+            yield decide(pa.Table.from_batches(kept))
+
+    return members.repartition("band").sortWithinPartitions("band").mapInArrow(run, "a long, b long, doc long, start int, lo int, hi int")
 
 
 def repeated_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -195,20 +337,21 @@ def repeated_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
             yield batch.filter(pa.array(hit))
 
     some = scratch.keep(signatures.mapInArrow(shared, signatures.schema), "shared-signatures")
-    rows = some.select("hash", values).distinct().join(cells, "band", "left_semi")
-    first = rows.groupBy("band").agg(F.min("hash").alias("a"), F.max("hash").alias("z")).where("a <> z").select("band", "a")
-    met = rows.join(first, "band").where("hash <> a").select("a", F.col("hash").alias("b")).distinct()
-    met = scratch.keep(met, "met")
     scratch.drop(signatures)
-    near = scratch.keep(_jaccard_links(docs, some, met, scratch), "near")
+    at = F.struct(doc.alias("doc"), "start")
+    many = some.groupBy("hash").agg(F.min(at).alias("x"), F.max(at).alias("y"))
+    many = scratch.keep(many, "extremes")
+    rows = some.select("hash", values).distinct().join(cells, "band", "left_semi")
+    crowded = rows.groupBy("band").agg(F.min("hash").alias("a"), F.max("hash").alias("z")).where("a <> z").select("band")
+    rows = scratch.keep(rows.join(crowded, "band", "left_semi"), "colliding")
+    sets = _paragraph_sets(docs, some, rows, scratch)
+    about = sets.join(many, "hash").select("hash", "shingles", F.col("x.doc").alias("d0"), F.col("x.start").alias("s0"), F.col("y.doc").alias("d1"), F.col("y.start").alias("s1"))
+    near = scratch.keep(_near(rows.join(about, "hash").select("band", *about.columns)), "near")
+    scratch.drop(rows, sets)
 
     # paragraphs that another place has too, as they are or nearly
-    many = some.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("x"), F.max(F.struct("doc_id", "start")).alias("y"))
-    many = scratch.keep(many, "extremes")
-    apart = f"not (x.doc_id <=> y.doc_id) or y.start - x.start >= {PARAGRAPH}"
-    ends = near.join(many.toDF("a", "xa", "ya"), "a").join(many.toDF("b", "xb", "yb"), "b")
-    near = ends.withColumns({"x": F.least("xa", "xb"), "y": F.greatest("ya", "yb")}).where(apart).select("a", "b")
-    near = scratch.keep(near, "near-apart")
+    near = near.select("a", "b")
+    apart = f"x.doc <> y.doc or y.start - x.start >= {PARAGRAPH}"
     alike = many.where(apart).select("hash").union(near.select("a")).union(near.select("b")).distinct()
     alike = scratch.keep(some.select("doc_id", "start", "hash").join(alike, "hash").distinct(), "places")
     # a run is a chain of overlapping paragraphs of one text

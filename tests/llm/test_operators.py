@@ -340,6 +340,25 @@ def test_substring_dedup(spark):
     assert {frozenset(x["doc_id"] for x in got if x["passage"] == r["passage"]) for r in got} == {frozenset({3, 7, 21}), frozenset({5, 200, 201})}
 
 
+def test_every_two_paragraphs_of_a_cell_are_decided():
+    rng = np.random.default_rng(3)
+    size = substring_dedup.PARAGRAPH - substring_dedup.SHINGLE + 1
+    base = rng.integers(1, 1 << 62, (6, size)).astype(np.uint64)
+    rows = base[np.arange(90) % 6].copy()
+    for k in range(90):
+        rows[k, rng.integers(0, size, rng.integers(0, 5))] = rng.integers(1, 1 << 62)
+    cell = np.repeat([4, 9], 45)
+    place = np.stack((rng.permutation(90), np.zeros(90, np.int64)), 1)
+    sets = [set(r.tolist()) for r in rows]
+    links = [(a, b) for a in range(90) for b in range(90) if a != b and cell[a] == cell[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    expected = roots(range(90), [e for e in links if e[0] < e[1]])
+    for most, small in ((1, 99), (500, 99), (1, 0), (500, 0), (1 << 22, 0)):
+        row, root, partner, _, _ = substring_dedup.near_in_cells(cell, rows, place, place, most, small)
+        assert set(row.tolist()) == {a for a, _ in links}
+        assert [expected[a] for a in row.tolist()] == root.tolist()
+        assert partner.tolist() == [min((b for b in [a, *(y for x, y in links if x == a)]), key=lambda b: place[b, 0]) for a in row.tolist()]
+
+
 def test_chat_format(spark):
     rows = [(1, 0, "user", "a<|im_end|>\n<|x"), (1, 1, "us\\n\ner", "<\\|im_sep|><"), (1, 1, "us\\n\ner", ""), (1, 2, None, None), (2, 5, "assistant", "x|<\\\\|\\"), (2, 6, "assistant", "y"), (None, 1, "user", "\n")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
