@@ -15,10 +15,11 @@ whole paragraph in every text.
     the band's cell, where the exact Jaccard similarity of every two of them
     decides at 0.8.  A cell sends on one row for each paragraph: a link to its
     component and the earliest paragraph near it.
-3.  Paragraphs of a text that overlap form a run, and runs are linked to their
-    paragraphs, these to the ones they are alike.  Components of these links
-    are the passages; in each the earliest run stays, the others are to be
-    removed.
+3.  Each place of a paragraph is kept or removed for itself: it is removed if
+    an earlier place has the paragraph or one near it, so that every word that
+    is removed for an equal one has a copy that stays.  Removed paragraphs of
+    a text are merged into spans.  Paragraphs of a text that overlap form a
+    run; runs and paragraphs that are alike are components, the passages.
 """
 
 from __future__ import annotations
@@ -308,7 +309,10 @@ def repeated_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     """(doc_id, passage, start_word, end_word, n_words, remove) of every passage that two places share.
 
     ``passage`` names the component, words are counted from 0 and end_word is
-    the one after the last.  The place of the least (doc_id, start) stays.
+    the one after the last.  A paragraph is to be removed if an earlier place,
+    by (doc_id, start), has it or one near it; the removed paragraphs of a
+    text are merged, and what is left of its runs is listed with ``remove``
+    false.  The spans of a text do not overlap.
     Null texts and texts of fewer than 36 words have no paragraph; repeated
     rows of a doc_id share its places; an empty table gives no rows; other
     columns are not looked at.
@@ -350,28 +354,36 @@ def repeated_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     scratch.drop(rows, sets)
 
     # paragraphs that another place has too, as they are or nearly
-    near = near.select("a", "b")
     apart = f"x.doc <> y.doc or y.start - x.start >= {PARAGRAPH}"
-    alike = many.where(apart).select("hash").union(near.select("a")).union(near.select("b")).distinct()
-    alike = scratch.keep(some.select("doc_id", "start", "hash").join(alike, "hash").distinct(), "places")
+    earliest = near.groupBy(F.col("a").alias("hash")).agg(F.min(F.struct("doc", "start", "lo", "hi")).alias("m"))
+    alike = many.join(earliest, "hash", "left").where(f"m is not null or {apart}").select("hash", "x", "m")
+    places = some.select("doc_id", "start", "hash").distinct().join(alike, "hash")
+    before = lambda p: (F.col(f"{p}.doc") < doc) | ((F.col(f"{p}.doc") == doc) & (F.col("start") - F.col(f"{p}.start") >= PARAGRAPH))
+    equal, close = before("x"), F.coalesce(before("m"), F.lit(False))
+    lo, hi = F.when(equal | ~close, 0).otherwise(F.col("m.lo")), F.when(equal | ~close, PARAGRAPH).otherwise(F.col("m.hi"))
+    places = places.select("doc_id", "start", "hash", (equal | close).alias("gone"), (F.col("start") + lo).alias("s"), (F.col("start") + hi).alias("e"))
     # a run is a chain of overlapping paragraphs of one text
     in_text = Window.partitionBy("doc_id").orderBy("start")
     fresh = F.when(F.col("start") < F.lag("start").over(in_text) + PARAGRAPH, 0).otherwise(1)
-    runs = alike.withColumn("fresh", fresh).withColumn("n", F.sum("fresh").over(in_text))
-    runs = scratch.keep(runs.select("doc_id", "start", "hash", F.xxhash64("doc_id", "n").alias("run")), "runs")
+    runs = places.withColumn("fresh", fresh).withColumn("n", F.sum("fresh").over(in_text))
+    runs = scratch.keep(runs.withColumn("run", F.xxhash64("doc_id", "n")).drop("fresh", "n"), "runs")
     held = runs.select(F.col("run").alias("a"), F.col("hash").alias("b"))
-    roots = connected(near.unionByName(held), scratch).toDF("run", "passage")
-    spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start_word"), (F.max("start") + PARAGRAPH).alias("end_word"))
+    roots = connected(near.select("a", "b").unionByName(held), scratch).toDF("run", "passage")
+    # removed paragraphs that touch are one cut of their run
+    in_run = Window.partitionBy("run").orderBy("s", "start")
+    reached = F.max(F.when(F.col("gone"), F.col("e"))).over(in_run.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.when(F.col("gone") & F.coalesce(F.col("s") > reached, F.lit(True)), 1).otherwise(0)
+    parts = runs.withColumn("cut", cut).withColumn("cut", F.when(F.col("gone"), F.sum("cut").over(in_run.rowsBetween(Window.unboundedPreceding, 0))))
+    parts = parts.groupBy("doc_id", "run", "cut").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    cuts = F.sort_array(F.collect_list(F.when(F.col("cut").isNotNull(), F.struct("s", "e"))))
+    spans = parts.groupBy("doc_id", "run").agg(F.min("s").alias("first"), F.max("e").alias("end"), F.bool_or(F.col("cut").isNull()).alias("stays"), cuts.alias("cuts"))
+    bounds = F.concat(F.array(F.struct(F.col("first").alias("s"), F.col("first").alias("e"))), "cuts", F.array(F.struct(F.col("end").alias("s"), F.col("end").alias("e"))))
+    left = F.expr("transform(if(stays, sequence(0, size(bounds) - 2), array()), i -> struct(bounds[i].e as start_word, bounds[i + 1].s as end_word, false as remove))")
+    removed = F.expr("transform(cuts, c -> struct(c.s as start_word, c.e as end_word, true as remove))")
+    spans = spans.withColumn("bounds", bounds)
+    spans = spans.select("doc_id", "run", F.inline(F.concat(left, removed))).where("start_word < end_word")
     spans = spans.join(roots, "run", "left").withColumn("passage", F.coalesce("passage", "run"))
-    least = spans.groupBy("passage").agg(F.min(F.struct("doc_id", "start_word")).alias("least"))
-    return spans.join(least, "passage").select(
-        "doc_id",
-        "passage",
-        "start_word",
-        "end_word",
-        (F.col("end_word") - F.col("start_word")).alias("n_words"),
-        (~(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("start_word") == F.col("least.start_word")))).alias("remove"),
-    )
+    return spans.select("doc_id", "passage", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "remove")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -340,6 +340,31 @@ def test_substring_dedup(spark):
     assert {frozenset(x["doc_id"] for x in got if x["passage"] == r["passage"]) for r in got} == {frozenset({3, 7, 21}), frozenset({5, 200, 201})}
 
 
+def op10_words(rows, got):
+    """Words that stay of each text, and a check that its spans do not overlap."""
+    left = {i: list(words(lower(t or ""))) for i, t in rows}
+    for i in left:
+        taken = sorted((r["start_word"], r["end_word"]) for r in got if r["doc_id"] == i)
+        assert all(a[1] <= b[0] for a, b in zip(taken, taken[1:]))
+    for r in got:
+        if r["remove"]:
+            left[r["doc_id"]][r["start_word"] : r["end_word"]] = [None] * r["n_words"]
+    return {i: [x for x in w if x] for i, w in left.items()}
+
+
+def test_substring_dedup_leaves_one_copy_of_every_word(spark):
+    rng = random.Random(11)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    shared, own, second = text(60), text(150), text(60)
+    copy = " ".join(own[:70] + shared + own[70:])
+    rows = [(5, " ".join(text(40) + shared + text(40))), (20, copy), (30, copy), (40, " ".join(text(30) + shared + second)), (50, " ".join(second)), (60, " ".join(text(60) * 3))]
+    left = op10_words(rows, substring_dedup.repeated_passages(table(spark, rows)).collect())
+    assert {x for w in left.values() for x in w} == {x for _, t in rows for x in words(t)}
+    # the copy's own text stays once, the shared passage in the first text, the back to back one about once
+    assert set(own) <= set(left[20]) and len(left[30]) < 60 and len(left[60]) < 100
+    assert sum(w.count(shared[30]) for w in left.values()) == 1
+
+
 def test_every_two_paragraphs_of_a_cell_are_decided():
     rng = np.random.default_rng(3)
     size = substring_dedup.PARAGRAPH - substring_dedup.SHINGLE + 1
