@@ -384,6 +384,21 @@ def test_every_two_paragraphs_of_a_cell_are_decided():
         assert partner.tolist() == [min((b for b in [a, *(y for x, y in links if x == a)]), key=lambda b: place[b, 0]) for a in row.tolist()]
 
 
+def test_bands_meet_nearly_all_paragraphs_alike_at_the_threshold():
+    rng = random.Random(12)
+    size = substring_dedup.PARAGRAPH
+    met, pairs = 0, 800
+    for _ in range(pairs):
+        # three words replaced at an end leave 29 of 35 shingles
+        own = [f"w{rng.randrange(10**9)}" for _ in range(size + 60)]
+        other = own[:size + 57] + [f"w{rng.randrange(10**9)}" for _ in range(3)]
+        p = substring_dedup.Paragraphs([" ".join(own), " ".join(other)])
+        p.start = np.array([60, p.offset[1] + 60])
+        a, b = p.bands()
+        met += bool((a == b).any())
+    assert met >= 0.985 * pairs
+
+
 def test_chat_format(spark):
     rows = [(1, 0, "user", "a<|im_end|>\n<|x"), (1, 1, "us\\n\ner", "<\\|im_sep|><"), (1, 1, "us\\n\ner", ""), (1, 2, None, None), (2, 5, "assistant", "x|<\\\\|\\"), (2, 6, "assistant", "y"), (None, 1, "user", "\n")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
