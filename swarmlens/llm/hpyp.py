@@ -1,23 +1,25 @@
 """LM scoring (8): a hierarchical Pitman-Yor model over all training tokens.
 
-The restaurants: one for each context, which is the last byte of the word
-before (or the start of a text), and their shared parent, the restaurant of
-words without context, whose base is uniform over the known words and one for
-all unknown ones.  A word's customers in a context sit at tables; each table
-is a customer of the parent.
-
-Training counts (word, context) types; they are split by word hash into
-buckets, so that a word's customers in all contexts and in the parent meet in
-one bucket.  A Gibbs sweep takes every type's customers out and seats them one
-by one by the Chinese restaurant process, given the parent's probability of
-the word and how many tables each context has, both as the last sweep left
-them; the few numbers all buckets share (tables of each context, customers and
-tables of the parent) are added up between sweeps.  After a burn-in the
-predictive probabilities of the samples are averaged.
-
-Scoring: a block of texts asks each bucket for the types it holds, gets their
-averaged probabilities and training counts in the order it asked, and adds
-them up for its texts.  Keys travel as compressed arrays, one row for each
+The restaurants: one for each previous word (or the start of a text), whose
+parent is that of the word's last byte, whose parent is the restaurant of words
+without context, whose base is uniform over the known words and one for all
+unknown ones.  A word's customers in a context sit at tables; each table is a
+customer of the parent.  The contexts grow with the corpus.
+
+Training counts (word, previous word) pairs; they are split by word hash into
+buckets, so that a word's customers in all contexts and in their parents meet in
+one bucket.  What a context has over all words is added up in other buckets, by
+context, and sent back to the buckets that asked.  A Gibbs sweep takes every
+pair's customers out and seats them one by one by the Chinese restaurant
+process, given the parent's probability of the word and how many tables each
+context has, both as the last sweep left them; then the tables' customers in the
+parents likewise.  After a burn-in the predictive probabilities of the samples
+are averaged.
+
+Scoring: a block of texts asks each bucket of words for the pairs it holds and
+each bucket of contexts for its contexts, gets customers, tables, the parents'
+probabilities and training counts in the order it asked, and adds up the
+averaged predictions for its texts.  Keys travel as compressed arrays, one row for each
 block and bucket.  Words are 56-bit hashes.
 """
 
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swarmlens.llm.scratch import Scratch
-from swarmlens.llm.wordhash import blocks, words
+from swarmlens.llm.wordhash import blocks, mix, words
 
 U64 = np.uint64
 END = U64(0xE5D0_0000_0000_0000 | 0x17 << 8)  # the word hash of the end of a text
@@ -87,6 +89,34 @@ def types_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out | last, offset
 
 
+def pairs_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, previous word, offset): the keys of ``types_of``, and the hash of the word before, 0 at the start of a text."""
+    key, offset = types_of(texts)
+    before = np.concatenate((key[:1], key[:-1])) & ~U64(0xFF)
+    before[offset[:-1]] = 0
+    return key, before, offset
+
+
+def pair_code(key: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return mix(key + mix(before + U64(1)))
+
+
+def _unique_pairs(texts: list) -> tuple[np.ndarray, ...]:
+    """(key, previous word, count) of the pairs of ``texts``, by key and previous word."""
+    found = []
+    for _, key, before, _ in _pairs_in_parts(texts):
+        _, at, n = np.unique(pair_code(key, before), return_index=True, return_counts=True)
+        found.append((key[at], before[at], n))
+    return _merged(*map(np.concatenate, zip(*found)))
+
+
+def _merged(key: np.ndarray, before: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    _, at, where = np.unique(pair_code(key, before), return_index=True, return_inverse=True)
+    n = np.bincount(where, n).astype(np.int64)
+    order = np.lexsort((before[at], key[at]))
+    return key[at][order], before[at][order], n[order]
+
+
 def _buckets_of(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """(bucket, start, end) of the runs of sorted ``keys``."""
     if not len(keys):
@@ -116,42 +146,35 @@ def _text_blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tupl
         yield number, ids, texts
 
 
-def _keys_in_parts(texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _pairs_in_parts(texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     for a, b in blocks(texts):
-        yield a, *types_of(texts[a:b])
+        yield a, *pairs_of(texts[a:b])
 
 
 def _counted(docs: DataFrame, bits: int) -> DataFrame:
-    """(bucket, keys, counts) of each bucket's training types."""
+    """The state of each bucket's training pairs, each at one table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, texts in _text_blocks(batches, BLOCK_CHARS):
             train = [t for i, t in zip(ids, texts) if not held_out(i)]
             if not train:
                 continue
-            keys, n = np.unique(np.concatenate([k for _, k, _ in _keys_in_parts(train)]), return_counts=True)
+            keys, before, n = _unique_pairs(train)
             n = n.astype("<u4")
             rows = _buckets_of(keys, bits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([pack_sorted(keys[a:b]) for _, a, b in rows], pa.binary()), pa.array([pack(n[a:b]) for _, a, b in rows], pa.binary())],
-                names=["bucket", "keys", "counts"],
-            )
+            columns = [[pack_sorted(keys[a:b]) for _, a, b in rows], [pack(before[a:b]) for _, a, b in rows], [pack(n[a:b]) for _, a, b in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "keys", "before", "counts"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([unpack_sorted(x) for x in group["keys"]])
-        n = np.concatenate([unpack(x, "<u4") for x in group["counts"]]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        n = np.add.reduceat(n, start)
-        keys = keys[start]
-        state = Bucket(keys, n)
-        return pd.DataFrame({"bucket": [group["bucket"].iloc[0]], "keys": [pack_sorted(keys)], "counts": [pack(n)], "tables": [b""], "shared": [state.shared(state.one_table())]})
+        before = np.concatenate([unpack(x, "<u8") for x in group["before"]])
+        pairs = Pairs(*_merged(keys, before, np.concatenate([unpack(x, "<u4") for x in group["counts"]]).astype(np.int64)))
+        return pairs.row(int(group["bucket"].iloc[0]), np.zeros(0, np.int64), pairs.one_table())
 
-    return docs.mapInArrow(count, "bucket int, keys binary, counts binary").groupBy("bucket").applyInPandas(merge, _STATE)
+    return docs.mapInArrow(count, "bucket int, keys binary, before binary, counts binary").groupBy("bucket").applyInPandas(merge, _STATE)
 
 
-_STATE = "bucket int, keys binary, counts binary, tables binary, shared array<double>"
+_STATE = "bucket int, keys binary, before binary, counts binary, tables binary, shared array<double>"
 
 
 class Bucket:
@@ -180,6 +203,45 @@ class Bucket:
         return [*sizes[0], *sizes[1], below.sum(), top.sum(), len(self.words), self.customers.sum(), *once, *top_once]
 
 
+class Pairs:
+    """The (word, previous word) pairs of a bucket in order, with the bucket of the types they back off to."""
+
+    def __init__(self, keys: np.ndarray, before: np.ndarray, customers: np.ndarray):
+        self.keys, self.before, self.customers = keys, before, customers.astype(np.int64)
+        fresh = np.concatenate(([True], keys[1:] != keys[:-1]))
+        self.first = np.flatnonzero(fresh)
+        self.type = np.cumsum(fresh) - 1
+        self.types = self.above(np.ones(len(keys), np.int64))
+        counts = np.add.reduceat(self.customers, self.first)
+        self.counts = np.add.reduceat(counts, self.types.first)  # of each word
+        self.contexts, self.context = np.unique(before, return_inverse=True)
+
+    @classmethod
+    def of(cls, row) -> Pairs:
+        return cls(unpack_sorted(row["keys"]), unpack(row["before"], "<u8"), unpack(row["counts"], "<i8"))
+
+    def above(self, tables: np.ndarray) -> Bucket:
+        """The types, whose customers are the tables of the pairs."""
+        return Bucket(self.keys[self.first], np.add.reduceat(tables, self.first))
+
+    def one_table(self) -> tuple[np.ndarray, ...]:
+        return np.ones(len(self.keys), np.int64), *self.types.one_table()
+
+    def split(self, kept: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Tables of pairs, types and words of one seating."""
+        a, b = len(self.keys), len(self.keys) + len(self.first)
+        return kept[:a], kept[a:b], kept[b:]
+
+    def row(self, bucket: int, kept: np.ndarray, seating: tuple[np.ndarray, ...]) -> pd.DataFrame:
+        """A row of the state whose last seating is ``seating``."""
+        tables, below, top = seating
+        once = [np.sum(self.customers == 1), np.sum(self.customers == 2)]
+        shared = [*self.above(tables).shared((below, top)), self.customers.sum(), *once]
+        kept = np.concatenate([kept, *seating])
+        columns = {"bucket": bucket, "keys": pack_sorted(self.keys), "before": pack(self.before), "counts": pack(self.customers), "tables": pack(kept)}
+        return pd.DataFrame({k: [v] for k, v in columns.items()} | {"shared": [[float(x) for x in shared]]})
+
+
 class Shared:
     """Numbers over all buckets: customers and tables of contexts and parent, sizes, and discounts."""
 
@@ -189,6 +251,9 @@ class Shared:
         # counts of types seen once and twice give the discounts, as in Kneser-Ney smoothing
         self.discount = min(0.95, max(0.05, (total[516] + 0.5) / (total[516] + 2 * total[517] + 1)))
         self.parent_discount = min(0.95, max(0.05, (total[518] + 0.5) / (total[518] + 2 * total[519] + 1)))
+        if len(total) > 520:  # the pairs above whose restaurants these are
+            self.tokens = total[520]
+            self.pair_discount = min(0.95, max(0.05, (total[521] + 0.5) / (total[521] + 2 * total[522] + 1)))
 
     def unknown(self) -> float:
         """The parent's probability of a word without a table."""
@@ -200,6 +265,11 @@ class Shared:
     def back_off(self, context: np.ndarray) -> np.ndarray:
         return (STRENGTH + self.discount * self.tables[context]) / (STRENGTH + self.customers[context])
 
+    def types(self, bucket: Bucket, below: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each type of ``bucket`` in its context, and the parent's of each word."""
+        parent = self.parent(np.add.reduceat(below, bucket.first), top)
+        return self.seen(bucket.context, bucket.customers, below) + self.back_off(bucket.context) * parent[bucket.word], parent
+
     def seen(self, context: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         return (customers - self.discount * tables) / (STRENGTH + self.customers[context])
 
@@ -240,98 +310,167 @@ def seat(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount:
     return tables
 
 
-def _sweep(state: DataFrame, shared: Shared, number: int, seed: int) -> DataFrame:
-    """The state after one Gibbs sweep; samples after the burn-in are appended to ``tables``."""
+def _contexts(state: DataFrame, bits: int) -> DataFrame:
+    """(bucket, part, contexts, customers, tables): what each context has over all words.
+
+    ``part`` is the bucket of contexts.  Rows of bucket -1 hold the contexts of
+    their part; the others answer a bucket of words, in the order of its contexts.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                bucket = Bucket(unpack_sorted(row["keys"]), unpack(row["counts"], "<i8"))
-                kept = unpack(row["tables"], "<i8") if row["tables"] else np.zeros(0, np.int64)
-                size = len(bucket.keys) + len(bucket.words)
-                below, top = (kept[-size : -len(bucket.words)], kept[-len(bucket.words) :]) if len(kept) else bucket.one_table()
-                rng = np.random.default_rng([seed, number, row["bucket"]])
-                arrived = np.add.reduceat(below, bucket.first)
-                base = shared.parent(arrived, top)[bucket.word]
-                below = seat(bucket.customers, np.maximum(shared.tables[bucket.context] - below, 0), base, shared.discount, rng)
-                arrived = np.add.reduceat(below, bucket.first)
-                top = seat(arrived, np.maximum(shared.parent_tables - top, 0), np.full(len(top), 1 / (shared.words + 1)), shared.parent_discount, rng)
-                kept = np.concatenate([kept if number > BURN_IN else kept[:0], below, top])
-                columns = [[row["bucket"]], [row["keys"]], [row["counts"]], [pack(kept)], [bucket.shared((below, top))]]
-                types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["bucket", "keys", "counts", "tables", "shared"])
-
-    return state.mapInArrow(run, _STATE)
+                pairs = Pairs.of(row)
+                seating = unpack(row["tables"], "<i8")
+                size = len(pairs.keys) + len(pairs.first) + len(pairs.types.words)
+                sums = [np.bincount(pairs.context, x).astype(np.int64) for x in (pairs.customers, pairs.split(seating[-size:])[0])]
+                parts = _buckets_of(pairs.contexts, bits)
+                columns = [[pack_sorted(pairs.contexts[a:b]) for _, a, b in parts], *([pack(x[a:b]) for _, a, b in parts] for x in sums)]
+                yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]] * len(parts), pa.int32()), pa.array([p[0] for p in parts], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "part", "contexts", "customers", "tables"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        asked = [unpack_sorted(x) for x in group["contexts"]]
+        contexts, where = np.unique(np.concatenate(asked), return_inverse=True)
+        customers, tables = (np.bincount(where, np.concatenate([unpack(x, "<i8") for x in group[c]])).astype(np.int64) for c in ("customers", "tables"))
+        part = int(group["part"].iloc[0])
+        out = [(-1, part, pack_sorted(contexts), pack(customers), pack(tables))]
+        ends = np.cumsum([len(x) for x in asked])
+        for bucket, x, end in zip(group["bucket"], asked, ends):
+            out.append((bucket, part, b"", b"", pack(tables[where[end - len(x) : end]])))
+        return pd.DataFrame(out, columns=["bucket", "part", "contexts", "customers", "tables"])
+
+    kinds = "bucket int, part int, contexts binary, customers binary, tables binary"
+    return state.mapInArrow(send, kinds).groupBy("part").applyInPandas(add, kinds)
+
+
+def _sweep(state: DataFrame, contexts: DataFrame, shared: Shared, number: int, seed: int) -> DataFrame:
+    """The state after one Gibbs sweep; samples after the burn-in are appended to ``tables``."""
+
+    def run(model: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        row = model.iloc[0]
+        pairs, kept = Pairs.of(row), unpack(row["tables"], "<i8")
+        size = len(pairs.keys) + len(pairs.first) + len(pairs.types.words)
+        tables, below, top = pairs.split(kept[-size:])
+        total = np.concatenate([unpack(x, "<i8") for x in told.sort_values("part")["tables"]])
+        rng = np.random.default_rng([seed, number, int(row["bucket"])])
+        base = shared.types(pairs.above(tables), below, top)[0][pairs.type]
+        tables = seat(pairs.customers, np.maximum(total[pairs.context] - tables, 0), base, shared.pair_discount, rng)
+        bucket = pairs.above(tables)
+        base = shared.parent(np.add.reduceat(below, bucket.first), top)[bucket.word]
+        below = seat(bucket.customers, np.maximum(shared.tables[bucket.context] - below, 0), base, shared.discount, rng)
+        arrived = np.add.reduceat(below, bucket.first)
+        top = seat(arrived, np.maximum(shared.parent_tables - top, 0), np.full(len(top), 1 / (shared.words + 1)), shared.parent_discount, rng)
+        return pairs.row(int(row["bucket"]), kept if number > BURN_IN else kept[:0], (tables, below, top))
+
+    told = contexts.where("bucket >= 0")
+    return state.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(run, _STATE)
 
 
 def _total(state: DataFrame) -> Shared:
-    sums = state.select(F.posexplode("shared").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()  # 520 rows
-    total = np.zeros(520)
+    sums = state.select(F.posexplode("shared").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()  # 523 rows
+    total = np.zeros(523)
     for row in sums:
         total[row["k"]] = row["x"]
     return Shared(total)
 
 
-def fit(docs: DataFrame, scratch: Scratch, seed: int = 8) -> tuple[DataFrame, list[Shared], int]:
-    """(state of all buckets, shared numbers of each sample, bucket bits) of the model of ``docs``."""
+def fit(docs: DataFrame, scratch: Scratch, seed: int = 8) -> tuple[DataFrame, DataFrame, list[Shared], int]:
+    """(state of all buckets, contexts of each sample, shared numbers of each sample, bucket bits) of the model of ``docs``."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     bits = min(20, max(0, (size // BUCKET_BYTES).bit_length()))
-    state = scratch.keep(_counted(docs, bits), "types")
+    state = scratch.keep(_counted(docs, bits), "pairs")
+    contexts = scratch.keep(_contexts(state, bits), "contexts")
     shared = _total(state)
-    samples = []
+    samples, held = [], None
     for number in range(BURN_IN + SAMPLES):
-        after = scratch.keep(_sweep(state, shared, number, seed), "seating")
-        scratch.drop(state)
+        after = scratch.keep(_sweep(state, contexts, shared, number, seed), "seating")
+        scratch.drop(state, *([contexts] if number <= BURN_IN else []))
         state = after
+        contexts = scratch.keep(_contexts(state, bits), "contexts")
         shared = _total(state)
         if number >= BURN_IN:
             samples.append(shared)
-    return state, samples, bits
+            own = contexts.where("bucket < 0").withColumn("sample", F.lit(len(samples) - 1))
+            held = own if held is None else held.unionByName(own)
+    return state, held, samples, bits
+
 
+_ANSWERS = "block long, kind int, bucket int, low binary, high binary, counts binary"
 
-def _answers(docs: DataFrame, state: DataFrame, samples: list[Shared], bits: int) -> DataFrame:
-    """(block, bucket, logs, counts): answers to the types each block of texts holds."""
+
+def _answers(docs: DataFrame, state: DataFrame, contexts: DataFrame, samples: list[Shared], bits: int) -> DataFrame:
+    """Answers to the pairs (kind 0) and contexts (kind 1) each block of texts holds, of every sample one after the other.
+
+    Of pairs: ``low`` the customers, then the tables, and of each of their types
+    ``high`` the probability and ``counts`` the word's; of contexts: ``low`` the
+    customers, ``high`` the tables.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, texts in _text_blocks(batches, BLOCK_CHARS):
-            keys = np.unique(np.concatenate([np.unique(k) for _, k, _ in _keys_in_parts(texts)]))
-            rows = _buckets_of(keys, bits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([pack_sorted(keys[a:b]) for _, a, b in rows], pa.binary())],
-                names=["block", "bucket", "asked"],
-            )
+            keys, before, _ = _unique_pairs(texts)
+            distinct = np.unique(before)
+            rows = [(0, k, pack_sorted(keys[a:b]), pack(before[a:b])) for k, a, b in _buckets_of(keys, bits)]
+            rows += [(1, k, b"", pack_sorted(distinct[a:b])) for k, a, b in _buckets_of(distinct, bits)]
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["block", "kind", "bucket", "keys", "before"])
 
     def answer(model: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(model):
             row = model.iloc[0]
-            bucket = Bucket(unpack_sorted(row["keys"]), unpack(row["counts"], "<i8"))
-            seatings = unpack(row["tables"], "<i8").reshape(len(samples), -1)
-            split = len(bucket.keys)
-            parents = [s.parent(np.add.reduceat(x[:split], bucket.first), x[split:]) for s, x in zip(samples, seatings)]
-        for block, number, raw in zip(asked["block"], asked["bucket"], asked["asked"]):
-            keys = unpack_sorted(raw)
-            context, word = (keys & U64(0xFF)).astype(np.int64), keys & ~U64(0xFF)
-            chance, count = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+            pairs = Pairs.of(row)
+            seatings = [pairs.split(x) for x in unpack(row["tables"], "<i8").reshape(len(samples), -1)]
+            buckets = [pairs.above(x) for x, _, _ in seatings]
+            levels = [s.types(b, *x[1:]) for s, b, x in zip(samples, buckets, seatings)]
+            code = pair_code(pairs.keys, pairs.before)
+            order = np.argsort(code)
+            code = code[order]
+            types, words_ = buckets[0].keys, buckets[0].words
+        for block, number, raw, raw_before in zip(asked["block"], asked["bucket"], asked["keys"], asked["before"]):
+            keys, before = unpack_sorted(raw), unpack(raw_before, "<u8")
+            asked_types = np.unique(keys)
+            byte, word = (asked_types & U64(0xFF)).astype(np.int64), asked_types & ~U64(0xFF)
+            low, high, count = np.zeros((1 + len(samples), len(keys)), "<u4"), np.zeros((len(samples), len(byte))), np.zeros(len(byte), np.int64)
             if len(model):
-                at = np.minimum(np.searchsorted(bucket.words, word), len(bucket.words) - 1)
-                known = bucket.words[at] == word
-                count[known] = bucket.counts[at[known]]
-                place = np.minimum(np.searchsorted(bucket.keys, keys), split - 1)
-                seen = bucket.keys[place] == keys
+                at = np.minimum(np.searchsorted(words_, word), len(words_) - 1)
+                known = words_[at] == word
+                count[known] = pairs.counts[at[known]]
+                place = np.minimum(np.searchsorted(types, asked_types), len(types) - 1)
+                met = types[place] == asked_types
+                mine = pair_code(keys, before)
+                own = np.minimum(np.searchsorted(code, mine), len(code) - 1)
+                seen = code[own] == mine
+                own = order[own]
+                low[0][seen] = pairs.customers[own[seen]]
             for k, s in enumerate(samples):
-                parent = np.full(len(keys), s.unknown())
+                parent = np.full(len(byte), s.unknown())
                 if len(model):
-                    parent[known] = parents[k][at[known]]
-                part = s.back_off(context) * parent
+                    parent[known] = levels[k][1][at[known]]
+                high[k] = s.back_off(byte) * parent
                 if len(model):
-                    part[seen] += s.seen(context[seen], bucket.customers[place[seen]], seatings[k][:split][place[seen]])
-                chance += part / len(samples)
-            out.append((block, number, pack(np.log10(chance).astype("<f4")), pack(count)))
-        return pd.DataFrame(out, columns=["block", "bucket", "logs", "counts"])
+                    high[k][met] = levels[k][0][place[met]]
+                    low[1 + k][seen] = seatings[k][0][own[seen]]
+            out.append((block, 0, number, pack(low.ravel()), pack(high.ravel().astype("<f4")), pack(count)))
+        return pd.DataFrame(out, columns=["block", "kind", "bucket", "low", "high", "counts"])
 
-    asked = docs.mapInArrow(ask, "block long, bucket int, asked binary")
-    return state.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(answer, "block long, bucket int, logs binary, counts binary")
+    def answer_contexts(model: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        rows = [(unpack_sorted(r["contexts"]), unpack(r["customers"], "<i8"), unpack(r["tables"], "<i8")) for _, r in model.sort_values("sample").iterrows()]
+        for block, number, raw in zip(asked["block"], asked["bucket"], asked["before"]):
+            wanted = unpack_sorted(raw)
+            low, high = np.zeros((len(samples), len(wanted)), np.int64), np.zeros((len(samples), len(wanted)), np.int64)
+            for k, (known, customers, tables) in enumerate(rows):
+                at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                seen = known[at] == wanted
+                low[k][seen], high[k][seen] = customers[at[seen]], tables[at[seen]]
+            out.append((block, 1, number, pack(low.ravel()), pack(high.ravel()), b""))
+        return pd.DataFrame(out, columns=["block", "kind", "bucket", "low", "high", "counts"])
+
+    asked = docs.mapInArrow(ask, "block long, kind int, bucket int, keys binary, before binary")
+    pairs = state.groupBy("bucket").cogroup(asked.where("kind = 0").groupBy("bucket")).applyInPandas(answer, _ANSWERS)
+    part = contexts.groupBy("part").cogroup(asked.where("kind = 1").groupBy("bucket")).applyInPandas(answer_contexts, _ANSWERS)
+    return pairs.unionByName(part)
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -350,9 +489,9 @@ def scored(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not docs.inputFiles():
         docs = scratch.keep(docs, "documents")
-    state, samples, bits = fit(docs, scratch)
+    state, held, samples, bits = fit(docs, scratch)
     tokens, distinct = int(samples[-1].tokens), int(samples[-1].words)
-    answers = _answers(docs, state, samples, bits)
+    answers = _answers(docs, state, held, samples, bits)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, texts in _text_blocks(batches, BLOCK_CHARS):
@@ -361,18 +500,30 @@ def scored(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     def add_up(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row")
-        found = found.sort_values("bucket")
         texts = rows["text"].tolist()
-        logs = np.concatenate([unpack(x, "<f4") for x in found["logs"]]).astype(float)
-        counts = np.concatenate([unpack(x, "<i8") for x in found["counts"]])
-        parts = list(_keys_in_parts(texts))
-        keys = np.unique(np.concatenate([np.unique(k) for _, k, _ in parts]))
-        if len(keys) != len(logs):
+        found = found.sort_values("bucket")
+        pairs, told = found[found["kind"] == 0], found[found["kind"] == 1]
+        joined = lambda part, name, kind, n: np.concatenate([unpack(x, kind).reshape(n, -1) for x in part[name]], 1).astype(float)
+        low, high = joined(pairs, "low", "<u4", 1 + len(samples)), joined(pairs, "high", "<f4", len(samples))
+        counts = np.concatenate([unpack(x, "<i8") for x in pairs["counts"]])
+        keys, before, _ = _unique_pairs(texts)
+        contexts, context = np.unique(before, return_inverse=True)
+        customers, tables = joined(told, "low", "<i8", len(samples)), joined(told, "high", "<i8", len(samples))
+        of_type = np.cumsum(np.concatenate(([True], keys[1:] != keys[:-1]))) - 1
+        if len(keys) != low.shape[1] or of_type[-1] + 1 != len(counts) or len(contexts) != customers.shape[1]:
             raise RuntimeError("the documents changed between two reads")
+        chance = np.zeros(len(keys))
+        for k, s in enumerate(samples):
+            back_off = STRENGTH + s.pair_discount * tables[k]
+            chance += (low[0] - s.pair_discount * low[1 + k] + back_off[context] * high[k][of_type]) / (STRENGTH + customers[k])[context] / len(samples)
+        logs, counts = np.log10(chance), counts[of_type]
+        code = pair_code(keys, before)
+        order = np.argsort(code)
+        code = code[order]
         base = np.log10((counts + 0.5) / (tokens + 0.5 * (distinct + 1)))
         out = []
-        for _, k, offset in parts:
-            at = np.searchsorted(keys, k)
+        for _, k, b, offset in _pairs_in_parts(texts):
+            at = order[np.searchsorted(code, pair_code(k, b))]
             sums = [np.add.reduceat(x[at], offset[:-1]) for x in (base, logs, (counts > 0).astype(np.int64))]
             out.append(pd.DataFrame({"n_tokens": np.diff(offset), "n_known": sums[2], "base_score": sums[0], "score": sums[1]}))
         table = pd.concat(out, ignore_index=True)

@@ -302,6 +302,19 @@ def test_model_probabilities_sum_to_one():
         assert mass == pytest.approx(1)
 
 
+def test_lm_knows_the_word_before(spark):
+    """Words that end alike before them: only the word before tells which word follows."""
+    rng = random.Random(4)
+    follows = {f"p{k}a": f"q{k}" for k in range(40)}
+    text = lambda n: " ".join(f"{p} {follows[p]}" for p in (rng.choice(sorted(follows)) for _ in range(n)))
+    train, held = [[i for i in range(60) if (zlib.crc32(str(i).encode()) % 5 == 1) == h] for h in (False, True)]
+    rows = [(i, text(60)) for i in train] + [(i, text(60)) for i in held[1:]]
+    mixed = text(60).split()
+    mixed[1::2] = rng.sample(mixed[1::2], 60)
+    got = {r["doc_id"]: r for r in hpyp.scored(table(spark, rows + [(held[0], " ".join(mixed))])).collect()}
+    assert all(got[i]["perplexity"] < 10 < got[held[0]]["perplexity"] / 2 for i in held[1:])
+
+
 def test_packing():
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (hpyp.unpack_sorted(hpyp.pack_sorted(keys)) == keys).all()
