@@ -9,6 +9,7 @@ in the shared folder.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,18 @@ def _print(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def least_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least of 0..n-1 that each reaches by the links (i, j), in memory."""
+    root = np.arange(n)
+    while True:
+        a, b = root[i], root[j]
+        if (a == b).all():
+            return root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def connected(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): for every node of ``edges`` the smallest node it reaches.
 

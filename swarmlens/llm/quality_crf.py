@@ -62,7 +62,7 @@ class Lines:
         start, end, left, right = start[has], end[has], left[has], right[has]
         doc = np.searchsorted(w.first, start, "right") - 1
         self.offset = np.searchsorted(doc, np.arange(n + 1))
-        again = self._again(w.spans(start, end) ^ mix(doc.astype(U64) + U64(1)))
+        again = self._repeats(w.data, start, end, doc)
         seen = self._running(again)
         self.n_dup_lines = seen[self.offset[1:]] - seen[self.offset[:-1]]
 
@@ -116,11 +116,16 @@ class Lines:
         return out
 
     @staticmethod
-    def _again(key: np.ndarray) -> np.ndarray:
-        """Whether an equal key stands earlier."""
-        order = np.argsort(key, kind="stable")
-        out = np.zeros(len(key), bool)
-        out[order[1:]] = key[order[1:]] == key[order[:-1]]
+    def _repeats(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Whether a line equals an earlier one of its text, byte by byte."""
+        raw, seen, text = data.tobytes(), set(), -1
+        out = np.zeros(len(start), bool)
+        for k, (a, b, d) in enumerate(zip(start.tolist(), end.tolist(), doc.tolist())):
+            if d != text:
+                seen, text = set(), d
+            line = raw[a:b]
+            out[k] = line in seen
+            seen.add(line)
         return out
 
 

@@ -39,17 +39,24 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+CHUNK = 1 << 18  #: bytes hashed at once; what that needs doesn't grow with a text
+
+
+def _powers_of(n: int) -> list[np.ndarray]:
+    out = []
+    for base in (_BASE, _BASE_INV):
+        steps = np.full(n, base, U64)
+        steps[:1] = 1
+        out.append(np.cumprod(steps))
+    return out
+
+
+_powers = _powers_of(CHUNK + 1)
 
 
 def power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers
+    """Powers of the base and of its inverse, ``n`` at least; only tables of fixed size are kept."""
+    return _powers if n <= CHUNK + 1 else _powers_of(n)
 
 
 class Words(NamedTuple):
@@ -61,41 +68,53 @@ class Words(NamedTuple):
     offset: np.ndarray  # int64, number of texts + 1
     data: np.ndarray  # uint8, texts joined by a space
     first: np.ndarray  # int64, byte of ``data`` where each text starts, and the end
-    total: np.ndarray  # uint64, running polynomial of ``data``
 
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offset) - 1), np.diff(self.offset))
 
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the bytes of each span of ``data``."""
-        inverse = power_tables(len(self.data) + 1)[1]
-        return mix((self.total[end] - self.total[start]) * inverse[start] + (end - start).astype(U64))
-
 
-def words(texts: Sequence[str | None], lower: bool = True) -> Words:
-    """Hash every word of ``texts``; ``lower`` maps A-Z to a-z first."""
-    raw = [b"" if t is None else t.encode() for t in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    if lower:
-        data = _LOWER[data]
+def _pieces(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, polynomial) of the words of a chunk; a word may go on in the next."""
     blank = _SPACE[data]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    if len(data) and not blank[0]:
-        edge = np.concatenate(([0], edge))
+    edge = np.concatenate(([] if blank[0] else [0], edge, [] if blank[-1] else [len(data)])).astype(np.int64)
     start, end = edge[0::2], edge[1::2]
     power, inverse = power_tables(len(data) + 1)
-    total = np.empty(len(data) + 1, U64)
-    total[0] = 0
+    total = np.zeros(len(data) + 1, U64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-    code = mix((total[end] - total[start]) * inverse[start])
-    first = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum([len(r) + 1 for r in raw], out=first[1:])
-    offset = np.searchsorted(start, first)
-    return Words(code, start, end, offset, data, first, total)
+    return start, end, (total[end] - total[start]) * inverse[start]
 
 
-def blocks(texts: Sequence[str | None], block_bytes: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def words(texts: Sequence[str | None], lower: bool = True) -> Words:
+    """Hash every word of ``texts``; ``lower`` maps A-Z to a-z first."""
+    raw = [b"" if t is None else t.encode() for t in texts]
+    first = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum([len(r) + 1 for r in raw], out=first[1:])
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    del raw
+    if lower:
+        data = _LOWER[data]
+    starts, ends, codes = [], [], []
+    for at in range(0, len(data), CHUNK):
+        start, end, code = _pieces(data[at : at + CHUNK])
+        start, end = start + at, end + at
+        if len(start) and ends and len(ends[-1]) and start[0] == at == ends[-1][-1]:  # a word across the edge
+            done = int(at - starts[-1][-1])
+            codes[-1][-1] = U64((int(codes[-1][-1]) + int(code[0]) * pow(_BASE, done, 1 << 64)) % (1 << 64))
+            ends[-1][-1] = end[0]
+            start, end, code = start[1:], end[1:], code[1:]
+            if not len(start):
+                continue
+        starts.append(start)
+        ends.append(end)
+        codes.append(code)
+    start, end = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (starts, ends))
+    code = mix(np.concatenate([*codes, np.zeros(0, U64)]))
+    return Words(code, start, end, np.searchsorted(start, first), data, first)
+
+
+def blocks(texts: Sequence[str | None], block_bytes: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Slices of ``texts`` of about ``block_bytes`` each; a longer text is a slice of its own."""
     first, size = 0, 0
     for k, t in enumerate(texts):
