@@ -92,12 +92,13 @@ def answer_at(answers: Column, k: int) -> Column:
 
 def final_answer(response: Column) -> Column:
     """The final answer of a response: tagged, after a marker, or from the first heading on."""
-    ways = (r"(?s)<final_answer>(.*?)</final_answer>", r"(?is)final answer\s*[:：](.*)$", r"(?s)最终答案\s*[:：](.*)$", r"(?s)((?:^|\n)[#>].*)$")
+    ways = (r"(?s)<final_answer>(.*?)</final_answer>", r"(?is)final answer\s*[:：](.*)$", r"(?s)最终答案\s*[:：](.*)$", r"(?s)(?:^|\n)([#>].*)$")
     found = [F.nullif(F.trim(F.regexp_extract(response, w, 1)), F.lit("")) for w in ways]
     return F.coalesce(*found, F.trim(response))
 
 
 def action_label(action_type: Column) -> Column:
+    # Labels of actions.
     labels = {"CREATE_POST": "POST", "LIKE_POST": "LIKE", "DISLIKE_POST": "DISLIKE", "CREATE_COMMENT": "COMMENT", "LIKE_COMMENT": "LIKE", "DISLIKE_COMMENT": "DISLIKE", "QUOTE_POST": "QUOTE", "SEARCH_POSTS": "SEARCH", "SEARCH_USER": "SEARCH", "DO_NOTHING": "IDLE"}
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in labels.items() for x in p)), action_type), action_type)
 

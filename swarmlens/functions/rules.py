@@ -77,6 +77,15 @@ def kept_args(args: str | Column) -> Column:
     return F.map_filter(args, lambda k, _: k.isin(*ACTION_ARGS))
 
 
+def episode_ids(value: Column) -> Column:
+    """Episodes of an edge as ids: a list of ids, a list of objects with one, or a single id."""
+    objects = F.from_json(value, "array<struct<uuid: string, uuid_: string>>")
+    plain = F.from_json(value, "array<string>")
+    ids = F.filter(F.transform(objects, lambda x: F.coalesce(x["uuid"], x["uuid_"])), lambda x: x.isNotNull())
+    named = F.when(F.size(ids) > 0, ids).otherwise(F.filter(plain, lambda x: x.isNotNull()))
+    return F.when(F.ltrim(value).startswith("["), F.coalesce(named, F.array().cast("array<string>"))).otherwise(F.array(F.trim(F.translate(value, '"', ""))))
+
+
 def gender(value: str | Column) -> Column:
     value = F.col(value) if isinstance(value, str) else value
     return F.coalesce(F.try_element_at(_map(GENDERS), F.lower(F.trim(value))), F.lit("other"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +41,10 @@ def chunk(text: str, size: int = 500, overlap: int = 50) -> list[str]:
         stop = at + size
         if stop >= len(text):
             break
-        window = text[at:stop]
         for mark in SENTENCE_ENDS:
-            found = window.rfind(mark)
-            if found > 0.3 * size:
-                stop = at + found + len(mark)
+            found = text.rfind(mark, at, stop)
+            if found > at + 0.3 * size:
+                stop = found + len(mark)
                 break
         pieces.append(text[at:stop])
         if stop >= len(text):
@@ -60,12 +59,17 @@ def chunks(docs: DataFrame, size: int = 500, overlap: int = 50, key: str = "doc_
     """(key, k, chunk) of every document, k from 0; Arrow batches, no shuffle."""
     kind = dict(docs.dtypes)[key]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(i, k, c) for i, t in zip(frame[key], frame["text"]) for k, c in enumerate(chunk(t or "", size, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "k", "chunk"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, pieces = [], [], []
+            for row, body in enumerate(batch.column(1).to_pylist()):
+                found = chunk(body or "", size, overlap)
+                rows += [row] * len(found)
+                places += range(len(found))
+                pieces += found
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int32()), pa.array(pieces, pa.string())], names=[key, "k", "chunk"])
 
-    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, k int, chunk string")
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, k int, chunk string")
 
 
 def keywords(query: Column) -> Column:
@@ -74,17 +78,29 @@ def keywords(query: Column) -> Column:
     return F.filter(words, lambda w: F.length(w) > 1)
 
 
-def match_score(text: Column, query: Column) -> Column:
+def _keyword_hits(low: Column, query: str | Column) -> Column:
+    """10 for each keyword of the query in a lower-case text; a query known beforehand is split once, not for every row."""
+    if isinstance(query, str):
+        words = [w for w in query.lower().replace(",", " ").replace("\uff0c", " ").split() if len(w) > 1]
+        hits = F.lit(0)
+        for w in words:
+            hits = hits + F.when(F.contains(low, F.lit(w)), 10).otherwise(0)
+        return hits
+    return 10 * F.size(F.filter(keywords(query), lambda w: F.contains(low, w)))
+
+
+def match_score(text: Column, query: str | Column) -> Column:
     """100 if the text holds the whole query, else 10 for each keyword in it; empty texts 0."""
     low = F.lower(text)
-    hits = 10 * F.size(F.filter(keywords(query), lambda w: F.contains(low, w)))
-    return F.when(F.coalesce(text, F.lit("")) == "", 0).when(F.contains(low, F.lower(query)), 100).otherwise(hits)
+    whole = F.lit(query.lower()) if isinstance(query, str) else F.lower(query)
+    return F.when(F.coalesce(text, F.lit("")) == "", 0).when(F.contains(low, whole), 100).otherwise(_keyword_hits(low, query))
 
 
-def relevance(text: Column, query: Column) -> Column:
+def relevance(text: Column, query: str | Column) -> Column:
     """100 for the whole query and 10 more for each keyword."""
     low = F.lower(text)
-    return F.when(F.contains(low, F.lower(query)), 100).otherwise(0) + 10 * F.size(F.filter(keywords(query), lambda w: F.contains(low, w)))
+    whole = F.lit(query.lower()) if isinstance(query, str) else F.lower(query)
+    return F.when(F.contains(low, whole), 100).otherwise(0) + _keyword_hits(low, query)
 
 
 def username(name: Column) -> Column:
@@ -163,7 +179,7 @@ def without_fences(text: Column) -> Column:
 
 
 def pascal(name: Column) -> Column:
-    return F.array_join(F.transform(F.split(name, "_"), lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substring(p, 2, 1000)))), "")
+    return F.array_join(F.transform(F.split(name, "_"), lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substring(p, F.lit(2), F.length(p))))), "")
 
 
 def key_quotes(text: Column, n: int = 3) -> Column:
@@ -189,5 +205,9 @@ def allowed_file(name: Column, allowed: tuple[str, ...] = ("pdf", "md", "txt", "
     return F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*allowed)
 
 
-def guarded_attribute(name: Column, reserved: tuple[str, ...] = ("uuid", "name", "group_id", "name_embedding", "summary", "created_at")) -> Column:
-    return F.when(F.lower(name).isin(*reserved), F.concat(F.lit("entity_"), name)).otherwise(name)
+# Attribute names that a graph keeps for itself.
+RESERVED = ("uuid", "name", "group_id", "name_embedding", "summary", "created_at")
+
+
+def guarded_attribute(name: Column) -> Column:
+    return F.when(F.lower(name).isin(*RESERVED), F.concat(F.lit("entity_"), name)).otherwise(name)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from swarmlens.operators import ranges
+
 IDLE = "DO_NOTHING"
 
 
@@ -97,23 +99,10 @@ def deduplicated(actions: DataFrame) -> DataFrame:
     return actions.groupBy(*key).agg(F.min("seq").alias("seq"), F.count("*").alias("copies"))
 
 
-def arrival_batches(actions: DataFrame, size: int = 5, buckets: int = 64) -> DataFrame:
-    """Batch number (from 0) and place of every action in its platform's order of arrival.
-
-    A window over a platform alone would sort it in one task.  Arrival numbers
-    are counted in ranges of ``seq`` first, and each range starts at the sum of
-    the ranges before it.
-    """
-    span = actions.agg(F.min("seq").alias("low"), F.max("seq").alias("high"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / buckets))
-    ranged = actions.crossJoin(F.broadcast(span)).withColumn("range", F.floor((F.col("seq") - F.col("low")) / width))  # one row
-    sizes = ranged.groupBy("platform", "range").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("platform").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("platform", "range", F.coalesce(before, F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("platform", "range").orderBy("seq")) - 1
-    numbered = ranged.withColumn("place", place).join(F.broadcast(starts), ["platform", "range"])  # buckets rows a platform
-    place = F.col("place") + F.col("start")
-    return numbered.select(*actions.columns, F.floor(place / size).alias("batch"), (place % size).alias("slot"))
+def arrival_batches(actions: DataFrame, size: int = 5) -> DataFrame:
+    """Batch number (from 0) and place of every action in its platform's order of arrival (``seq``)."""
+    place = F.col("place")
+    return ranges.numbered(actions, "seq", "platform").select(*actions.columns, F.floor(place / size).alias("batch"), (place % size).alias("slot"))
 
 
 def batch_texts(batched: DataFrame) -> DataFrame:
@@ -122,6 +111,17 @@ def batch_texts(batched: DataFrame) -> DataFrame:
     return rows.select("platform", "batch", F.size("t").alias("n"), F.array_join(F.col("t.text"), "\n").alias("text"))
 
 
+def update_stats(batched: DataFrame, size: int = 5) -> DataFrame:
+    """What a memory updater counts of each platform: activities, batches, full ones, and what waits for a full one."""
+    sizes = batched.groupBy("platform", "batch").agg(F.count("*").alias("n"))
+    return sizes.groupBy("platform").agg(
+        F.sum("n").alias("activities"),
+        F.count("*").alias("batches"),
+        F.count_if(F.col("n") == size).alias("full_batches"),
+        F.coalesce(F.sum(F.when(F.col("n") < size, F.col("n"))), F.lit(0)).alias("waiting"),
+    )
+
+
 def completion(ends: DataFrame, logs: DataFrame) -> DataFrame:
     """One row: whether every platform with a log has ended, and at least one has a log."""
     state = logs.select("platform").distinct().join(ends.select("platform", F.lit(True).alias("ended")).distinct(), "platform", "left")

@@ -49,8 +49,8 @@ def step_status(summary: DataFrame) -> DataFrame:
 
 
 def last_sections(log: DataFrame) -> DataFrame:
-    """(report_id, section_index, content): the last content of each section below 100."""
-    rows = log.where((F.col("action") == SECTION_DONE) & (F.col("section_index") < 100))
+    """(report_id, section_index, content): the last content of each section."""
+    rows = log.where(F.col("action") == SECTION_DONE)
     return rows.groupBy("report_id", "section_index").agg(F.max_by(F.get_json_object("details", "$.content"), "line").alias("content"))
 
 

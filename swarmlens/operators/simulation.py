@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swarmlens.functions import rules
+from swarmlens.operators import ranges
 
 
 def agent_name(agent_id: Column, name: Column) -> Column:
@@ -18,19 +19,30 @@ def named_actions(actions: DataFrame, agents: DataFrame) -> DataFrame:
     return actions.join(names, "agent_id", "left").withColumn("agent_name", agent_name(F.col("agent_id"), F.col("_name"))).drop("_name")
 
 
-def posts_with_author(posts: DataFrame, users: DataFrame, agents: DataFrame) -> DataFrame:
-    """(post_id, content, author): the agent's configured name, else the user's name, else their user_name, else empty."""
-    people = users.join(agents.select("agent_id", F.col("name").alias("_agent")), "agent_id", "left").select("user_id", "_agent", "name", "user_name")
+def _people(users: DataFrame, agents: DataFrame) -> DataFrame:
+    """(user_id, author): the agent's configured name, else the user's name, else their user_name, else empty."""
+    people = users.join(agents.select("agent_id", F.col("name").alias("_agent")), "agent_id", "left")
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
-    author = F.coalesce(blank("_agent"), blank("name"), blank("user_name"), F.lit(""))
-    return posts.join(people, "user_id", "left").select("post_id", "content", author.alias("author"))
+    return people.select("user_id", F.coalesce(blank("_agent"), blank("name"), blank("user_name"), F.lit("")).alias("author"))
+
+
+def posts_with_author(posts: DataFrame, users: DataFrame, agents: DataFrame) -> DataFrame:
+    """(post_id, content, author) of posts; without a user there is no author."""
+    return posts.join(_people(users, agents), "user_id", "left").select("post_id", "content", "author")
+
+
+def comments_with_author(comments: DataFrame, users: DataFrame, agents: DataFrame) -> DataFrame:
+    """(comment_id, post_id, content, author) of comments; without a user there is no author."""
+    return comments.join(_people(users, agents), "user_id", "left").select("comment_id", "post_id", "content", "author")
 
 
-def enriched(actions: DataFrame, posts: DataFrame, users: DataFrame, agents: DataFrame) -> DataFrame:
+def enriched(actions: DataFrame, posts: DataFrame, users: DataFrame, agents: DataFrame, comments: DataFrame | None = None) -> DataFrame:
     """Actions (seq, action_type, post_id, target_id) with what they are about: post_content, post_author, target_name.
 
     Likes and comments look at the post, reposts and quotes at the post's
     original, follows and mutes at the user; id 0 and unknown ids give nulls.
+    With ``comments``, actions have a comment_id too, and likes and dislikes of
+    a comment get comment_content and comment_author.
     """
     authored = posts_with_author(posts, users, agents)
     on_post = F.col("action_type").isin("LIKE_POST", "DISLIKE_POST", "CREATE_COMMENT")
@@ -43,7 +55,12 @@ def enriched(actions: DataFrame, posts: DataFrame, users: DataFrame, agents: Dat
     about = authored.select(F.col("post_id").alias("_about"), F.col("content").alias("post_content"), F.col("author").alias("post_author"))
     target = users.select(F.col("user_id").alias("_user"), F.coalesce(F.nullif("name", F.lit("")), F.col("user_name")).alias("target_name"))
     rows = rows.join(about, "_about", "left").join(target, "_user", "left")
-    return rows.select(*actions.columns, "post_content", "post_author", "target_name")
+    if comments is None:
+        return rows.select(*actions.columns, "post_content", "post_author", "target_name")
+    on_comment = F.col("action_type").isin("LIKE_COMMENT", "DISLIKE_COMMENT")
+    rows = rows.withColumn("_comment", F.when(on_comment, F.nullif(F.col("comment_id"), F.lit(0))))
+    said = comments_with_author(comments, users, agents).select(F.col("comment_id").alias("_comment"), F.col("content").alias("comment_content"), F.col("author").alias("comment_author"))
+    return rows.join(said, "_comment", "left").select(*actions.columns, "post_content", "post_author", "target_name", "comment_content", "comment_author")
 
 
 def latest_interview(interviews: DataFrame) -> DataFrame:
@@ -99,9 +116,9 @@ def poster_assignment(posts: DataFrame, agents: DataFrame) -> DataFrame:
     # a dozen aliases for each type of post
     choice = exact.unionByName(table.join(exact.select("poster_type"), "poster_type", "left_semi")).join(sizes, "kind")
     choice = choice.groupBy("poster_type").agg(F.min(F.struct("rank", "kind", "n")).alias("c")).select("poster_type", "c.kind", "c.n")
-    rows = posts.withColumn("poster_type", F.lower("poster_type")).join(choice, "poster_type", "left")
-    turn = F.row_number().over(Window.partitionBy("kind").orderBy("post_id")) - 1
-    rows = rows.withColumn("i", F.pmod(turn, F.coalesce("n", F.lit(1).cast("long"))))
+    rows = posts.withColumn("poster_type", F.lower("poster_type")).join(F.broadcast(choice), "poster_type", "left")  # a row a type of post
+    turn = ranges.numbered(rows, "post_id", "kind").withColumnRenamed("place", "_turn")
+    rows = turn.withColumn("i", F.pmod("_turn", F.coalesce("n", F.lit(1).cast("long"))))
     best = rules.agent_rules(agents).agg(F.max_by("agent_id", F.struct("influence_weight", -F.col("agent_id"))).alias("best"))
     return rows.join(ordinal, ["kind", "i"], "left").crossJoin(F.broadcast(best)).select("post_id", "poster_type", F.coalesce("agent_id", "best", F.lit(0)).alias("agent_id"))
 

@@ -14,14 +14,14 @@ from swarmlens.operators import graph
 
 def search_edges(edges: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Top edges by the scores of fact and name; those without a hit are left out."""
-    q = F.lit(query)
+    q = query
     scored = edges.withColumn("score", text.match_score(F.col("fact"), q) + text.match_score(F.col("name"), q))
     return scored.where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
 
 
 def search_nodes(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Top nodes by the scores of name and summary, with ``[name]: summary`` as fact."""
-    q = F.lit(query)
+    q = query
     scored = nodes.withColumn("score", text.match_score(F.col("name"), q) + text.match_score(F.col("summary"), q))
     fact = F.when(F.col("summary") != "", F.concat(F.lit("["), "name", F.lit("]: "), "summary"))
     return scored.where("score > 0").withColumn("fact", fact).orderBy(F.desc("score"), "id").limit(limit)
@@ -38,7 +38,7 @@ def panorama(edges: DataFrame, query: str, limit: int = 50, historical: bool = F
         until = F.coalesce("invalid_at", "expired_at")
         day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit("unknown"))
         rows = rows.withColumn("fact", F.concat(F.lit("["), day("valid_at"), F.lit(" - "), day(until), F.lit("] "), "fact"))
-    rows = rows.withColumn("score", text.relevance(F.col("fact"), F.lit(query)))
+    rows = rows.withColumn("score", text.relevance(F.col("fact"), query))
     return rows.orderBy(F.desc("score"), "id").limit(limit)
 
 
@@ -56,13 +56,15 @@ def sub_queries(query: str, n: int = 4) -> list[str]:
 def insight_hits(edges: DataFrame, query: str, per_query: int = 15, main: int = 20) -> DataFrame:
     """(q, place, id, fact, source, target) of the sub-queries' and the main query's top edges.
 
-    All queries are scored in one pass; the top of each comes from a window by
-    query that drops rows below the cut before they are sorted (rank limit).
+    All queries are scored in one projection over the edges, and only hits go
+    on; the top of each comes from a window by query that drops rows below the
+    cut before they are sorted (rank limit).
     """
     variants = [*sub_queries(query), query]
-    asked = F.array(*(F.struct(F.lit(k).alias("q"), F.lit(v).alias("query"), F.lit(main if k == len(variants) - 1 else per_query).alias("most")) for k, v in enumerate(variants)))
-    rows = edges.select("id", "name", "fact", "source", "target", F.explode(asked).alias("a")).select("*", "a.*")
-    scored = rows.withColumn("score", text.match_score(F.col("fact"), F.col("query")) + text.match_score(F.col("name"), F.col("query"))).where("score > 0")
+    score = lambda v: text.match_score(F.col("fact"), v) + text.match_score(F.col("name"), v)
+    asked = F.array(*(F.struct(F.lit(k).alias("q"), score(v).alias("score"), F.lit(main if k == len(variants) - 1 else per_query).alias("most")) for k, v in enumerate(variants)))
+    hits = F.filter(asked, lambda a: a["score"] > 0)
+    scored = edges.select("id", "name", "fact", "source", "target", F.inline(hits))
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     return scored.withColumn("place", place).where(f"place <= {max(main, per_query)}").where("place <= most").select("q", "place", "id", "name", "fact", "source", "target")
 

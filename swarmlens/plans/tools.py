@@ -13,6 +13,8 @@ from swarmlens.functions import render, rules, text
 from swarmlens.operators import graph, simulation
 from swarmlens.plans import retrieval
 
+TYPE_LIMIT, FACT_LIMIT = 30, 100  #: entities and facts that a tool lists where its parameter ``limit`` says nothing else
+
 Tool = Callable[[DataFrame, DataFrame, dict], str]
 
 
@@ -40,11 +42,11 @@ def _statistics(nodes: DataFrame, edges: DataFrame, p: dict) -> str:
 
 
 def _by_type(nodes: DataFrame, edges: DataFrame, p: dict) -> str:
-    return "\n".join(r["name"] for r in graph.labelled(nodes, p["entity_type"]).orderBy("id").limit(int(p.get("limit", 30))).collect())
+    return "\n".join(r["name"] for r in graph.labelled(nodes, p["entity_type"]).orderBy("id").limit(int(p.get("limit", TYPE_LIMIT))).collect())
 
 
 def _entity(nodes: DataFrame, edges: DataFrame, p: dict) -> str:
-    return "\n".join(r["fact"] for r in retrieval.entity_view(nodes, edges, p["entity_name"]).orderBy("edge").limit(100).collect())
+    return "\n".join(r["fact"] for r in retrieval.entity_view(nodes, edges, p["entity_name"]).orderBy("edge").limit(int(p.get("limit", FACT_LIMIT))).collect())
 
 
 #: Tools and older names for them; results are cut to what a reader takes, so they are small.
@@ -82,8 +84,7 @@ def with_model(rows: DataFrame, prompt: str, model: Callable[[str], str], output
 
 def attribute_schema(attributes: list[str]) -> StructType:
     """A type for an entity's attributes, reserved names guarded."""
-    reserved = {"uuid", "name", "group_id", "name_embedding", "summary", "created_at"}
-    return StructType([StructField(f"entity_{a}" if a.lower() in reserved else a, StringType()) for a in attributes])
+    return StructType([StructField(f"entity_{a}" if a.lower() in text.RESERVED else a, StringType()) for a in attributes])
 
 
 def profile_rules(entities: DataFrame) -> DataFrame:
@@ -94,6 +95,7 @@ def profile_rules(entities: DataFrame) -> DataFrame:
     fixed = media | body
     u = rules.uniform(F.col("name"), F.lit("age"))
     span = lambda low, high: (F.lit(low) + F.floor(u * (high - low + 1))).cast("int")
+    # Topics of a kind of profile, and the spans of age above.
     topics = F.when(young, F.array(*map(F.lit, ["Education", "Social Issues", "Technology"]))).when(expert, F.array(*map(F.lit, ["Politics", "Economics", "Culture & Society"])))
     topics = topics.when(media, F.array(*map(F.lit, ["General News", "Current Events", "Public Affairs"]))).when(body, F.array(*map(F.lit, ["Public Policy", "Community", "Official Announcements"])))
     return entities.select(

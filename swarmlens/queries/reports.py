@@ -28,8 +28,8 @@ QUERIES = {
         bool_or(action = 'planning_complete') AS planned, bool_or(action = 'report_complete') AS complete, arg_max(elapsed, line) AS elapsed FROM log GROUP BY report_id""",
     ),
     "report_steps": (
-        lambda s, d: reports.step_status(reports.log_summary(_log(s, d).where("line < 2000"))),
-        f"""WITH {LOG_SQL}, s AS (SELECT report_id, bool_or(action = 'planning_complete') AS planned, bool_or(action = 'report_complete') AS complete FROM log WHERE line < 2000 GROUP BY 1)
+        lambda s, d: reports.step_status(reports.log_summary(_log(s, d))),
+        f"""WITH {LOG_SQL}, s AS (SELECT report_id, bool_or(action = 'planning_complete') AS planned, bool_or(action = 'report_complete') AS complete FROM log GROUP BY 1)
         SELECT report_id, 'planning' AS step, CASE WHEN planned THEN 'done' ELSE 'active' END AS status FROM s UNION ALL
         SELECT report_id, 'writing', CASE WHEN complete THEN 'done' WHEN planned THEN 'active' ELSE 'todo' END FROM s UNION ALL SELECT report_id, 'complete', CASE WHEN complete THEN 'done' ELSE 'todo' END FROM s""",
     ),

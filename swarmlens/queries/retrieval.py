@@ -93,7 +93,7 @@ QUERIES = {
         lambda s, d: model.table(s, d, "part").select("p_partkey", F.array_join(text.keywords(F.concat_ws(",", "p_name", "p_type")), " ").alias("words")),
         "SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(translate(lower(p_name || ',' || p_type), ',，', '  '), '\\s+'), lambda w: length(w) > 1), ' ') AS words FROM part",
     ),
-    "benchmark_in_facts": (
+    "part_name_scores": (
         lambda s, d: model.table(s, d, "part").where(text.match_score(F.col("p_name"), F.lit("red widget")) > 0).select("p_partkey", text.match_score(F.col("p_name"), F.lit("red widget")).alias("score")),
         f"SELECT p_partkey, {_match('p_name', 'red widget')} AS score FROM part WHERE {_match('p_name', 'red widget')} > 0",
     ),

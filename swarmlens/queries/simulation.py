@@ -38,7 +38,7 @@ def _acts(s, d):
 
 def _initial_posts(s, d):
     kinds = F.element_at(F.array(*map(F.lit, ["Student", "Official", "expert", "NGO", "Unheard"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return model.table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("post_id"), kinds.alias("poster_type"))
+    return model.table(s, d, "orders").select(F.col("o_orderkey").alias("post_id"), kinds.alias("poster_type"))
 
 
 def _profiles(s, d):
@@ -94,10 +94,10 @@ QUERIES = {
         SELECT platform, agent_id, conv_id, turn, md5(response) AS response FROM r WHERE i = 1""",
     ),
     "survey_answers": (
-        lambda s, d: ops.answers(model.agents(s, d).where("agent_id < 80"), ops.latest_interview(model.interviews(s, d))).select("agent_id", F.md5("answer").alias("answer")),
+        lambda s, d: ops.answers(model.agents(s, d), ops.latest_interview(model.interviews(s, d))).select("agent_id", F.md5("answer").alias("answer")),
         f"""WITH {model.INTERVIEWS_SQL}, {model.AGENTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY platform, agent_id ORDER BY conv_id DESC, turn DESC) AS i FROM interviews)
         SELECT g.agent_id, md5(coalesce(max(r.response) FILTER (WHERE platform = 'reddit'), max(r.response) FILTER (WHERE platform = 'twitter'), '(no answer)')) AS answer
-        FROM agents g LEFT JOIN r ON r.agent_id = g.agent_id AND r.i = 1 WHERE g.agent_id < 80 GROUP BY g.agent_id""",
+        FROM agents g LEFT JOIN r ON r.agent_id = g.agent_id AND r.i = 1 GROUP BY g.agent_id""",
     ),
     "chat_window": (
         lambda s, d: ops.last_turns(model.table(s, d, "conversations"), 3).select("conv_id", "turn", "role"),
@@ -109,7 +109,7 @@ QUERIES = {
     ),
     "poster_assignment": (
         lambda s, d: ops.poster_assignment(_initial_posts(s, d), model.agents(s, d)),
-        f"""{G}, posts AS (SELECT o_orderkey AS post_id, ['student', 'official', 'expert', 'ngo', 'unheard'][o_orderkey % 5 + 1] AS poster_type FROM orders WHERE o_orderstatus = 'P'),
+        f"""{G}, posts AS (SELECT o_orderkey AS post_id, ['student', 'official', 'expert', 'ngo', 'unheard'][o_orderkey % 5 + 1] AS poster_type FROM orders),
         mapped AS (SELECT *, CASE poster_type WHEN 'student' THEN 'student' WHEN 'official' THEN 'university' WHEN 'expert' THEN 'professor' WHEN 'ngo' THEN 'company' END AS kind FROM posts),
         turns AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY post_id) - 1 AS i FROM mapped),
         ordinals AS (SELECT lower(entity_type) AS kind, agent_id, row_number() OVER (PARTITION BY entity_type ORDER BY agent_id) - 1 AS i, count(*) OVER (PARTITION BY entity_type) AS n FROM agents)

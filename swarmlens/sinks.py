@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swarmlens.functions import rules
+from swarmlens.operators import ranges
 
 # What a profile has where nothing is known.
 DEFAULTS = {"karma": 1000, "age": 30, "mbti": "ISTJ", "country": "中国"}
@@ -29,22 +30,9 @@ def twitter_profiles(profiles: DataFrame) -> DataFrame:
     A total order over profiles is what the format asks for; places come from
     ranges, so no task sorts all rows.
     """
-    ordered = _with_place(profiles, "user_id")
+    ordered = ranges.numbered(profiles, "user_id")
     char = F.when(F.coalesce("persona", F.lit("")).isin("") | (F.col("persona") == F.col("bio")), F.col("bio")).otherwise(F.concat_ws(" ", "bio", "persona"))
-    return ordered.select(F.col("_place").alias("user_id"), "name", F.col("user_name").alias("username"), _flat(char).alias("user_char"), _flat(F.col("bio")).alias("description"))
-
-
-def _with_place(rows: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """``rows`` with ``_place``, their rank by an integer key from 0, counted range by range."""
-    from pyspark.sql import Window
-
-    span = rows.agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_high") - F.col("_low") + 1) / buckets))
-    ranged = rows.crossJoin(F.broadcast(span)).withColumn("_range", F.floor((F.col(key) - F.col("_low")) / width))  # one row
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    start = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # ``buckets`` rows
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return ranged.withColumn("_in", place).join(F.broadcast(sizes.select("_range", start.alias("_start"))), "_range").withColumn("_place", F.col("_in") + F.col("_start"))
+    return ordered.select(F.col("place").alias("user_id"), "name", F.col("user_name").alias("username"), _flat(char).alias("user_char"), _flat(F.col("bio")).alias("description"))
 
 
 def write_reddit(profiles: DataFrame, path: str) -> None:

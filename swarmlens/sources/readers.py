@@ -89,9 +89,18 @@ def control_events(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str, from_line: int = 0) -> DataFrame:
-    """(line, value) of one log file from a line (0 is the first) on; the file is one row of a bounded log."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\r?\n")).alias("line", "value"))
+    """(line, value) of one log file from a line (0 is the first) on.
+
+    The file is read in blocks; a block's first line has the number of lines
+    in the blocks before it.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select(F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    sizes = rows.groupBy("block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # a row for each block
+    starts = sizes.select("block", F.coalesce(before, F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1
+    lines = rows.withColumn("place", place).join(starts, "block").select((F.col("place") + F.col("start")).alias("line"), "value")
     return lines.where(F.col("line") >= from_line)
 
 
@@ -101,15 +110,15 @@ def agent_log(spark: SparkSession, path: str, from_line: int = 0) -> DataFrame:
 
 
 def sections(spark: SparkSession, folder: str) -> DataFrame:
-    """(section_index, content) of section_NN files, in order."""
-    rows = spark.read.text(f"{folder}/section_*", wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+    """(section_index, content) of section_NN files, or folders as the sink writes them, in order."""
+    rows = spark.read.text(f"{folder}/section[_=]*", wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     return rows.select(F.regexp_extract("path", r"section_(\d+)", 1).cast("int").alias("section_index"), F.col("value").alias("content")).orderBy("section_index")
 
 
-def profiles(spark: SparkSession, json_path: str | None, csv_path: str | None) -> DataFrame:
-    """Profiles of the JSON file, or of the CSV with its columns renamed."""
+def profiles(spark: SparkSession, json_path: str | None, csv_path: str | None, lines: bool = False) -> DataFrame:
+    """Profiles of the JSON file (one array, or a folder of JSON lines), or of the CSV with its columns renamed."""
     if json_path is not None:
-        return spark.read.option("multiLine", True).json(json_path)
+        return spark.read.option("multiLine", not lines).json(json_path)
     rows = spark.read.option("header", True).csv(csv_path)
     return rows.select("user_id", "username", F.col("name").alias("realname"), F.col("description").alias("bio"), F.col("user_char").alias("persona"), F.lit("unknown").alias("profession"))
 
@@ -152,9 +161,9 @@ class _SqliteReader(DataSourceReader):
             return []
         con = sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
         try:
+            if con.execute("SELECT 1 FROM sqlite_master WHERE type IN ('table', 'view') AND name = ?", (self.options["table"],)).fetchone() is None:
+                return []
             return con.execute(sql, args).fetchall()
-        except sqlite3.OperationalError:  # no such table: no rows
-            return []
         finally:
             con.close()
 

@@ -9,14 +9,27 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LOG_SCHEMA = "file string, value string"
 
 
-class _TailReader(SimpleDataSourceStreamReader):
-    """Offsets are bytes read of each file; only whole lines are read, so a torn last line waits."""
+class _Part(InputPartition):
+    """Lines of a file that begin at ``low`` or later and before ``high``; ``first`` is where a line is known to begin."""
+
+    def __init__(self, path: str, first: int, low: int, high: int):
+        self.path, self.first, self.low, self.high = path, first, low, high
+
+
+class _TailReader(DataSourceStreamReader):
+    """Offsets are bytes of each file that whole lines end at, so a torn last line waits.
+
+    The driver looks at the ends of files only; executors read parts of
+    bounded size.
+    """
+
+    PART_BYTES = 8 << 20
 
     def __init__(self, options: dict):
         self.folder = options["path"]
@@ -27,26 +40,41 @@ class _TailReader(SimpleDataSourceStreamReader):
     def _files(self) -> list[str]:
         return sorted(os.path.join(d, n) for d, _, names in os.walk(self.folder) for n in names if n.endswith(".jsonl"))
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end, rows = dict(start), []
-        for path in self._files():
-            rows += self._lines(path, start.get(path, 0), None, end)
-        return iter(rows), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        rows: list[tuple] = []
-        for path, stop in end.items():
-            rows += self._lines(path, start.get(path, 0), stop, {})
-        return iter(rows)
+    def latestOffset(self) -> dict:
+        return {path: end for path in self._files() if (end := self._whole(path))}
 
     @staticmethod
-    def _lines(path: str, start: int, stop: int | None, end: dict) -> list[tuple]:
+    def _whole(path: str, step: int = 1 << 16) -> int:
+        """The place after the last line end."""
         with open(path, "rb") as log:
-            log.seek(start)
-            data = log.read() if stop is None else log.read(stop - start)
-        data = data[: data.rfind(b"\n") + 1]
-        end[path] = start + len(data)
-        return [(path, line.decode(errors="replace")) for line in data.splitlines() if line.strip()]
+            at = log.seek(0, os.SEEK_END)
+            while at:
+                low = max(0, at - step)
+                log.seek(low)
+                found = log.read(at - low).rfind(b"\n")
+                if found >= 0:
+                    return low + found + 1
+                at = low
+        return 0
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        parts = []
+        for path, stop in sorted(end.items()):
+            first = start.get(path, 0)
+            parts += [_Part(path, first, low, min(stop, low + self.PART_BYTES)) for low in range(first, stop, self.PART_BYTES)]
+        return parts
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        with open(partition.path, "rb") as log:
+            if partition.low > partition.first:  # the line that goes on here is the part's before
+                log.seek(partition.low - 1)
+                log.readline()
+            else:
+                log.seek(partition.low)
+            while log.tell() < partition.high:
+                line = log.readline().rstrip(b"\r\n")
+                if line.strip():
+                    yield partition.path, line.decode(errors="replace")
 
     def commit(self, end: dict) -> None:
         pass
@@ -62,7 +90,7 @@ class TailSource(DataSource):
     def schema(self) -> str:
         return LOG_SCHEMA
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return _TailReader(dict(self.options))
 
 

@@ -31,6 +31,18 @@ def test_tail_holds_back_a_torn_line(spark, tmp_path):
     assert len(run(rows, "append", tmp_path, "tail")) == 2
 
 
+def test_parts_of_a_log_hold_each_line_once(tmp_path, monkeypatch):
+    folder = tmp_path / "twitter"
+    folder.mkdir()
+    lines = [f"line {k} " + "x" * (k % 9) for k in range(50)]
+    (folder / "a.jsonl").write_text("\n".join(lines) + "\ntorn")
+    reader = streams._TailReader({"path": str(tmp_path)})
+    for size in (1, 7, 40, 10_000):
+        monkeypatch.setattr(streams._TailReader, "PART_BYTES", size)
+        parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+        assert [t for p in parts for _, t in reader.read(p)] == lines
+
+
 def test_running_state_and_batches(spark, tmp_path):
     folder = tmp_path / "logs" / "reddit"
     folder.mkdir(parents=True)
