@@ -3,8 +3,13 @@
 Each stage takes the documents its predecessor kept, as a table, and its
 decisions take effect: rejected documents go, matched lines leave the texts,
 one document of each group of near duplicates stays (the least doc_id),
-contaminated documents go, and the last stage gives a row of tokens for each
-document that is left.
+contaminated documents go, and the last stage gives the identifiers of each
+document that is left, with their number and digests.
+
+Of every stage: null and empty texts have no words, so the first stage rejects
+them; a null doc_id is a value like any other and rows that repeat a doc_id
+stay or go together; columns of other names stay as they are; an empty table
+gives an empty table.  The last stage reads doc_id and text only.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs, *bpe.vocabulary())
+    return bpe.digests(docs, *bpe.vocabulary(), with_ids=True)
 
 
 STAGES = [
@@ -51,6 +56,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:  # its successor is written, nothing reads it any more
+            scratch.drop(before)
+        before = docs
     return docs
