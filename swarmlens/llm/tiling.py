@@ -2,13 +2,19 @@
 
 Benchmark items are cut into blocks of bounded size; a block's seeds (hashes
 of ``seed`` words in a row) go to every task, and documents are joined with
-them by hash where they are read, so texts are never shuffled.  For a document
-and an item with a common seed, tiles are marked greedily: the longest common
-run of unmarked words first, found by Karp-Rabin hashes of a length that
-starts long and shrinks to the seed length, then the next longest, until none
-of ``seed`` words is left.  Tiles don't overlap on either side and may lie in
-any order, so reordered passages count.  A document is contaminated by an
-item if its tiles cover at least ``coverage`` of the item's words.
+them by hash where they are read, so texts are never shuffled.  An item that
+tiles cover far enough has a certain number of its seeds in the document, so
+of its seeds only the rarest are looked up, as many as make it sure that one of
+them is hit: a seed that many items share finds no candidates.  For a document
+and a candidate, tiles are marked greedily: the longest common run of unmarked
+words first, found by Karp-Rabin hashes of a length that starts long and
+shrinks to the seed length, then the next longest, until none of ``seed`` words
+is left.  Equal tiles are marked in the order of their places in the document,
+then in the item; words are compared when a tile is marked.  Tiles don't
+overlap on either side and may lie in any order, so reordered passages count.
+A document is contaminated by an item if its tiles cover at least ``coverage``
+of the item's words.  An item of fewer than ``seed`` words is one seed: it has
+to occur whole.
 """
 
 from __future__ import annotations
@@ -28,24 +34,60 @@ COVERAGE = 0.5
 BLOCK_WORDS = 2_000_000  #: benchmark words that a task holds at once, at most (about 100 MB)
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (start in doc, start in item, length) of two word-hash arrays, longest first."""
+def tiles(doc: np.ndarray, item: np.ndarray, seed: int, least: float = 0) -> list[tuple[int, int, int]]:
+    """Greedy tiles (start in doc, start in item, length) of two word-hash arrays, longest first.
+
+    None are looked for if fewer than ``least`` words of the item are in common seeds.
+    """
     free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
-    found = []
-    length = min(len(doc), len(item))
+    # only words in a common seed can be in a tile
+    for mine, other, free in ((doc, item, free_doc), (item, doc, free_item)):
+        reach = np.zeros(len(mine) + 1, np.int64)
+        at = np.flatnonzero(np.isin(_rolled(mine, seed), _rolled(other, seed))) if len(mine) >= seed <= len(other) else np.zeros(0, np.int64)
+        np.add.at(reach, at, 1)
+        np.add.at(reach, at + seed, -1)
+        free &= np.cumsum(reach)[:-1] > 0
+    found: list[tuple[int, int, int]] = []
+    if free_item.sum() < least:
+        return found
+    length = min(int(free_doc.sum()), int(free_item.sum()))
     while length >= seed:
-        longest, matches = _longest(doc, item, free_doc, free_item, length, seed)
-        if longest < seed:
+        length, a, b, hash_a, hash_b = _longest(doc, item, free_doc, free_item, length, seed)
+        if length < seed:
             break
-        length = longest
-        for a, b in matches:
-            if free_doc[a : a + length].all() and free_item[b : b + length].all():
-                free_doc[a : a + length] = False
-                free_item[b : b + length] = False
-                found.append((a, b, length))
+        _mark(doc, item, free_doc, free_item, length, a, b, hash_a, hash_b, found)
+        length -= 1
     return found
 
 
+def _mark(doc, item, free_doc, free_item, length, a, b, hash_a, hash_b, found) -> None:
+    """Mark the equal runs of one length, from the left; a run that is in the way of one is in the way for good."""
+    order = np.argsort(hash_b, kind="stable")
+    hash_b, b = hash_b[order], b[order]
+    left = np.searchsorted(hash_b, hash_a, "left")
+    right = np.searchsorted(hash_b, hash_a, "right")
+    hit = np.flatnonzero(right > left)
+    pointer: dict[int, int] = {}
+    after = 0
+    for x, lo, hi in zip(a[hit].tolist(), left[hit].tolist(), right[hit].tolist()):
+        if x < after:  # within the last tile of the document
+            continue
+        k = pointer.get(lo, lo)
+        while k < hi:
+            y = int(b[k])
+            # tiles of this round are equally long, so one in the way holds an end
+            if free_item[y] and free_item[y + length - 1]:
+                break
+            k += 1
+        if k < hi and np.array_equal(doc[x : x + length], item[y : y + length]):
+            free_doc[x : x + length] = False
+            free_item[y : y + length] = False
+            found.append((x, y, length))
+            after = x + length
+            k += 1
+        pointer[lo] = k
+
+
 def _runs(free: np.ndarray, length: int) -> np.ndarray:
     """Starts of ``length`` free places in a row."""
     if len(free) < length:
@@ -54,36 +96,20 @@ def _runs(free: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(total[length:] - total[:-length] == length)
 
 
-def _longest(doc, item, free_doc, free_item, at_most: int, seed: int):
-    """The greatest length up to ``at_most`` with a common free run, and all its matches in order of places."""
-    low, high, best = seed, at_most, (0, [])
+def _longest(doc, item, free_doc, free_item, at_most: int, seed: int) -> tuple:
+    """The greatest length up to ``at_most`` with a common free run, the free runs of it and their hashes."""
+    low, high, best = seed, at_most, (0, None, None, None, None)
     while low <= high:  # a common run of n words holds one of n - 1
         length = (low + high + 1) // 2
-        matches = _common(doc, item, free_doc, free_item, length)
-        if matches:
-            best, low = (length, matches), length + 1
+        a, b = _runs(free_doc, length), _runs(free_item, length)
+        hash_a, hash_b = _rolled(doc, length)[a] if len(a) else a, _rolled(item, length)[b] if len(b) else b
+        if len(a) and len(b) and np.isin(hash_b, hash_a).any():
+            best, low = (length, a, b, hash_a, hash_b), length + 1
         else:
             high = length - 1
     return best
 
 
-def _common(doc, item, free_doc, free_item, length: int) -> list[tuple[int, int]]:
-    a, b = _runs(free_doc, length), _runs(free_item, length)
-    if not len(a) or not len(b):
-        return []
-    hash_doc, hash_item = _rolled(doc, length)[a], _rolled(item, length)[b]
-    by_hash: dict[int, list[int]] = {}
-    for h, place in zip(hash_item.tolist(), b.tolist()):
-        by_hash.setdefault(h, []).append(place)
-    hit = np.flatnonzero(np.isin(hash_doc, hash_item))
-    return [
-        (int(a[k]), place)
-        for k in hit
-        for place in by_hash[int(hash_doc[k])]
-        if np.array_equal(doc[a[k] : a[k] + length], item[place : place + length])
-    ]
-
-
 def _rolled(code: np.ndarray, length: int) -> np.ndarray:
     """Karp-Rabin hashes of all runs of ``length``, from running sums modulo 2**64."""
     power, inverse = power_tables(len(code) + 1)
@@ -94,34 +120,62 @@ def _rolled(code: np.ndarray, length: int) -> np.ndarray:
 
 
 class _Items:
-    """Benchmark items of a block with their seeds in order of hash."""
+    """Benchmark items of a block with the seeds they are looked up by, by width and in order of hash."""
 
-    def __init__(self, ids: list[int], texts: list[str], seed: int):
-        self.ids, self.seed = ids, seed
+    def __init__(self, ids: list[int], texts: list[str], seed: int, coverage: float):
+        self.ids = ids
         w = words(texts)
         self.words = [w.hash[w.offset[k] : w.offset[k + 1]] for k in range(len(ids))]
-        short = [len(x) < seed for x in self.words]  # such an item is one seed of its own length: never matched
-        codes = [windows(x, seed) if not s else np.zeros(0, np.uint64) for x, s in zip(self.words, short)]
-        code = np.concatenate([*codes, np.zeros(0, np.uint64)])
-        owner = np.repeat(np.arange(len(ids)), [len(c) for c in codes])
-        order = np.argsort(code, kind="stable")
-        self.code, self.owner = code[order], owner[order]
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.code >> np.uint64(44)).astype(np.int64)] = True
+        self.width = [min(seed, len(x)) for x in self.words]
+        codes = [windows(x, n) if n else np.zeros(0, np.uint64) for x, n in zip(self.words, self.width)]
+        known, times = np.unique(np.concatenate([*codes, np.zeros(0, np.uint64)]), return_counts=True)
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width in sorted({n for n in self.width if n}):
+            picked, owner = [], []
+            for k, code in enumerate(codes):
+                if self.width[k] == width:
+                    # tiles over s seeds cover at most s * width words
+                    least = max(1, int(np.ceil(coverage * len(self.words[k]) / width)))
+                    rare = np.argsort(times[np.searchsorted(known, code)], kind="stable")[: len(code) - least + 1]
+                    picked.append(np.unique(code[rare]))
+                    owner.append(np.full(len(picked[-1]), k))
+            code, who = np.concatenate(picked), np.concatenate(owner)
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            marked = np.zeros(1 << 20, bool)
+            marked[(code >> np.uint64(44)).astype(np.int64)] = True
+            self.seeds[width] = code, who[order], marked
+
+    def candidates(self, w) -> list[tuple[int, int]]:
+        """(text, item) of the texts of ``w`` that have one of the seeds of an item."""
+        pairs: list[np.ndarray] = []
+        for width, (code, owner, marked) in self.seeds.items():
+            met = windows(w.hash, width)
+            where = np.flatnonzero(marked[(met >> np.uint64(44)).astype(np.int64)])
+            doc = np.searchsorted(w.offset, where, "right") - 1
+            inside = where + width <= w.offset[doc + 1]
+            # a seed counts once in a text, however often it stands there
+            doc, met = np.unique(np.stack((doc[inside].astype(np.uint64), met[where[inside]])), axis=1) if inside.any() else (np.zeros(0, np.uint64),) * 2
+            left, right = np.searchsorted(code, met, "left"), np.searchsorted(code, met, "right")
+            doc = np.repeat(doc.astype(np.int64), right - left)
+            at = np.arange(len(doc)) - np.repeat(np.cumsum(right - left) - (right - left), right - left) + np.repeat(left, right - left)
+            pairs.append(np.unique(np.stack((doc, owner[at])), axis=1) if len(doc) else np.zeros((2, 0), np.int64))
+        return list(zip(*np.concatenate(pairs, axis=1).tolist())) if pairs else []
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, tiles, matched_words, item_words, coverage) of the contaminated documents, by item.
 
     Only pairs at or above ``coverage`` are listed.  Null or empty texts and
-    items, and items of fewer than ``seed`` words, match nothing; repeated rows
-    of documents give repeated rows; empty tables give no rows; other columns
-    are not looked at.
+    items match nothing, nor do items of a null item_id; a null doc_id is kept;
+    an item of fewer than ``seed`` words has to occur whole; texts of any
+    length are read whole; repeated rows of documents, and of items, give
+    repeated rows; empty tables give no rows; other columns are not looked at.
     """
     schema = "doc_id long, item_id long, tiles long, matched_words long, item_words long, coverage double"
     found = None
     for ids, texts in _item_blocks(benchmark):
-        part = _against(docs, _Items(ids, texts, seed), coverage, schema)
+        part = _against(docs, _Items(ids, texts, seed, coverage), seed, coverage, schema)
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
@@ -142,30 +196,16 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
         yield ids, texts
 
 
-def _against(docs: DataFrame, items: _Items, coverage: float, schema: str) -> DataFrame:
+def _against(docs: DataFrame, items: _Items, seed: int, coverage: float, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
             for a, b in blocks(texts):
                 w = words(texts[a:b])
-                code = windows(w.hash, items.seed)
-                where = np.flatnonzero(items.filter[(code >> np.uint64(44)).astype(np.int64)])
-                doc = np.searchsorted(w.offset, where, "right") - 1
-                inside = where + items.seed <= w.offset[doc + 1]
-                where, doc = where[inside], doc[inside]
-                left = np.searchsorted(items.code, code[where], "left")
-                right = np.searchsorted(items.code, code[where], "right")
-                pairs: dict[tuple[int, int], int] = {}
-                for d, x, y in zip(doc.tolist(), left.tolist(), right.tolist()):
-                    for item in set(items.owner[x:y].tolist()):
-                        pairs[d, item] = pairs.get((d, item), 0) + 1
-                for (d, item), seeds in pairs.items():
+                for d, item in items.candidates(w):
                     known = items.words[item]
-                    # tiles over s seeds cover at most s * seed words
-                    if seeds * items.seed < coverage * len(known):
-                        continue
-                    found = tiles(w.hash[w.offset[d] : w.offset[d + 1]], known, items.seed)
+                    found = tiles(w.hash[w.offset[d] : w.offset[d + 1]], known, items.width[item], coverage * len(known))
                     matched = sum(n for _, _, n in found)
                     if matched >= coverage * len(known):
                         out.append((ids[a + d], items.ids[item], len(found), matched, len(known), matched / len(known)))
