@@ -6,7 +6,8 @@ text's byte trigrams (A-Z in lower case; runs of bytes that can't be in a word
 count as one blank) of the log-odds of the trigram, both sides smoothed.  Its
 counts come from all labelled rows in one pass.  Decoding adds up, for every
 language, the logistic losses of the bits' margins against its codeword, bits
-weighted by how well they do on the labelled rows, and takes the least; the
+weighted by the least mean margin they have for a language's own trigrams
+(counted over all labelled rows), and takes the least; the
 score is the softmax of the negative losses, and the result is ambiguous if
 the second language is near.
 """
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from swarmlens.llm.wordhash import blocks
 
 BUCKETS = 1 << 16
+MOST_LANGUAGES = 256  #: of more labels the most frequent ones are learned
 SHARPNESS = 4.0
 AMBIGUOUS = 0.2
 _LETTER = regex.compile(r"\p{L}")
@@ -70,12 +72,14 @@ def codewords(n: int, bits: int = 0) -> np.ndarray:
     bits = bits or 4 * int(np.ceil(np.log2(n))) + 7
     rng = np.random.default_rng(20)
     best, far = None, -1
-    for _ in range(200):
+    for _ in range(50):
         table = rng.integers(0, 2, (n, bits)).astype(np.int8)
-        apart = (table[:, None, :] != table[None, :, :]).sum(2)
-        least = apart[~np.eye(n, dtype=bool)].min()
-        if least > far and (table.any(0) & ~table.all(0)).all():
-            best, far = table, least
+        table[0], table[1] = 0, 1  # no bit is alike for all
+        signs = (2 * table - 1).astype(np.float32)
+        apart = (bits - signs @ signs.T) / 2
+        np.fill_diagonal(apart, bits)
+        if apart.min() > far:
+            best, far = table, apart.min()
     return best
 
 
@@ -128,12 +132,20 @@ class OutputCodes:
 
 
 def fit(docs: DataFrame) -> OutputCodes:
-    """Classifiers from every row of ``docs`` (doc_id, text, lang) with a lang that isn't held out."""
+    """Classifiers from every row of ``docs`` (doc_id, text, lang) with a lang that isn't held out.
+
+    Of more than MOST_LANGUAGES labels the most frequent ones are learned, ties
+    by name; a null or empty text teaches its label only; a null doc_id is not
+    held out; repeated rows count as often as they stand.
+    """
+    hash_of = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary"))
+    labelled = docs.where(F.col("lang").isNotNull() & ~F.coalesce(hash_of % 4 == 2, F.lit(False))).groupBy(F.col("lang").cast("string").alias("lang")).count()
+    known = frozenset(r["lang"] for r in labelled.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            rows = [(t, g) for i, t, g in zip(*(batch.column(k).to_pylist() for k in range(3))) if g is not None and not held_out(i)]
+            rows = [(t, g) for i, t, g in zip(*(batch.column(k).to_pylist() for k in range(3))) if g in known and not held_out(i)]
             texts, langs = [r[0] for r in rows], np.array([r[1] for r in rows], object)
             for a, b in blocks(texts):
                 code, offset = trigrams(texts[a:b])
@@ -146,7 +158,7 @@ def fit(docs: DataFrame) -> OutputCodes:
             yield pa.RecordBatch.from_arrays([pa.array([g] * len(bucket)), pa.array(bucket, pa.int32()), pa.array(counts[bucket])], names=["lang", "bucket", "n"])
 
     counts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "lang string, bucket int, n long")
-    counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages * BUCKETS rows at most
+    counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # MOST_LANGUAGES * BUCKETS rows at most
     languages = sorted(counts["lang"].unique())
     table = np.zeros((len(languages), BUCKETS))
     table[counts["lang"].map({g: k for k, g in enumerate(languages)}).to_numpy(int), counts["bucket"].to_numpy(int)] = counts["n"]
