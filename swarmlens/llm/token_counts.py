@@ -48,7 +48,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, sep
         with system.open_output_stream(place) as out:
             for batch in batches:
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    data = bpe.encode(text.as_py() or "").astype("<u2").tobytes() + end
+                    tokens = bpe.encode(text.as_py() or "")
+                    if len(tokens) and int(tokens.max()) > 0xFFFF:
+                        raise ValueError("identifiers of more than 16 bits don't fit a token file")
+                    data = tokens.astype("<u2").tobytes() + end
                     out.write(data)
                     size += len(data)
                     ids.append(i)
@@ -62,14 +65,15 @@ def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, sep
     return docs.mapInArrow(run, "file string, ordinal long, doc_id long, bytes long")
 
 
-def scan(files: DataFrame, separator: int = END_OF_DOCUMENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def scan(files: DataFrame, scratch: Scratch, separator: int = END_OF_DOCUMENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(file, ordinal, n_tokens) of every document in ``files`` (file, bytes), counted without its separator.
 
-    Tokens after a file's last separator are a last document; an empty file
-    and an empty table have none.
+    Tokens after a file's last separator are a last document; half a token at
+    the end of a file is none; an empty file and an empty table have none.
     """
     step = 2 * block_tokens
-    parts = files.where("bytes > 0").withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(step).cast("long"))))
+    whole = files.select("file", F.expr("bytes - bytes % 2").alias("bytes")).where("bytes > 0")
+    parts = whole.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(step).cast("long"))))
     parts = parts.repartition("file", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,13 +91,16 @@ def scan(files: DataFrame, separator: int = END_OF_DOCUMENT, block_tokens: int =
                 )
 
     found = parts.select("file", "bytes", "start").mapInArrow(run, "file string, start long, n long, last long, ends array<long>")
+    found = scratch.keep(found, "blocks")
+    # the scan over blocks carries their summaries only
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = found.select(
+    summary = found.select(
         "file",
-        "ends",
+        "start",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skipped"),
         F.coalesce(F.max("last").over(before), F.lit(-1)).alias("previous"),
     )
+    stitched = found.select("file", "start", "ends").hint("merge").join(summary, ["file", "start"])
     lengths = F.transform("ends", lambda end, k: end - F.when(k == 0, F.col("previous")).otherwise(F.get("ends", k - 1)) - 1)
     each = stitched.select("file", "skipped", F.posexplode(lengths).alias("k", "n_tokens"))
     return each.select("file", (F.col("skipped") + F.col("k")).alias("ordinal"), "n_tokens")
@@ -102,13 +109,16 @@ def scan(files: DataFrame, separator: int = END_OF_DOCUMENT, block_tokens: int =
 def token_counts(docs: DataFrame, path: str, pattern: str, scratch: Scratch | None = None) -> DataFrame:
     """One row (doc_id, n_tokens) per row of ``docs`` (doc_id, text), by scanning its token files.
 
-    A null text is an empty document of no tokens; repeated rows are counted
-    each; an empty table gives no rows; other columns are not looked at.
+    A null text is an empty document of no tokens; a null doc_id is kept;
+    repeated rows are counted each; texts of any length are written whole and
+    scanned in blocks; an empty table gives no rows; other columns are not
+    looked at.
     """
     scratch = scratch or Scratch(docs.sparkSession, "tokens")
     written = scratch.keep(write_token_files(docs, scratch.path("files"), path, pattern), "manifest")
-    counts = scan(written.where("bytes is not null").select("file", "bytes"))
-    return written.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
+    counts = scan(written.where("bytes is not null").select("file", "bytes"), scratch)
+    # both sides grow with the documents, so neither is broadcast
+    return written.hint("merge").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
