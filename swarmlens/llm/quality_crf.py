@@ -4,9 +4,14 @@ A text's lines with a word form a sequence.  Each line has a few bucketed
 features; the conditional random field adds a weight per bucket and label and
 one per pair of neighbouring labels.  It is fitted by gradient ascent on the
 exact conditional log-likelihood (forward-backward) of a bounded sample of
-labelled documents: the lines of documents of quality 1 are content, those of
-quality 0 boilerplate.  Viterbi decoding labels a document's lines; it is kept
-if the base rules don't fail and at least half of its words are content.
+labelled documents.  The labels are those of documents, so the labels of lines
+are latent: they begin as what each line looks like by itself, and after each
+fit they are what the field finds most likely, always held to the document's
+label - at least ``CONTENT_SHARE`` of the words of a document of quality 1 are
+content, fewer of one of quality 0, and the least certain lines give way.
+
+Viterbi decoding labels a document's lines; it is kept if the base rules don't
+fail and at least ``CONTENT_SHARE`` of its words are content.
 
 Without labelled documents of both kinds every line is content.
 """
@@ -25,6 +30,7 @@ from swarmlens.llm.wordhash import Words, blocks, mix, windows, words
 
 U64 = np.uint64
 TRAIN_DOCS = 3000  #: labelled documents of each quality that the field is fitted on, at most
+PIECE, PIECES = 32, 8  #: a sampled document gives up to PIECES pieces of PIECE lines, spread over it
 CONTENT_SHARE = 0.5
 _SHARES = np.array([0.02, 0.1, 0.3, 0.6, 0.9])
 _LENGTHS = np.array([3, 8, 20, 60])
@@ -140,47 +146,45 @@ class ChainCRF:
         """(lines, 2) emission scores."""
         return self.emission[np.arange(GROUPS), features].sum(1)
 
-    def fit(self, sequences: list[np.ndarray], labels: list[int], rounds: int = 80, ridge: float = 1.0, rate: float = 0.3) -> ChainCRF:
-        """Gradient ascent (Adagrad) on the penalised conditional log-likelihood; every line of a sequence has its label."""
-        order = np.argsort([-len(s) for s in sequences], kind="stable")
-        sequences = [sequences[k] for k in order]
-        y = np.array([labels[k] for k in order])
-        size = np.array([len(s) for s in sequences])
-        longest = size.max()
-        alive = [int((size > t).sum()) for t in range(longest)]
-        flat = np.concatenate(sequences)
-        starts = np.concatenate(([0], np.cumsum(size)))[:-1]
-        rows = [starts[: alive[t]] + t for t in range(longest)]
-        true = np.repeat(y, size)
-        groups = np.arange(GROUPS)
-        seen_e = np.zeros_like(self.emission)
-        seen_t = np.zeros_like(self.transition)
+    def posterior(self, flat: np.ndarray, rows: list[np.ndarray], alive: list[int]) -> tuple[np.ndarray, ...]:
+        """(score, forward, backward) of all lines of the sequences whose t-th lines are ``rows[t]``, longest sequences first."""
+        score = self.scores(flat)
+        forward, backward = np.zeros_like(score), np.zeros_like(score)
+        forward[rows[0]] = score[rows[0]]
+        for t in range(1, len(rows)):
+            before = forward[rows[t] - 1][:, :, None] + self.transition
+            forward[rows[t]] = np.logaddexp(before[:, 0], before[:, 1]) + score[rows[t]]
+        for t in range(len(rows) - 2, -1, -1):
+            after = (backward[rows[t + 1]] + score[rows[t + 1]])[:, None, :] + self.transition
+            backward[rows[t][: alive[t + 1]]] = np.logaddexp(after[:, :, 0], after[:, :, 1])
+        return score, forward, backward
+
+    def gradient(self, flat: np.ndarray, true: np.ndarray, rows: list[np.ndarray], alive: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Of the conditional log-likelihood of the labels ``true``, by emission and by transition."""
+        score, forward, backward = self.posterior(flat, rows, alive)
+        both = forward + backward
+        error = -np.exp(both - np.logaddexp(both[:, 0], both[:, 1])[:, None])
+        error[np.arange(len(true)), true] += 1
+        gain = np.zeros_like(self.emission)
+        for g in range(GROUPS):
+            for label in (0, 1):
+                gain[g, :, label] = np.bincount(flat[:, g], error[:, label], BUCKETS)
+        turn = np.zeros((2, 2))
+        for t in range(1, len(rows)):
+            at = rows[t]
+            pair = forward[at - 1][:, :, None] + self.transition + (score[at] + backward[at])[:, None, :]
+            pair -= np.logaddexp.reduce(pair.reshape(len(at), 4), axis=1)[:, None, None]
+            turn -= np.exp(pair).sum(0)
+            turn += np.bincount(2 * true[at - 1] + true[at], minlength=4).reshape(2, 2)
+        return gain, turn
+
+    def fit(self, sequences: list[np.ndarray], labels: list[np.ndarray], rounds: int = 40, ridge: float = 1.0, rate: float = 0.3) -> ChainCRF:
+        """Gradient ascent (Adagrad) on the penalised conditional log-likelihood of the lines' labels."""
+        order, flat, rows, alive = _laid_out(sequences)
+        true = np.concatenate([labels[k] for k in order]).astype(np.int64)
+        seen_e, seen_t = np.zeros_like(self.emission), np.zeros_like(self.transition)
         for _ in range(rounds):
-            score = self.scores(flat)
-            forward, backward = np.zeros_like(score), np.zeros_like(score)
-            forward[rows[0]] = score[rows[0]]
-            for t in range(1, longest):
-                before = forward[rows[t] - 1][:, :, None] + self.transition
-                forward[rows[t]] = np.logaddexp(before[:, 0], before[:, 1]) + score[rows[t]]
-            for t in range(longest - 2, -1, -1):
-                k = alive[t + 1]
-                after = (backward[rows[t + 1]] + score[rows[t + 1]])[:, None, :] + self.transition
-                backward[rows[t][:k]] = np.logaddexp(after[:, :, 0], after[:, :, 1])
-            both = forward + backward
-            share = np.exp(both - np.logaddexp(both[:, 0], both[:, 1])[:, None])
-            error = -share
-            error[np.arange(len(true)), true] += 1
-            gain = np.zeros_like(self.emission)
-            for g in groups:
-                for label in (0, 1):
-                    gain[g, :, label] = np.bincount(flat[:, g], error[:, label], BUCKETS)
-            turn = np.zeros((2, 2))
-            for t in range(1, longest):
-                at = rows[t]
-                pair = forward[at - 1][:, :, None] + self.transition + (score[at] + backward[at])[:, None, :]
-                pair -= np.logaddexp.reduce(pair.reshape(len(at), 4), axis=1)[:, None, None]
-                turn -= np.exp(pair).sum(0)
-                turn[[0, 1], [0, 1]] += np.bincount(y[: alive[t]], minlength=2)
+            gain, turn = self.gradient(flat, true, rows, alive)
             gain -= ridge * self.emission
             turn -= ridge * self.transition
             seen_e += gain**2
@@ -189,6 +193,24 @@ class ChainCRF:
             self.transition = self.transition + rate * turn / np.sqrt(seen_t + 1e-9)
         return self
 
+    def fit_latent(self, sequences: list[np.ndarray], sizes: list[np.ndarray], quality: list[int], passes: int = 3) -> ChainCRF:
+        """Fit to labels of documents: ``sizes`` are the words of the lines, ``quality`` is 1 or 0 a sequence."""
+        order, flat, rows, alive = _laid_out(sequences)
+        ends = np.cumsum([len(sequences[k]) for k in order])
+        for step in range(passes + 1):
+            if step == 0:  # lines by themselves, each with its document's label
+                alone = [s[k : k + 1] for s in sequences for k in range(len(s))]
+                self.fit(alone, [np.array([1 - q]) for s, q in zip(sequences, quality) for _ in range(len(s))])
+                self.transition[:] = 0
+            _, forward, backward = self.posterior(flat, rows, alive)
+            margin = (forward + backward) @ np.array([-1.0, 1.0])  # above 0: boilerplate
+            labels: list[np.ndarray] = [np.zeros(0)] * len(sequences)
+            for k, part in zip(order, np.split(margin, ends[:-1])):
+                labels[k] = _held_to(part, sizes[k], quality[k])
+            if step < passes:
+                self.fit(sequences, labels)
+        return self
+
     def viterbi(self, score: np.ndarray) -> list[int]:
         """The best labels of one sequence; ties go to content."""
         (a, b), (c, d) = self.transition.tolist()
@@ -212,8 +234,37 @@ class ChainCRF:
         return out[::-1]
 
 
+def _laid_out(sequences: list[np.ndarray]) -> tuple:
+    """(order, lines, rows, alive): the lines of the sequences, longest first, and the t-th lines of all that have one."""
+    order = np.argsort([-len(s) for s in sequences], kind="stable")
+    size = np.array([len(sequences[k]) for k in order])
+    flat = np.concatenate([sequences[k] for k in order])
+    starts = np.cumsum(size) - size
+    alive = [int((size > t).sum()) for t in range(size.max())]
+    return order, flat, [starts[:n] + t for t, n in enumerate(alive)], alive
+
+
+def _held_to(margin: np.ndarray, size: np.ndarray, quality: int) -> np.ndarray:
+    """Labels by the sign of ``margin``, with the least certain lines turned until the share of content suits ``quality``."""
+    label = (margin > 0).astype(np.int64)
+    wrong = 0 if quality == 0 else 1  # the label that has too many words
+    words_ = size.sum()
+    for k in np.argsort(np.where(label == wrong, np.abs(margin), np.inf), kind="stable"):
+        share = size[label == 0].sum() / words_
+        if (share >= CONTENT_SHARE) == (quality == 1):
+            break
+        label[k] = 1 - label[k]
+    return label
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> ChainCRF:
-    """The field fitted on up to ``train_docs`` labelled documents of each quality, taken by a hash of doc_id."""
+    """The field fitted on up to ``train_docs`` labelled documents of each quality, taken by a hash of doc_id.
+
+    Each gives up to PIECES pieces of PIECE lines.  Null doc_ids, null texts
+    and other qualities are left out; the greater of contradicting labels holds;
+    rows that repeat a doc_id are documents each; without rows of both
+    qualities the field is flat.
+    """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = None
     for quality in (0, 1):
@@ -226,15 +277,22 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Cha
             texts, quality = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in blocks(texts):
                 lines = Lines(texts[a:b])
-                parts = [lines.features[lines.offset[k] : lines.offset[k + 1]].tobytes() for k in range(b - a)]
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), pa.array(quality[a:b], pa.int32())], names=["features", "quality"])
-
-    rows = sample.select("text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "features binary, quality int").collect()
-    rows = sorted((r for r in rows if r["features"]), key=lambda r: (r["quality"], r["features"]))
+                rows = []
+                for k in range(b - a):
+                    left, right = lines.offset[k], lines.offset[k + 1]
+                    pieces = -(-(right - left) // PIECE)
+                    for p in sorted({pieces * j // PIECES for j in range(PIECES)}) if pieces else ():
+                        some = slice(left + p * PIECE, min(right, left + (p + 1) * PIECE))
+                        rows.append((lines.features[some].tobytes(), lines.words[some].astype("<i8").tobytes(), quality[a + k]))
+                columns = list(zip(*rows)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int32())], names=["features", "words", "quality"])
+
+    rows = sample.select("text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "features binary, words binary, quality int")
+    rows = sorted(rows.collect(), key=lambda r: (r["quality"], r["features"], r["words"]))  # 2 * train_docs * PIECES rows at most
     if len({r["quality"] for r in rows}) < 2:
         return ChainCRF()
     sequences = [np.frombuffer(r["features"], np.uint8).reshape(-1, GROUPS) for r in rows]
-    return ChainCRF().fit(sequences, [1 - r["quality"] for r in rows])
+    return ChainCRF().fit_latent(sequences, [np.frombuffer(r["words"], "<i8") for r in rows], [r["quality"] for r in rows])
 
 
 def judged(docs: DataFrame, crf: ChainCRF, content_share: float = CONTENT_SHARE) -> DataFrame:
