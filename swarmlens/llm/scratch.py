@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset."""
+    """``spark.checkpoint.dir`` of the session; a local folder only where that is unset and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="swarmlens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
