@@ -1,10 +1,11 @@
 """Line dedup (3): a deletion-neighbourhood join over the words of lines.
 
 A line is its sequence of words, A-Z in lower case.  Two lines match when they
-are equal or, if both have at least ``MIN_WORDS`` words, when one word put in,
-left out or replaced makes them equal.  A line goes if an earlier line of the
-corpus (by doc_id, then line) matches it; of a group of copies the earliest
-stays.  Lines without a word are left alone.
+are equal or within the edit bound of their length: one word put in, left out
+or replaced where that leaves them 0.8 alike, which it does from ``MIN_WORDS``
+words on.  A line goes if an earlier line of the corpus (by doc_id, then line)
+matches it; of a group of copies the earliest stays.  Lines without a word are
+left alone.
 
 1.  Emit variants.  A variant of a line is what is left after at most one
     deletion, and lines within the bound share a variant.  A first key of a
@@ -15,9 +16,10 @@ stays.  Lines without a word are left alone.
 2.  The rest, read again, emit the hash of every variant with the place of
     the deletion.  Lines with one variant and one place differ in that word
     only; a line that is itself a variant of another lacks one word of it.
-    So equality on (variant, place) is the edit distance check, and the
-    earliest line of each group comes from a min-aggregation that combines
+    The earliest line of each group comes from a min-aggregation that combines
     before the shuffle: no pairs are made, however many copies a line has.
+3.  Verify.  A line and the earliest of its group are compared word by word:
+    without the word of that place they have to be equal.
 """
 
 from __future__ import annotations
@@ -31,13 +33,12 @@ from pyspark.sql import functions as F
 
 from swarmlens.llm.rows import numbered
 from swarmlens.llm.scratch import Scratch
-from swarmlens.llm.sketch import counted_bits
+from swarmlens.llm.sketch import among, hashed, marked_bits
 from swarmlens.llm.wordhash import blocks, mix, power_tables, words
 
 U64 = np.uint64
-MIN_WORDS = 8
+MIN_WORDS = 5  #: words of the shortest lines that match with one word changed
 SELECTED = 4
-BITS = 22
 
 
 class LineWords:
@@ -66,24 +67,27 @@ class LineWords:
 
     def keys(self) -> np.ndarray:
         """(lines, SELECTED + 2) first keys of the variants of every line."""
-        w, n = self.words, len(self.size)
-        line = np.repeat(np.arange(n), self.size)
-        at = np.repeat(self.left - np.concatenate(([0], np.cumsum(self.size)))[:-1], self.size) + np.arange(len(line))
-        order = mix(w.hash[at] ^ U64(0x5851F42D4C957F2D)) >> U64(1)
-        order |= ((w.end[at] - w.start[at]) <= 4).astype(U64) << U64(63)
-        sort = np.lexsort((order, line))
-        order, line = order[sort], line[sort]
-        new = np.ones(len(line), bool)
-        new[1:] = (line[1:] != line[:-1]) | (order[1:] != order[:-1])
-        order, line = order[new], line[new]
-        first = np.searchsorted(line, np.arange(n))
-        place = np.arange(len(line)) - first[line]
+        n = len(self.size)
+        return np.concatenate([self._keys(k, min(n, k + (1 << 20))) for k in range(0, n, 1 << 20)] or [np.zeros((0, SELECTED + 2), U64)])
+
+    def _keys(self, a: int, b: int) -> np.ndarray:
+        w, n, sizes = self.words, b - a, self.size[a:b]
+        line = np.repeat(np.arange(n), sizes)
+        at = np.repeat(self.left[a:b] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(line))
+        order = mix(w.hash[at] ^ U64(0x5851F42D4C957F2D)) >> U64(25)
+        order |= ((w.end[at] - w.start[at]) <= 4).astype(U64) << U64(39)
+        order |= line.astype(U64) << U64(40)
+        order.sort()
+        order = order[np.concatenate((order[:1] == order[:1], order[1:] != order[:-1]))]
+        line = (order >> U64(40)).astype(np.int64)
+        order &= U64((1 << 40) - 1)
+        place = np.arange(len(line)) - np.searchsorted(line, np.arange(n))[line]
         table = np.zeros((n, SELECTED + 1), U64)  # 0 where a line has fewer different words
         pick = place <= SELECTED
         table[line[pick], place[pick]] = mix(order[pick])
         whole = table[:, :SELECTED].sum(1, dtype=U64)
         more = whole + table[:, SELECTED]
-        size = self.size.astype(U64)
+        size = sizes.astype(U64)
         out = np.empty((n, SELECTED + 2), U64)
         out[:, 0] = self._named(whole, size)
         out[:, 1] = self._named(whole, size - U64(1))
@@ -91,12 +95,23 @@ class LineWords:
             out[:, 2 + k] = self._named(more - table[:, k], size - U64(1))
         return out
 
-    def variants(self, k: int) -> np.ndarray:
-        """Hash of line k without its first, second, ... word."""
-        left, right = self.left[k], self.right[k]
-        before = self.total[left:right] - self.total[left]
-        after = (self.total[right] - self.total[left + 1 : right + 1]) * self.inverse[1]
-        return self._named((before + after) * self.inverse[left], np.full(right - left, right - left - 1))
+    def variants(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, offset): of each line of ``pick`` its own, then without its first, second, ... word."""
+        size, left, right = self.size[pick], self.left[pick], self.right[pick]
+        line = np.repeat(np.arange(len(pick)), size)
+        at = np.repeat(left - (np.cumsum(size) - size), size) + np.arange(len(line))
+        before = self.total[at] - self.total[left[line]]
+        after = (self.total[right[line]] - self.total[at + 1]) * self.inverse[1]
+        offset = np.concatenate(([0], np.cumsum(size + 1)))
+        out = np.empty(offset[-1], U64)
+        out[offset[:-1]] = self.hash[pick]
+        out[np.arange(len(line)) + line + 1] = self._named((before + after) * self.inverse[left[line]], size[line] - 1)
+        return out, offset
+
+    def text(self, k: int) -> bytes:
+        """The words of line k with a space between."""
+        raw = self.words.data[self.words.start[self.left[k]] : self.words.end[self.right[k] - 1]].tobytes()
+        return b" ".join(raw.split())  # at the same six bytes that words end at
 
 
 def _numbers(docs: DataFrame) -> DataFrame:
@@ -130,89 +145,136 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
 
 
-def _shared_entries(lines: DataFrame, scratch: Scratch) -> DataFrame:
+def _alike(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """lids of lines that share a key with a different line."""
     shared = lines.select("lid", F.explode("keys").alias("key")).groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a < b").select("key")
     shared = scratch.keep(shared, "shared-keys")
-
-    def codes(batch):
-        yield batch.column(0).to_numpy(zero_copy_only=False).view(U64)
-
-    wanted = counted_bits(shared, codes, lambda counts: 0, bits=BITS)
-    shift = U64(64 - BITS)
+    wanted = marked_bits(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             key = lists.flatten().to_numpy(zero_copy_only=False)
             lid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False))
-            pick = wanted[(key.view(U64) >> shift).astype(np.int64)]
+            pick = among(wanted, key.view(U64))
             yield pa.RecordBatch.from_arrays([pa.array(key[pick]), pa.array(lid[pick])], names=["key", "lid"])
 
     entries = lines.select("lid", "keys").mapInArrow(run, "key long, lid long").distinct()
-    return entries.join(shared, "key", "left_semi").select("lid").distinct()
+    found = scratch.keep(entries.join(shared, "key", "left_semi").select("lid").distinct(), "alike")
+    scratch.drop(shared)
+    return found
 
 
-def dropped_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(lines, dropped): all lines with a word (doc_id, line), and those that an earlier line matches."""
-    docs = _numbers(docs)
-    lines = scratch.keep(_lines(docs), "lines")
-    first = lines.groupBy("lid").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    first = scratch.keep(first, "first")
-    again = lines.join(first, "lid").where("not (doc_id <=> first.doc_id and line = first.line)").select("doc_id", "line")
-    near = first.join(_shared_entries(lines, scratch), "lid").select("first.doc_id", "first.line", "lid")
-    near = scratch.keep(near, "near")
+def _variants(docs: DataFrame, near: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, line, words, n, variants) of the lines of ``near`` (doc_id, line); ``variants`` begins with the line's own hash.
 
-    def codes(batch):
-        yield _occurrence(_ids(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False))
+    ``words`` are the line's n words with a space between.
 
-    def hashes(batch):
-        yield batch.column(0).to_numpy(zero_copy_only=False).view(U64)
+    Lines that a bit array of bounded size lets through come with them, which changes nothing but the work.
+    """
+
+    def run_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = _occurrence(_ids(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64))], names=["h"])
 
-    wanted = counted_bits(near.select("doc_id", "line"), codes, lambda counts: 0, bits=BITS)
-    shift = U64(64 - BITS)
+    names = scratch.keep(near.select("doc_id", "line").mapInArrow(run_names, "h long"), "occurrences")
+    wanted = marked_bits(names)
+    scratch.drop(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), _ids(batch.column(0))
             for a, b in blocks(texts):
                 block = LineWords(texts[a:b])
-                mark = wanted[(_occurrence(ids[a:b][block.doc], block.number) >> shift).astype(np.int64)]
-                pick = np.flatnonzero(mark & (block.size >= MIN_WORDS))
+                pick = np.flatnonzero(among(wanted, _occurrence(ids[a:b][block.doc], block.number)) & (block.size >= MIN_WORDS))
                 if not len(pick):
                     continue
-                size = block.size[pick] + 1
-                variant = np.concatenate([np.concatenate((block.hash[k : k + 1], block.variants(k))) for k in pick])
-                place = np.concatenate([np.arange(-1, n - 1) for n in size])
-                doc = batch.column(0).slice(a, b - a).take(pa.array(np.repeat(block.doc[pick], size)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(variant.view(np.int64)), pa.array(place, pa.int32()), doc, pa.array(np.repeat(block.number[pick], size), pa.int32())],
-                    names=["variant", "place", "doc_id", "line"],
-                )
-
-    variants = docs.mapInArrow(run, "variant long, place int, doc_id long, line int")
+                variant, offset = block.variants(pick)
+                lists = pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(variant.view(np.int64)))
+                said = pa.array([block.text(k) for k in pick.tolist()], pa.binary()).cast(pa.string())
+                doc = batch.column(0).slice(a, b - a).take(pa.array(block.doc[pick]))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(block.number[pick], pa.int32()), said, pa.array(block.size[pick], pa.int32()), lists], names=["doc_id", "line", "words", "n", "variants"])
+
+    found = docs.mapInArrow(run, "doc_id long, line int, words string, n int, variants array<long>")
+    if wanted is None:  # no array could hold them
+        found = found.join(near.select(F.col("doc_id").alias("d"), F.col("line").alias("l")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l")), "left_semi")
+    return scratch.keep(found, "variants")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``at`` of ``pairs`` (at, with, place, kind) whose words bear the match out.
+
+    Kind 0: both lines lack the word at ``place``; 1: the line has it, its
+    partner is the rest; -1: the other way round.  In each case the words
+    before the place are equal, and so are those after it.
+    """
+    said = texts.select(F.struct("doc_id", "line").alias("at"), "words", "n").dropDuplicates(["at"])
+    both = pairs.join(said.toDF("at", "a", "na"), "at").join(said.toDF("with", "b", "nb"), "with")
+    part = lambda c, n: F.call_function("substring_index", F.col(c), F.lit(" "), n)
+    before, after = F.col("place"), F.col("place") + 1 - F.greatest("na", "nb")
+    same = (F.col("na") - F.col("nb") == F.col("kind")) & (part("a", before) == part("b", before)) & (part("a", after) == part("b", after))
+    return both.where(same).select("at")
+
+
+def _matched(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, line) of the lines that one of their ``pairs`` bears out: the first partner of each, then, if that fails, all."""
+    pairs = scratch.keep(pairs, "pairs")
+    first = pairs.groupBy("at").agg(F.min(F.struct("with", "place", "kind")).alias("p")).select("at", "p.*")
+    first = scratch.keep(first, "first-partners")
+    good = scratch.keep(_verified(first, texts), "verified")
+    failed = first.select("at").join(good, "at", "left_anti")
+    if not failed.isEmpty():
+        good = good.unionByName(scratch.keep(_verified(pairs.join(failed, "at", "left_semi"), texts), "verified-others"))
+    return good.select("at.doc_id", "at.line")
+
+
+def dropped_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(lines, dropped): all lines with a word (doc_id, line), and those that an earlier line matches."""
+    docs = _numbers(docs)
+    lines = scratch.keep(_lines(docs), "lines")
+    first = lines.groupBy("lid").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
+    first = scratch.keep(first, "first")
+    again = lines.select("doc_id", "line", "lid").join(first.where("n > 1").drop("n"), "lid").where("not (doc_id <=> first.doc_id and line = first.line)").select("doc_id", "line")
+    again = scratch.keep(again, "again")
+    alike = _alike(lines, scratch)
+    near = scratch.keep(first.join(alike, "lid", "left_semi").select("first.doc_id", "first.line"), "near")
+    count = scratch.keep(lines.select("doc_id", "line"), "numbers")
+    scratch.drop(first, alike, lines)
+    texts = _variants(docs, near, scratch)
     at = F.struct("doc_id", "line").alias("at")
-    groups = variants.groupBy("variant", "place").agg(F.min(at).alias("earliest"), F.max(at).alias("latest"), F.count("*").alias("members"))
-    # a group matters if it has two members, or if its variant is also a line and the line has such a group
+    # the line's own hash is at place -1
+    each = texts.select(at, F.posexplode("variants").alias("place", "variant")).withColumn("place", F.col("place") - 1)
+    groups = each.groupBy("variant", "place").agg(F.min("at").alias("earliest"), F.count("*").alias("members"))
+    groups = scratch.keep(groups, "variant-groups")
+    # a group matters if it has two members, or if its variant is also a line
     whole = groups.where("place < 0").select("variant", F.col("earliest").alias("line_at"))
-    parts = groups.where("place >= 0")
-    groups = scratch.keep(parts.join(whole, "variant", "left").where("members > 1 or line_at is not null").select("variant", "place", "earliest", "line_at"), "variant-groups")
-    # lines that lack a word of an earlier line
-    shorter = groups.where("line_at is not null and earliest < line_at").select("line_at.doc_id", "line_at.line")
-    # lines with an earlier one in their group, or with an earlier line that lacks one word of them
-    keys = groups.select("variant", "place", F.least("earliest", F.coalesce("line_at", "earliest")).alias("least"))
-    # few variants are in a group: a bit array of fixed size drops most others before they are shuffled
-    marked = counted_bits(groups.select("variant"), hashes, lambda counts: 0, bits=BITS)
+    useful = groups.where("place >= 0").join(whole, "variant", "left").where("members > 1 or line_at is not null").select("variant", "place", "earliest", "line_at")
+    useful = scratch.keep(useful, "useful-groups")
+    scratch.drop(groups)
+    shorter = useful.where("earliest < line_at").select(F.col("line_at").alias("at"), F.col("earliest").alias("with"), "place", F.lit(-1).alias("kind"))
+    keys = scratch.keep(useful.select("variant"), "useful-variants")
+    wanted = marked_bits(keys)
+    scratch.drop(keys)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
-            yield batch.filter(pa.array(marked[(h >> shift).astype(np.int64)]))
-
-    some = variants.mapInArrow(grouped, variants.schema)
-    longer = some.where("place >= 0").join(keys, ["variant", "place"]).where(F.struct("doc_id", "line") > F.col("least")).select("doc_id", "line")
-    dropped = again.unionByName(shorter).unionByName(longer).distinct()
-    return lines.select("doc_id", "line"), scratch.keep(dropped, "dropped")
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                lists = part.column(2)
+                length = lists.value_lengths().to_numpy(zero_copy_only=False)
+                variant = lists.flatten().to_numpy(zero_copy_only=False)
+                place = np.arange(len(variant)) - np.repeat(np.cumsum(length) - length, length) - 1
+                pick = np.flatnonzero(among(wanted, variant.view(U64)) & (place >= 0))
+                row = pa.array(np.repeat(np.arange(part.num_rows), length)[pick])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(variant[pick]), pa.array(place[pick], pa.int32())], names=["doc_id", "line", "variant", "place"])
+
+    some = texts.select("doc_id", "line", "variants").mapInArrow(grouped, "doc_id long, line int, variant long, place int")
+    met = scratch.keep(some.select(at, "variant", "place").join(useful, ["variant", "place"]), "met")
+    fellow = met.where("earliest < at").select("at", F.col("earliest").alias("with"), "place", F.lit(0).alias("kind"))
+    longer = met.where("line_at < at").select("at", F.col("line_at").alias("with"), "place", F.lit(1).alias("kind"))
+    near_lines = _matched(fellow.unionByName(longer).unionByName(shorter), texts, scratch)
+    return count, scratch.keep(again.unionByName(near_lines).distinct(), "dropped")
 
 
 def line_report(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -244,12 +306,18 @@ def without_repeated_lines(docs: DataFrame, scratch: Scratch | None = None) -> D
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     _, dropped = dropped_lines(docs, scratch)
-    gone = dropped.groupBy("doc_id").agg(F.collect_set("line").alias("gone")).withColumnRenamed("doc_id", "key")
+    gone = dropped.groupBy("doc_id").agg(F.concat(F.array(F.lit(-1)), F.array_sort(F.collect_set("line"))).alias("gone")).withColumnRenamed("doc_id", "key")
     rows, place = numbered(docs)
-    text = F.col(place["text"])
+    # split below the join, so that the texts are split once and not for every piece
+    rows = rows.withColumn("lines", F.split(place["text"], "\n"))
     rows = rows.join(gone, rows[place["doc_id"]].cast("long").eqNullSafe(gone["key"]), "left")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda line, k: ~F.array_contains("gone", k)), "\n")
-    rows = rows.withColumn("left", F.when(F.col("gone").isNull(), text).otherwise(left))
+
+    def piece(k):
+        before = F.get("gone", k)
+        return F.slice("lines", before + 2, F.coalesce(F.get("gone", k + 1), F.size("lines")) - before - 1)
+
+    left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone") - 1), piece)), "\n")
+    rows = rows.withColumn("left", F.when(F.col("gone").isNull(), F.col(place["text"])).otherwise(left))
     rows = rows.where(F.col("gone").isNull() | F.col("left").rlike("[^\\x20\\x09-\\x0D]"))
     changed = {place["text"]: F.col("left")}
     if "n_chars" in place:

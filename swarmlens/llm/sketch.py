@@ -77,14 +77,14 @@ MOST_BITS = 24
 def marked_bits(df: DataFrame) -> np.ndarray | None:
     """Which of up to 2**24 places the 64-bit values of the one column of ``df``, a kept table, have; None if they'd fill them.
 
-    The places are the top bits of the values, four a row at least, in packed
-    bits: 2 MB at most, and never more than the data need.  Beyond its bound
-    such an array could hold back little and is left out.
+    The places are the top bits of the values, in packed bits: 32 to 64 a row
+    where that is up to 2 MB, and four a row at least.  Beyond that such an
+    array could hold back little and is left out.
     """
     n = df.count()
-    bits = max(16, (4 * n - 1).bit_length())
-    if bits > MOST_BITS:
+    if 4 * n > 1 << MOST_BITS:
         return None
+    bits = min(MOST_BITS, max(16, (32 * n - 1).bit_length()))
     shift, parts = np.uint64(64 - bits), _slices(bits)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
