@@ -1,48 +1,55 @@
 """Substring dedup (10): MinHash banding of the paragraphs of texts.
 
-Texts have no dependable paragraph marks around a copied passage, so the
-paragraphs are cut by content: every run of ``PARAGRAPH`` words that begins at
-an anchor, and the anchors are the words whose three-word hash is least in
-some window of ``WINDOW`` places (winnowing).  A passage of 51 words or more
-has an anchor within its first 15 words wherever it stands, so it holds a
-whole paragraph in every text.
-
-1.  MinHash over the paragraph's five-word shingles, lower-cased: a sliding
-    minimum for each of ROWS * BANDS hash functions.  At a Jaccard similarity
-    of 0.8 six bands of two rows collide in 0.998 of pairs; of equal paragraphs
-    all do.
-2.  The different paragraphs that collide in a band are read again and meet in
-    the band's cell, where the exact Jaccard similarity of every two of them
-    decides at 0.8.  A cell sends on one row for each paragraph: a link to its
-    component and the earliest paragraph near it.
+Paragraphs are of two kinds, both of ``PARAGRAPH`` words or more:
+
+- the lines of a text;
+- since passages also stand in the middle of lines, runs of ``PARAGRAPH``
+  words cut by content: they begin at the words whose three-word hash is least
+  in some window of ``WINDOW`` places (winnowing).  A passage of ``PASSAGE``
+  words has such a run wherever it stands.
+
+Words are lower-cased.
+
+1.  MinHash over the five-word shingles of lines: BANDS bands of ROWS values.
+    At a Jaccard similarity of 0.8 these collide in 0.986 of pairs; of equal
+    paragraphs all do.  A run cut by content has one value, its hash: with a
+    word changed inside it is below 0.8 whatever the rest, and the runs beside
+    the change still match.
+2.  The different paragraphs that collide in a band meet in the band's cell,
+    where the exact Jaccard similarity of every two of them decides at 0.8.
+    Cells of the same paragraphs are one; large cells are dealt into blocks,
+    each pair of blocks in a task of its own.  A cell sends on one row for
+    each paragraph: a link to its component and the earliest paragraph near it.
 3.  Each place of a paragraph is kept or removed for itself: it is removed if
     an earlier place has the paragraph or one near it, so that every word that
     is removed for an equal one has a copy that stays.  Removed paragraphs of
     a text are merged into spans.  Paragraphs of a text that overlap form a
-    run; runs and paragraphs that are alike are components, the passages.
+    run; runs with paragraphs that are alike are components, the passages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from swarmlens.llm.components import connected
+from swarmlens.llm.components import connected, least_reached
+from swarmlens.llm.line_dedup import LineWords
 from swarmlens.llm.scratch import Scratch
-from swarmlens.llm.sketch import counted_bits
-from swarmlens.llm.wordhash import Words, blocks, mix, power_tables, windows, words
+from swarmlens.llm.sketch import among, hashed, marked_bits
+from swarmlens.llm.wordhash import blocks, mix, windows
 
 U64 = np.uint64
-PARAGRAPH = 36
-WINDOW = 13
+PASSAGE = 51  #: words of the shortest passage that is found in the middle of a line
+PARAGRAPH = 24
 SHINGLE = 5
-BANDS, ROWS = 6, 2
-BITS = 22
+BANDS, ROWS = 6, 3
+CELL = 512  #: paragraphs of a cell, or of two blocks of one, that are compared in one task
+NOBODY = -(1 << 63)
 
 
 def _sliding(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
@@ -59,253 +66,213 @@ _PERMUTE = mix(np.arange(1, 1 + BANDS * ROWS, dtype=U64)) | U64(1)
 
 
 class Paragraphs:
-    """Anchored paragraphs of a block of texts: text, first word, hash, and shingle hashes of the whole block."""
+    """Paragraphs of a block of texts: text, first word, number of words and hash; lines come before runs cut by content."""
 
-    def __init__(self, texts: list[str | None]):
-        w: Words = words(texts)
+    def __init__(self, texts: list[str | None], least: int = PARAGRAPH, passage: int = PASSAGE):
+        lines = LineWords(texts)
+        w = lines.words
         self.offset = w.offset
         self.shingle = windows(w.hash, SHINGLE)
+        long = np.flatnonzero(lines.size >= least)
         n = len(w.hash)
-        if n < PARAGRAPH:
-            self.start = np.zeros(0, np.int64)
-        else:
+        window = passage - least + 1
+        at = np.zeros(0, np.int64)
+        if n >= least and n >= window + 2:
             end = np.repeat(w.offset[1:], np.diff(w.offset))  # of each word's text
             three = windows(w.hash, 3)
-            least = _sliding(np.minimum, three, WINDOW)
+            low = _sliding(np.minimum, three, window)
             # windows that reach into the next text have no say
-            least[np.arange(len(least)) + WINDOW + 2 > end[: len(least)]] = 0
-            edge = np.zeros(WINDOW - 1, U64)
-            greatest = _sliding(np.maximum, np.concatenate((edge, least, edge)), WINDOW)
+            low[np.arange(len(low)) + window + 2 > end[: len(low)]] = 0
+            edge = np.zeros(window - 1, U64)
+            greatest = _sliding(np.maximum, np.concatenate((edge, low, edge)), window)
             # a place is an anchor if it is the least of some window that holds it
             at = np.flatnonzero(greatest == three)
-            self.start = at[at + PARAGRAPH <= end[at]]
+            at = at[at + least <= end[at]]
+        self.lines = len(long)
+        self.start = np.concatenate((lines.left[long], at))
+        self.size = np.concatenate((lines.size[long], np.full(len(at), least)))
         self.doc = np.searchsorted(w.offset, self.start, "right") - 1
-        power, inverse = power_tables(n + 1)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(w.hash * power[:n], out=total[1:])
-        self.hash = mix((total[self.start + PARAGRAPH] - total[self.start]) * inverse[self.start]) if len(self.start) else np.zeros(0, U64)
+        # runs are named as lines are, so that equal words have equal hashes
+        value = (lines.total[at + least] - lines.total[at]) * lines.inverse[at] if len(at) else np.zeros(0, U64)
+        self.hash = np.concatenate((lines.hash[long], lines._named(value, self.size[len(long) :])))
 
     def bands(self) -> np.ndarray:
-        """(paragraphs, BANDS) band values."""
-        out = np.zeros((len(self.start), BANDS), U64)
-        if len(self.start):
+        """(lines, BANDS) band values."""
+        n = self.lines
+        out = np.zeros((n, BANDS), U64)
+        if n:
+            bound = np.stack((self.start[:n], self.start[:n] + np.maximum(self.size[:n] - SHINGLE + 1, 1)), 1).ravel()
             for b in range(BANDS):
                 for r in range(ROWS):
                     # shingles are mixed already, so a multiplication by an odd number permutes them well enough
-                    low = _sliding(np.minimum, self.shingle * _PERMUTE[b * ROWS + r], PARAGRAPH - SHINGLE + 1)[self.start]
-                    out[:, b] = mix(out[:, b] + low + U64(b + 1))
+                    value = np.append(self.shingle * _PERMUTE[b * ROWS + r], U64((1 << 64) - 1))
+                    out[:, b] = mix(out[:, b] + np.minimum.reduceat(value, bound)[::2] + U64(b + 1))
         return out
 
     def shingles(self, k: int) -> np.ndarray:
-        return self.shingle[self.start[k] : self.start[k] + PARAGRAPH - SHINGLE + 1]
+        """The sorted distinct shingles of a line."""
+        return np.unique(self.shingle[self.start[k] : self.start[k] + max(1, self.size[k] - SHINGLE + 1)])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, hash, bands) of every paragraph; ``start`` counts the text's words from 0."""
+def _lists(parts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1, dtype=np.int32) * parts.shape[1]), pa.array(parts.reshape(-1).view(np.int64)))
+
+
+def _paragraphs(docs: DataFrame, least: int, passage: int) -> DataFrame:
+    """(doc, start, size, hash, bands) of every paragraph; ``start`` counts the text's words from 0, ``bands`` are those of lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
+            ids = batch.column(0).fill_null(NOBODY).to_numpy(zero_copy_only=False)
             for a, b in blocks(texts):
-                p = Paragraphs(texts[a:b])
-                ids = batch.column(0).slice(a, b - a).take(pa.array(p.doc))
+                p = Paragraphs(texts[a:b], least, passage)
+                bands = np.zeros((len(p.start), BANDS), U64)
+                bands[: p.lines] = p.bands()
+                offset = np.minimum(np.arange(len(p.start) + 1), p.lines).astype(np.int32) * BANDS
+                lists = pa.ListArray.from_arrays(pa.array(offset), pa.array(bands[: p.lines].reshape(-1).view(np.int64)))
                 start = (p.start - p.offset[p.doc]).astype(np.int32)
-                bands = p.bands().view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(start), pa.array(p.hash.view(np.int64)), *(pa.array(np.ascontiguousarray(bands[:, k])) for k in range(BANDS))],
-                    names=["doc_id", "start", "hash", *(f"band{k}" for k in range(BANDS))],
+                    [pa.array(ids[a:b][p.doc]), pa.array(start), pa.array(p.size.astype(np.int32)), pa.array(p.hash.view(np.int64)), lists],
+                    names=["doc", "start", "size", "hash", "bands"],
                 )
 
-    columns = ", ".join(f"band{k} long" for k in range(BANDS))
-    return docs.mapInArrow(run, f"doc_id long, start int, hash long, {columns}")
-
-
-def _hashed(column: pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).view(U64)
-
+    return docs.mapInArrow(run, "doc long, start int, size int, hash long, bands array<long>")
 
-def _paragraph_sets(docs: DataFrame, places: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(hash, shingles) of the paragraphs of ``rows``, the shingles in their order; each is read again from one document that has it."""
-    held = places.join(rows.select("hash").distinct(), "hash").groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
-    held = scratch.keep(held, "needed")
 
-    def codes(batch):
-        yield mix(_hashed(batch.column(0)))
+def _cells(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cell, hash, members) of the different lines that collide in a band; cells of the same lines are one."""
+    lines = rows.where("size(bands) > 0")
+    shared = lines.select("hash", F.explode("bands").alias("band")).groupBy("band").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a < b").select("band")
+    shared = scratch.keep(shared, "shared-bands")
+    wanted = marked_bits(shared)
 
-    def ids(batch):
-        yield mix(_hashed(batch.column(0).fill_null(0)))
-
-    wanted = counted_bits(held.select("hash"), codes, lambda counts: 0, bits=BITS)
-    read = counted_bits(held.select("doc_id"), ids, lambda counts: 0, bits=BITS)
-    shift = U64(64 - BITS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            band = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            pick = np.flatnonzero(among(wanted, band.view(U64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pick // BANDS)), pa.array(band[pick])], names=["hash", "band"])
+
+    entries = lines.select("hash", "bands").mapInArrow(run, "hash long, band long").distinct().join(shared, "band", "left_semi")
+    entries = scratch.keep(entries, "band-entries")
+    mark = F.struct(F.count("*"), F.min("hash"), F.max("hash"), F.bit_xor(F.xxhash64("hash")), F.bit_xor(F.xxhash64("hash", F.lit(1))))
+    cells = entries.groupBy("band").agg(F.xxhash64(mark).alias("cell"), F.count("*").alias("members"))
+    cells = scratch.keep(entries.join(cells, "band").groupBy("cell", "hash").agg(F.first("members").alias("members")), "cells")
+    scratch.drop(shared, entries)
+    return cells
+
+
+def _sets(docs: DataFrame, needed: DataFrame, scratch: Scratch, least: int, passage: int) -> DataFrame:
+    """(hash, shingles) of the lines in ``needed`` (hash, doc): each is read again from a document that has it."""
+    some = scratch.keep(needed.select("hash"), "needed-lines")
+    wanted = marked_bits(some)
+    read = scratch.keep(needed.select(F.xxhash64("doc").alias("h")).distinct(), "needed-documents")
+    marked = marked_bits(read)
+    scratch.drop(some, read)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pick = np.flatnonzero(read[(mix(_hashed(batch.column(0).fill_null(0))) >> shift).astype(np.int64)])
+            pick = np.flatnonzero(among(marked, hashed(batch.column(0))))
             texts = batch.column(1).take(pa.array(pick)).to_pylist()
             for a, b in blocks(texts):
-                p = Paragraphs(texts[a:b])
-                found = np.flatnonzero(wanted[(mix(p.hash) >> shift).astype(np.int64)])
-                lists = [p.shingles(k).tobytes() for k in found]
-                yield pa.RecordBatch.from_arrays([pa.array(p.hash[found].view(np.int64)), pa.array(lists, pa.binary())], names=["hash", "shingles"])
-
-    found = docs.select("doc_id", "text").mapInArrow(run, "hash long, shingles binary")
-    return scratch.keep(found.dropDuplicates(["hash"]), "paragraph-sets")
-
-
-def _components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least of 0..n-1 that each reaches by the links (i, j)."""
-    root = np.arange(n)
-    while True:
-        a, b = root[i], root[j]
-        if (a == b).all():
-            return root
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (root[root] != root).any():
-            root = root[root]
-
-
-def _overlaps(code: np.ndarray, start: int, n: int, most: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(i, j, shared) of every two rows i <> j of the cell of ``n`` rows at ``start`` that share an element, by products of incidence matrices."""
-    cell = code[start : start + n]
-    _, where, times = np.unique(cell, return_inverse=True, return_counts=True)
-    where = where.reshape(cell.shape)
-    often = (times > 1)[where] & (cell >= 0)
-    row = np.repeat(np.arange(n), often.sum(1))
-    _, column = np.unique(where[often], return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    width, step = int(column[-1]) + 1 if len(column) else 0, max(1, most // n)
-    for at in range(0, n, step):
-        shared = np.zeros((min(step, n - at), n), np.float32)
-        for c in range(0, width, step):
-            part = slice(*np.searchsorted(column, (c, c + step)))
-            held = np.zeros((n, min(step, width - c)), np.float32)
-            held[row[part], column[part] - c] = 1
-            shared += held[at : at + step] @ held.T
-        i, j = np.nonzero(shared)
-        count = shared[i, j].astype(np.int64)
-        i = i + at
-        yield i[i != j] + start, j[i != j] + start, count[i != j]
-
-
-def _pairs(code: np.ndarray, start: np.ndarray, n: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(i, j, shared) of every two rows i <> j of small cells, by comparing them."""
-    left = np.concatenate([np.arange(a, a + k) for a, k in zip(start, n)]) if len(start) else np.zeros(0, np.int64)
-    first, count = np.repeat(start, n), np.repeat(n, n)
-    ends = np.cumsum(count)
-    at = 0
-    while at < len(left):
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + min(most, 1 << 14), "right")))
-        i = np.repeat(left[at:end], count[at:end])
-        j = np.repeat(first[at:end] - (ends[at:end] - count[at:end]), count[at:end]) + np.arange(len(i)) + (ends[at - 1] if at else 0)
-        at = end
-        i, j = i[i < j], j[i < j]
-        a, b = code[i], code[j]
-        shared = np.zeros(len(i), np.int64)
-        for k in range(code.shape[1]):
-            shared += ((a[:, k : k + 1] == b).any(1)) & (a[:, k] >= 0)
-        yield np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((shared, shared))
-
-
-def near_in_cells(cell: np.ndarray, shingle: np.ndarray, first: np.ndarray, last: np.ndarray, most: int = 1 << 22, small: int = 48) -> tuple[np.ndarray, ...]:
-    """(row, root, partner, from, to) of the rows that a row of their cell is near to; the rows of a cell come together.
-
-    Every two rows of a cell are decided by the exact Jaccard similarity of
-    their shingles, and links of two places of one text that overlap do not
-    count.  ``first`` and ``last`` are the (doc, start) of a row's earliest and
-    last place.  ``root`` names the row's component; ``partner`` is the row
-    nearest the beginning that it is near to, or itself, and from and to bound
-    the words that both have.  ``most`` bounds the overlaps held at once; cells
-    of up to ``small`` rows are compared directly.
+                p = Paragraphs(texts[a:b], least, passage)
+                name, where = np.unique(p.hash[: p.lines], return_index=True)
+                where = where[among(wanted, name)]
+                yield pa.RecordBatch.from_arrays([pa.array(p.hash[where].view(np.int64)), pa.array([p.shingles(k).tobytes() for k in where], pa.binary())], names=["hash", "shingles"])
+
+    found = docs.select(F.xxhash64(F.coalesce("doc_id", F.lit(NOBODY))).alias("h"), "text").mapInArrow(run, "hash long, shingles binary")
+    return scratch.keep(found.join(needed.select("hash"), "hash", "left_semi").dropDuplicates(["hash"]), "line-sets")
+
+
+_NEAR = "a long, b long, doc long, start int"
+
+
+def near_in_cell(shingles: list[np.ndarray], side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), both ways, of the paragraphs of a cell whose exact Jaccard similarity is 0.8 or more.
+
+    With ``side`` only paragraphs of different sides are compared.
     """
-    n, width = shingle.shape
-    code = np.unique(shingle, return_inverse=True)[1].reshape(n, width).astype(np.int32)
-    ordered = np.sort(code, 1)
-    if (ordered[:, 1:] == ordered[:, :-1]).any():  # a shingle counts once
-        rank = np.argsort(code, 1, kind="stable")
-        again = np.zeros((n, width), bool)
-        np.put_along_axis(again, rank[:, 1:], ordered[:, 1:] == ordered[:, :-1], 1)
-        code = np.where(again, -1, code)
-    size = (code >= 0).sum(1)
-    place = np.unique(first, axis=0, return_inverse=True)[1].ravel()
-    best, partner = place.copy(), np.arange(n)
-    start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-    length = np.diff(start, append=n)
-    few = length <= small
-    lefts, rights, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for i, j, shared in chain(_pairs(code, start[few], length[few], most), *(_overlaps(code, int(a), int(k), most) for a, k in zip(start[~few], length[~few]))):
-        near = 100 * shared >= 80 * (size[i] + size[j] - shared)
-        i, j = i[near], j[near]
-        early = np.where((place[i] <= place[j])[:, None], first[i], first[j])
-        swap = (last[i, 0] > last[j, 0]) | ((last[i, 0] == last[j, 0]) & (last[i, 1] > last[j, 1]))
-        late = np.where(swap[:, None], last[i], last[j])
-        apart = (early[:, 0] != late[:, 0]) | (late[:, 1] - early[:, 1] >= PARAGRAPH)
-        i, j = i[apart], j[apart]
-        order = np.lexsort((place[j], i))
-        i, j = i[order], j[order]
-        top = np.flatnonzero(np.diff(i, prepend=-1))  # each row's earliest partner
-        top = top[place[j[top]] < best[i[top]]]
-        partner[i[top]], best[i[top]] = j[top], place[j[top]]
-        lefts.append(i)
-        rights.append(j)
-        held += len(i)
-        if held > most:  # fewer links of the same components
-            i = np.unique(np.concatenate(lefts))
-            root = _components(n, np.concatenate(lefts), np.concatenate(rights))
-            lefts, rights, held = [i], [root[i]], 0
-    i, j = np.concatenate(lefts), np.concatenate(rights)
-    root = _components(n, i, j)
-    linked = np.unique(np.concatenate((i, j)))
-    both = np.zeros((len(linked), width), bool)
-    for k in range(width):
-        both |= shingle[linked] == shingle[partner[linked], k][:, None]
-    return linked, root[linked], partner[linked], both.argmax(1), width - both[:, ::-1].argmax(1) + SHINGLE - 1
-
-
-def _near(members: DataFrame) -> DataFrame:
-    """(a, b, doc, start, lo, hi) of ``members`` (band, hash, shingles, d0, s0, d1, s1) that another of their cell is near to.
-
-    ``b`` links a's component; (doc, start) is the earliest place of the
-    paragraphs near a, and lo to hi are a's words from the first to the last that it has too.
+    n, size = len(shingles), np.array([len(x) for x in shingles])
+    owner = np.repeat(np.arange(n), size)
+    _, number, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+    twice = times[number] > 1
+    owner, number = owner[twice], np.unique(number[twice], return_inverse=True)[1]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    shared = np.zeros((n, n), np.float32)
+    for start in range(0, int(number[-1]) + 1 if len(number) else 0, 1024):
+        some = slice(*np.searchsorted(number, (start, start + 1024)))
+        part = np.zeros((n, min(1024, int(number[-1]) + 1 - start)), np.float32)
+        part[owner[some], number[some] - start] = 1
+        shared += part @ part.T
+    np.fill_diagonal(shared, 0)
+    i, j = np.nonzero(shared)
+    both = shared[i, j].astype(np.int64)
+    near = 100 * both >= 80 * (size[i] + size[j] - both)
+    if side is not None:
+        near &= side[i] != side[j]
+    return i[near], j[near]
+
+
+def _decided(group: pd.DataFrame, sides: bool) -> list[tuple]:
+    """Rows of _NEAR for the paragraphs of one cell that another is near to: its component and the earliest near it."""
+    name = group["hash"].to_numpy()
+    place = list(zip(group["doc"].tolist(), group["start"].tolist()))
+    i, j = near_in_cell([np.frombuffer(x, U64) for x in group["shingles"]], group["side"].to_numpy() if sides else None)
+    if not len(i):
+        return []
+    root = least_reached(len(name), i, j)
+    rank = np.empty(len(name), np.int64)
+    by_place = sorted(range(len(name)), key=place.__getitem__)
+    rank[by_place] = np.arange(len(name))
+    order = np.lexsort((rank[j], i))
+    i, j = i[order], j[order]
+    top = np.flatnonzero(np.diff(i, prepend=-1))
+    return [(int(name[a]), int(name[root[a]]), *place[b]) for a, b in zip(i[top].tolist(), j[top].tolist())]
+
+
+def _near(cells: DataFrame, about: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, doc, start) of the lines that another of their cell is near to.
+
+    ``about`` has (hash, shingles, doc, start) of each; ``b`` links a's
+    component and (doc, start) is the earliest place of the lines near a.
     """
 
-    def decide(table: pa.Table) -> pa.RecordBatch:
-        column = {k: table.column(k).combine_chunks() for k in table.column_names}
-        number = {k: column[k].to_numpy(zero_copy_only=False).astype(np.int64) for k in column if k != "shingles"}
-        shingle = np.frombuffer(b"".join(column["shingles"].to_pylist()), U64).reshape(table.num_rows, -1)
-        ends = [np.stack((number[f"d{k}"], number[f"s{k}"]), 1) for k in (0, 1)]
-        row, root, partner, lo, hi = near_in_cells(number["band"], shingle, *ends)
-        out = [number["hash"][row], number["hash"][root], *ends[0][partner].T, lo, hi]
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), t) for x, t in zip(out, kinds)], names=["a", "b", "doc", "start", "lo", "hi"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = []  # cells come one after the other, the last one may go on
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
         for batch in batches:
-            if not batch.num_rows:
+            frame = batch.to_pandas()
+            frame = frame if left is None else pd.concat([left, frame], ignore_index=True)
+            if not len(frame):
                 continue
-            band = batch.column(0).to_numpy()
-            change = np.flatnonzero(np.diff(band))
-            cut = int(change[-1]) + 1 if len(change) else 0
-            if kept and not cut and kept[-1].column(0)[-1].as_py() != band[0]:
-                yield decide(pa.Table.from_batches(kept))
-                kept = []
-            if cut:
-                yield decide(pa.Table.from_batches([*kept, batch.slice(0, cut)]))
-                kept = []
-            kept.append(batch.slice(cut))
-        if kept:
-            yield decide(pa.Table.from_batches(kept))
-
-    return members.repartition("band").sortWithinPartitions("band").mapInArrow(run, "a long, b long, doc long, start int, lo int, hi int")
-
-
-def repeated_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+            last = frame["cell"].iloc[-1]  # it may go on
+            left = frame[frame["cell"] == last]
+            yield rows_of(frame[frame["cell"] != last])
+        if left is not None:
+            yield rows_of(left)
+
+    def rows_of(frame: pd.DataFrame) -> pa.RecordBatch:
+        out = [row for _, group in frame.groupby("cell", sort=False) for row in _decided(group, False)]
+        columns = list(zip(*out)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "doc", "start"])
+
+    def blocks_of(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_decided(group, bool(group["i"].iloc[0] != group["j"].iloc[0])), columns=["a", "b", "doc", "start"])
+
+    few = cells.where(F.col("members") <= CELL).select("cell", "hash").join(about, "hash").repartition("cell").sortWithinPartitions("cell")
+    near = few.select("cell", "hash", "shingles", "doc", "start").mapInArrow(small, _NEAR)
+    many = cells.where(F.col("members") > CELL).withColumn("k", F.ceil(2 * F.col("members") / CELL).cast("int"))
+    many = many.withColumn("side", F.pmod(F.xxhash64("hash", F.lit(7)), F.col("k")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    many = many.select("cell", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "hash").join(about, "hash")
+    dealt = many.groupBy("cell", "i", "j").applyInPandas(blocks_of, _NEAR)
+    return scratch.keep(near.unionByName(dealt), "near")
+
+
+def repeated_passages(docs: DataFrame, scratch: Scratch | None = None, least: int = PARAGRAPH, passage: int = PASSAGE) -> DataFrame:
     """(doc_id, passage, start_word, end_word, n_words, remove) of every passage that two places share.
 
     ``passage`` names the component, words are counted from 0 and end_word is
@@ -313,77 +280,70 @@ def repeated_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     by (doc_id, start), has it or one near it; the removed paragraphs of a
     text are merged, and what is left of its runs is listed with ``remove``
     false.  The spans of a text do not overlap.
-    Null texts and texts of fewer than 36 words have no paragraph; repeated
-    rows of a doc_id share its places; an empty table gives no rows; other
-    columns are not looked at.
+    Null texts and texts of fewer than ``least`` words have no paragraph;
+    texts of any length are read whole; repeated rows of a doc_id share its
+    places; a null doc_id is a document before all others; an empty table
+    gives no rows; other columns are not looked at.
     """
     scratch = scratch or Scratch(docs.sparkSession, "passages")
     docs = _texts(docs)
-    signatures = scratch.keep(_signatures(docs), "signatures")
-    values = F.explode(F.array(*(f"band{k}" for k in range(BANDS)))).alias("band")
-    doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    rows = signatures.select(doc.alias("doc"), "start", values)
-    # a paragraph and itself some words on share bands too: two texts are needed, or two places apart
-    cells = rows.groupBy("band").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("start").alias("s0"), F.max("start").alias("s1"))
-    cells = scratch.keep(cells.where(f"d0 <> d1 or s1 - s0 >= {PARAGRAPH}").select("band"), "cells")
-
-    def codes(batch):
-        yield mix(_hashed(batch.column(0)))
+    rows = scratch.keep(_paragraphs(docs, least, passage), "paragraphs")
+    # a paragraph and itself some words on are one place: two texts are needed, or two places apart
+    apart = f"d0 <> d1 or s1 - s0 >= {least}"
+    many = rows.groupBy("hash").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("start").alias("s0"), F.max("start").alias("s1")).where(apart).select("hash")
+    cells = _cells(rows, scratch)
+    close = cells.select("hash").distinct()
+    first = rows.join(close, "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("doc", "start")).alias("x"))
+    first = scratch.keep(first.select("hash", "x.doc", "x.start"), "first-places")
+    sets = _sets(docs, first.select("hash", "doc"), scratch, least, passage)
+    near = _near(cells, sets.join(first, "hash"), scratch)
+    scratch.drop(cells, sets, first)
 
-    wanted = counted_bits(cells.select("band"), codes, lambda counts: 0, bits=BITS)
-    shift = U64(64 - BITS)
+    # paragraphs that another place has too, as they are or nearly
+    alike = scratch.keep(many.unionByName(near.select(F.col("a").alias("hash"))).distinct(), "alike")
+    wanted = marked_bits(alike)
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = np.zeros(batch.num_rows, bool)
-            for k in range(BANDS):
-                hit |= wanted[(mix(_hashed(batch.column(3 + k))) >> shift).astype(np.int64)]
-            yield batch.filter(pa.array(hit))
-
-    some = scratch.keep(signatures.mapInArrow(shared, signatures.schema), "shared-signatures")
-    scratch.drop(signatures)
-    at = F.struct(doc.alias("doc"), "start")
-    many = some.groupBy("hash").agg(F.min(at).alias("x"), F.max(at).alias("y"))
-    many = scratch.keep(many, "extremes")
-    rows = some.select("hash", values).distinct().join(cells, "band", "left_semi")
-    crowded = rows.groupBy("band").agg(F.min("hash").alias("a"), F.max("hash").alias("z")).where("a <> z").select("band")
-    rows = scratch.keep(rows.join(crowded, "band", "left_semi"), "colliding")
-    sets = _paragraph_sets(docs, some, rows, scratch)
-    about = sets.join(many, "hash").select("hash", "shingles", F.col("x.doc").alias("d0"), F.col("x.start").alias("s0"), F.col("y.doc").alias("d1"), F.col("y.start").alias("s1"))
-    near = scratch.keep(_near(rows.join(about, "hash").select("band", *about.columns)), "near")
-    scratch.drop(rows, sets)
+            yield batch.filter(pa.array(among(wanted, hashed(batch.column(3)))))
 
-    # paragraphs that another place has too, as they are or nearly
-    apart = f"x.doc <> y.doc or y.start - x.start >= {PARAGRAPH}"
-    earliest = near.groupBy(F.col("a").alias("hash")).agg(F.min(F.struct("doc", "start", "lo", "hi")).alias("m"))
-    alike = many.join(earliest, "hash", "left").where(f"m is not null or {apart}").select("hash", "x", "m")
-    places = some.select("doc_id", "start", "hash").distinct().join(alike, "hash")
-    before = lambda p: (F.col(f"{p}.doc") < doc) | ((F.col(f"{p}.doc") == doc) & (F.col("start") - F.col(f"{p}.start") >= PARAGRAPH))
-    equal, close = before("x"), F.coalesce(before("m"), F.lit(False))
-    lo, hi = F.when(equal | ~close, 0).otherwise(F.col("m.lo")), F.when(equal | ~close, PARAGRAPH).otherwise(F.col("m.hi"))
-    places = places.select("doc_id", "start", "hash", (equal | close).alias("gone"), (F.col("start") + lo).alias("s"), (F.col("start") + hi).alias("e"))
+    places = rows.select("doc", "start", "size", "hash").mapInArrow(held, "doc long, start int, size int, hash long").join(alike, "hash", "left_semi").distinct()
+    places = scratch.keep(places, "places")
+    scratch.drop(rows, alike)
     # a run is a chain of overlapping paragraphs of one text
-    in_text = Window.partitionBy("doc_id").orderBy("start")
-    fresh = F.when(F.col("start") < F.lag("start").over(in_text) + PARAGRAPH, 0).otherwise(1)
-    runs = places.withColumn("fresh", fresh).withColumn("n", F.sum("fresh").over(in_text))
-    runs = scratch.keep(runs.withColumn("run", F.xxhash64("doc_id", "n")).drop("fresh", "n"), "runs")
-    held = runs.select(F.col("run").alias("a"), F.col("hash").alias("b"))
-    roots = connected(near.select("a", "b").unionByName(held), scratch).toDF("run", "passage")
+    in_text = Window.partitionBy("doc").orderBy("start", "size", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.when(F.col("start") < F.max(F.col("start") + F.col("size")).over(in_text), 0).otherwise(1)
+    counted = places.withColumn("fresh", fresh)
+    counted = counted.withColumn("n", F.sum("fresh").over(Window.partitionBy("doc").orderBy("start", "size", "hash").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = scratch.keep(counted.select("doc", "start", "size", "hash", F.xxhash64("doc", "n").alias("run")), "runs")
+    scratch.drop(places)
+    heads = runs.groupBy("hash").agg(F.min(F.struct("doc", "start", "run")).alias("x"))
+    nearest = near.groupBy(F.col("a").alias("hash")).agg(F.min(F.struct("doc", "start")).alias("m"))
+    heads = scratch.keep(heads.join(nearest, "hash", "left").select("hash", "x", "m"), "heads")
+    before = lambda p: (F.col(f"{p}.doc") < F.col("doc")) | ((F.col(f"{p}.doc") == F.col("doc")) & (F.col("start") - F.col(f"{p}.start") >= least))
+    judged = runs.join(heads, "hash").select("doc", "start", "size", "run", F.col("x.run").alias("head"), (before("x") | F.coalesce(before("m"), F.lit(False))).alias("gone"))
+    judged = scratch.keep(judged, "judged")
+    name = heads.select("hash", F.col("x.run").alias("run"))
+    links = near.where("a <> b").select("a", "b").distinct().join(name.toDF("a", "ra"), "a").join(name.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    links = links.unionByName(judged.where("run <> head").select(F.col("run").alias("a"), F.col("head").alias("b")))
+    roots = connected(links.where("a <> b").distinct(), scratch).toDF("run", "passage")
     # removed paragraphs that touch are one cut of their run
-    in_run = Window.partitionBy("run").orderBy("s", "start")
-    reached = F.max(F.when(F.col("gone"), F.col("e"))).over(in_run.rowsBetween(Window.unboundedPreceding, -1))
-    cut = F.when(F.col("gone") & F.coalesce(F.col("s") > reached, F.lit(True)), 1).otherwise(0)
-    parts = runs.withColumn("cut", cut).withColumn("cut", F.when(F.col("gone"), F.sum("cut").over(in_run.rowsBetween(Window.unboundedPreceding, 0))))
-    parts = parts.groupBy("doc_id", "run", "cut").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    in_run = Window.partitionBy("run").orderBy("start", "size")
+    end = F.col("start") + F.col("size")
+    reached = F.max(F.when(F.col("gone"), end)).over(in_run.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.when(F.col("gone") & F.coalesce(F.col("start") > reached, F.lit(True)), 1).otherwise(0)
+    parts = judged.withColumn("cut", cut).withColumn("cut", F.when(F.col("gone"), F.sum("cut").over(in_run.rowsBetween(Window.unboundedPreceding, 0))))
+    parts = parts.groupBy("doc", "run", "cut").agg(F.min("start").alias("s"), F.max(end).alias("e"))
     cuts = F.sort_array(F.collect_list(F.when(F.col("cut").isNotNull(), F.struct("s", "e"))))
-    spans = parts.groupBy("doc_id", "run").agg(F.min("s").alias("first"), F.max("e").alias("end"), F.bool_or(F.col("cut").isNull()).alias("stays"), cuts.alias("cuts"))
+    spans = parts.groupBy("doc", "run").agg(F.min("s").alias("first"), F.max("e").alias("end"), F.bool_or(F.col("cut").isNull()).alias("stays"), cuts.alias("cuts"))
     bounds = F.concat(F.array(F.struct(F.col("first").alias("s"), F.col("first").alias("e"))), "cuts", F.array(F.struct(F.col("end").alias("s"), F.col("end").alias("e"))))
     left = F.expr("transform(if(stays, sequence(0, size(bounds) - 2), array()), i -> struct(bounds[i].e as start_word, bounds[i + 1].s as end_word, false as remove))")
     removed = F.expr("transform(cuts, c -> struct(c.s as start_word, c.e as end_word, true as remove))")
     spans = spans.withColumn("bounds", bounds)
-    spans = spans.select("doc_id", "run", F.inline(F.concat(left, removed))).where("start_word < end_word")
+    spans = spans.select("doc", "run", F.inline(F.concat(left, removed))).where("start_word < end_word")
     spans = spans.join(roots, "run", "left").withColumn("passage", F.coalesce("passage", "run"))
-    return spans.select("doc_id", "passage", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "remove")
+    doc_id = F.when(F.col("doc") != NOBODY, F.col("doc")).alias("doc_id")
+    return spans.select(doc_id, "passage", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "remove")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
