@@ -1,6 +1,7 @@
 """Scalar functions, readers, sinks and plans on hand-made rows."""
 
 import json
+import random
 import sqlite3
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from swarmlens import sinks
 from swarmlens.functions import repair, rules, text
-from swarmlens.operators import graph
+from swarmlens.operators import graph, ranges
 from swarmlens.plans import retrieval
 from swarmlens.sources import readers
 
@@ -137,3 +138,42 @@ def test_graph_edges_cases(spark):
     names = {r["id"]: (r["source_name"], r["target_name"]) for r in graph.with_short_names(edges, nodes).collect()}
     assert names == {"1": ("A", "A"), "2": ("A", "b"), "3": ("longiden", "A")}
     assert [r["id"] for r in retrieval.search_nodes(nodes, "a").collect()] == ["a"]
+
+
+def test_ranks_by_ranges(spark):
+    """Ranks of skewed keys, null groups and one far outlier, for few and for many ranges."""
+    rng = random.Random(1)
+    rows = [(k * k % 10007 if k else 10**15, rng.choice(["a", "b", None])) for k in range(500)]
+    frame = spark.createDataFrame(rows, "key long, kind string")
+    expected = {}
+    for kind in ("a", "b", None):
+        expected |= {(key, kind): i for i, key in enumerate(sorted({k for k, g in rows if g == kind}))}
+    once = frame.distinct()
+    for n in (1, 3, 16, 200):
+        got = {(r["key"], r["kind"]): r["place"] for r in ranges.numbered(once, "key", "kind", ranges=n).collect()}
+        assert got == expected
+    assert ranges.numbered(frame.limit(0), "key", "kind").count() == 0
+
+
+def test_log_lines_over_blocks(spark, tmp_path):
+    path = tmp_path / "log.txt"
+    lines = [f"line {k}" if k % 5 else "" for k in range(400)]
+    path.write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("100b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = readers.log_lines(spark, str(path), 3).orderBy("line").collect()
+            assert [(r["line"], r["value"]) for r in got] == list(enumerate(lines))[3:]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_sqlite_errors_are_not_empty_tables(spark, tmp_path):
+    path = str(tmp_path / "q.db")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE post (post_id INT)")
+    con.execute("INSERT INTO post VALUES (1)")
+    con.commit()
+    with pytest.raises(Exception, match="no such column"):
+        readers.platform_posts(spark, path).collect()

@@ -1,5 +1,8 @@
 """Every query against its SQL in DuckDB, on the smallest tables."""
 
+import hashlib
+import json
+import re
 from pathlib import Path
 
 import duckdb
@@ -41,3 +44,31 @@ def test_query(spark, oracle, name):
     expected = oracle.sql(sql).df()
     assert sorted(got.columns) == sorted(expected.columns)
     assert comparable(got) == comparable(expected)
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="needs the test tables")
+def test_json_repair_rows(spark):
+    """What SQL can't express: cut-off objects, closed where they were cut."""
+    events = pd.read_parquet(FOLDER / "events.parquet")
+    expected = {}
+    for i, props in zip(events["event_id"], events["props"]):
+        whole = json.loads(props) if i % 2 == 0 else {"a": ["x", {"p": json.loads(props), "q": "cut"}]}
+        expected[i] = json.dumps(whole, ensure_ascii=False, sort_keys=True)
+    got = {r["event_id"]: r["json"] for r in registry.queries()["json_repair"](spark, str(FOLDER)).collect()}
+    assert got == expected
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="needs the test tables")
+def test_section_clean_rows(spark):
+    docs = pd.read_parquet(FOLDER / "documents.parquet")
+    got = {(r["doc_id"], r["digest"]) for r in registry.queries()["section_clean"](spark, str(FOLDER)).collect()}
+    checked = 0
+    for i, text in zip(docs["doc_id"], docs["text"]):
+        lines = (text or "").strip().split("\n")
+        if text is None or any(re.match(r"#{1,6}\s", x.strip()) for x in lines):
+            continue
+        while lines and lines[-1].strip() in ("", "---", "***", "___"):
+            lines.pop()
+        assert (i, hashlib.md5("\n".join(["**Part**", "", *lines]).rstrip("\n").encode()).hexdigest()) in got
+        checked += 1
+    assert checked > 100
