@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swarmlens.llm.components import connected, least_reached
+from swarmlens.llm.overlaps import common_counts
 from swarmlens.llm.rows import without
 from swarmlens.llm.scratch import Scratch
 from swarmlens.llm.sketch import among, counted_bits, hashed, marked_bits
@@ -253,20 +254,8 @@ def _pairs_of_blocks(group: pd.DataFrame) -> pd.DataFrame:
     """Pairs of points of two blocks, or of one, whose common pivots and sizes allow a link."""
     windows, n, sid = list(group["pivots"]), group["n"].to_numpy(), group["sid"].to_numpy()
     pivot, side = group["pivot"].astype("Int64"), group["side"].to_numpy()
-    owner = np.repeat(np.arange(len(windows)), [len(x) for x in windows])
-    place = np.concatenate([np.arange(len(x)) for x in windows])
-    code, number, times = np.unique(np.concatenate(windows), return_inverse=True, return_counts=True)
-    twice = times[number] > 1
-    owner, place, number = owner[twice], place[twice], np.unique(number[twice], return_inverse=True)[1]
-    order = np.argsort(number, kind="stable")
-    owner, place, number = owner[order], place[order], number[order]
     size = len(windows)
-    shared = np.zeros((size, size), np.float32)
-    for start in range(0, int(number[-1]) + 1 if len(number) else 0, 1024):
-        some = slice(*np.searchsorted(number, (start, start + 1024)))
-        part = np.zeros((size, 1024), np.float32)
-        part[owner[some], number[some] - start] = 1
-        shared += part @ part.T
+    shared = common_counts(windows)
     i, j = np.nonzero(np.triu(shared, 1))
     known = pivot.notna().to_numpy()
     name = pivot.fillna(0).to_numpy(np.int64)
@@ -293,18 +282,7 @@ def _links_of_blocks(group: pd.DataFrame) -> pd.DataFrame:
     """A spanning forest of the links between two blocks of points, or within one, from their sets."""
     sets, sid = [np.asarray(x) for x in group["set"]], group["sid"].to_numpy()
     n, size = np.array([len(x) for x in sets]), len(sets)
-    owner = np.repeat(np.arange(size), n)
-    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    twice = times[number] > 1
-    owner, number = owner[twice], np.unique(number[twice], return_inverse=True)[1]
-    order = np.argsort(number, kind="stable")
-    owner, number = owner[order], number[order]
-    shared = np.zeros((size, size), np.float32)
-    for start in range(0, int(number[-1]) + 1 if len(number) else 0, 1024):
-        some = slice(*np.searchsorted(number, (start, start + 1024)))
-        part = np.zeros((size, 1024), np.float32)
-        part[owner[some], number[some] - start] = 1
-        shared += part @ part.T
+    shared = common_counts(sets)
     i, j = np.nonzero(np.triu(shared, 1))
     both = shared[i, j].astype(np.int64)
     linked = 100 * both >= 80 * (n[i] + n[j] - both)
@@ -314,7 +292,7 @@ def _links_of_blocks(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def jaccard_links(docs: DataFrame, scratch: Scratch, block: int = 32, pivots: int = 4, sketch_bits: int = 20) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, scratch: Scratch, block: int = 64, pivots: int = 4, sketch_bits: int = 20) -> tuple[DataFrame, DataFrame]:
     """(points, links): a row (doc_id, n, sid) per document, and links (a, b) that connect all linked sids.
 
     Links between points that are both linked to one pivot may be left out:
@@ -445,7 +423,8 @@ def jaccard_classes(docs: DataFrame, scratch: Scratch | None = None, **settings)
     points, links = jaccard_links(docs, scratch, **settings)
     roots = connected(links, scratch).toDF("sid", "root")
     rooted = points.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # as a table, so that the join can split a component of very many documents
+    least = scratch.keep(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     return rooted.join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
     )
