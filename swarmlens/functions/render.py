@@ -103,6 +103,24 @@ def action_label(action_type: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in labels.items() for x in p)), action_type), action_type)
 
 
+def html(markdown: Column) -> Column:
+    """Markdown of a report as HTML: headings, quotes, list items, rules, emphasis and code; the text itself is escaped."""
+    text = F.replace(F.replace(F.replace(markdown, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    for level in (4, 3, 2, 1):
+        text = F.regexp_replace(text, rf"(?m)^#{{{level}}} (.*)$", rf"<h{level}>$1</h{level}>")
+    for pattern, tag in ((r"(?m)^&gt; (.*)$", "blockquote"), (r"(?m)^- (.*)$", "li"), (r"\*\*([^*\n]+)\*\*", "strong"), (r"\*([^*\n]+)\*", "em"), (r"`([^`\n]+)`", "code")):
+        text = F.regexp_replace(text, pattern, f"<{tag}>$1</{tag}>")
+    text = F.regexp_replace(text, r"(?m)^---$", "<hr>")
+    return F.concat(F.lit("<p>"), F.regexp_replace(text, r"\n{2,}", "</p><p>"), F.lit("</p>"))
+
+
+def type_source(name: Column, description: Column, attributes: Column) -> Column:
+    """An entity type as the source of a class: its attributes are optional texts."""
+    fields = F.array_join(F.transform(attributes, lambda a: F.concat(F.lit("    "), a, F.lit(": str | None = None"))), "\n")
+    body = F.when(F.size(attributes) > 0, F.concat(F.lit("\n"), fields)).otherwise("")
+    return F.concat(F.lit("class "), name, F.lit(':\n    """'), description, F.lit('"""'), body)
+
+
 def short_id(id: Column) -> Column:
     return F.upper(F.left(id, F.lit(6)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What a simulation log calls the actions of a platform table.
@@ -156,6 +156,23 @@ def active_agents(agents: DataFrame, hour: int, round_number: int, least: int =
     return awake.orderBy("u", "agent_id").limit(target).select("agent_id")
 
 
+def round_agents(agents: DataFrame, rounds: int, minutes_per_round: int = 60, least: int = 10, most: int = 30) -> DataFrame:
+    """(round, agent_id): who acts in each round of a simulation, as ``active_agents`` picks them; rounds are few."""
+    each = agent_rules(agents).select("agent_id", "active_hours", "activity_level", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    hour = F.pmod(F.floor(F.col("round") * minutes_per_round / 60), F.lit(24).cast("long")).cast("int")
+    awake = each.withColumn("hour", hour).where(F.array_contains("active_hours", F.col("hour")))
+    awake = awake.withColumn("u", uniform(F.col("round").cast("string"), F.col("agent_id").cast("string"))).where("u < activity_level")
+    target = F.least(F.lit(most), F.greatest(F.lit(least), F.floor(most * hour_factor(F.col("hour")))))
+    place = F.row_number().over(Window.partitionBy("round").orderBy("u", "agent_id"))
+    # the constant cut lets the window drop rows before they are sorted
+    return awake.withColumn("place", place).where(F.col("place") <= most).where(F.col("place") <= target).select("round", "agent_id")
+
+
+def back_off(attempt: Column, initial: float = 1.0, factor: float = 2.0, most: float = 30.0) -> Column:
+    """Seconds to wait after an attempt (from 0), without jitter."""
+    return F.least(F.lit(most), F.lit(initial) * F.pow(F.lit(factor), attempt))
+
+
 def time_config(agents: Column, low: Column, high: Column) -> list[Column]:
     """Least and most agents an hour, within the number of agents and in order."""
     most = F.least(F.greatest(high, F.lit(1)), agents)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("actions", "graph", "retrieval", "texts", "simulation", "reports", "files", "forms")
+MODULES = ("actions", "graph", "retrieval", "texts", "simulation", "reports", "files", "forms", "driver")
 
 
 def _all() -> dict:

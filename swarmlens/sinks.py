@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,3 +66,30 @@ def assembled_report(title: str, summary: str, sections: DataFrame) -> DataFrame
     """One row: the whole report, sections in order."""
     parts = sections.agg(F.array_sort(F.collect_list(F.struct("section_index", F.concat(F.lit("## "), "title", F.lit("\n\n"), "body").alias("text")))).alias("s"))
     return parts.select(F.concat(F.lit(f"# {title}\n\n> {summary}\n\n---\n\n"), F.array_join(F.col("s.text"), "\n\n")).alias("report"))
+
+
+# Files that a run of a simulation leaves in its folder.
+RUN_FILES = ("run_state.json", "simulation.log", "stdout.log", "stderr.log", "twitter_simulation.db", "reddit_simulation.db", "env_status.json", "twitter/actions.jsonl", "reddit/actions.jsonl")
+
+
+def cleaned_run(folder: str) -> list[tuple[str, str]]:
+    """(file, error) of the run files of a folder that were there: deleted ones have no error."""
+    out = []
+    for name in RUN_FILES:
+        path = os.path.join(folder, name)
+        if os.path.exists(path):
+            try:
+                os.remove(path)
+                out.append((name, ""))
+            except OSError as e:
+                out.append((name, str(e)))
+    return out
+
+
+def saved_file(folder: str, name: str, data: bytes) -> dict:
+    """Save an uploaded file under eight random hex digits and its own extension."""
+    os.makedirs(folder, exist_ok=True)
+    saved = uuid.uuid4().hex[:8] + os.path.splitext(name)[1].lower()
+    with open(os.path.join(folder, saved), "wb") as out:
+        out.write(data)
+    return {"original": name, "saved": saved, "size": len(data)}

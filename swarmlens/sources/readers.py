@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sqlite3
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -145,6 +146,24 @@ def config_summary(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def next_command(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, command): the oldest JSON file of a folder that can be parsed, if there is one."""
+    files = spark.read.format("binaryFile").load(f"{folder}/*.json")
+    text = F.col("content").cast("string")
+    return files.where(F.try_parse_json(text).isNotNull()).orderBy("modificationTime", "path").limit(1).select("path", text.alias("command"))
+
+
+def page_with_retry(fetch, tries: int = 3, delay: float = 2.0, sleep=time.sleep):
+    """What ``fetch()`` gives; after a connection, time-out or system error it is asked again, each time after twice the delay."""
+    for k in range(tries):
+        try:
+            return fetch()
+        except OSError:  # connection and time-out errors are among them
+            if k == tries - 1:
+                raise
+            sleep(delay * 2**k)
+
+
 class _Range(InputPartition):
     def __init__(self, low: int, high: int):
         self.low, self.high = low, high

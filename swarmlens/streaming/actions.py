@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LOG_SCHEMA = "file string, value string"
@@ -168,3 +170,9 @@ def windowed(rows: DataFrame, width: str = "1 hour", delay: str = "10 minutes")
     """Counts in event-time windows; late rows past the delay are left out."""
     timed = rows.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     return timed.withWatermark("timestamp", delay).groupBy(F.window("timestamp", width), "platform").agg(F.count("*").alias("n"))
+
+
+def finished(queries: dict[str, StreamingQuery], seconds: float = 600.0) -> dict[str, bool]:
+    """Which of the named queries, one for each simulation, end within the time all have together; the others go on."""
+    stop = time.monotonic() + seconds
+    return {name: bool(q.awaitTermination(max(0.001, stop - time.monotonic()))) for name, q in queries.items()}
