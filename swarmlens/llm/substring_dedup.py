@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from swarmlens.llm.components import connected, least_reached
 from swarmlens.llm.line_dedup import LineWords
+from swarmlens.llm.overlaps import common_counts
 from swarmlens.llm.scratch import Scratch
 from swarmlens.llm.sketch import among, hashed, marked_bits
 from swarmlens.llm.wordhash import blocks, mix, windows
@@ -196,20 +197,8 @@ def near_in_cell(shingles: list[np.ndarray], side: np.ndarray | None = None) ->
 
     With ``side`` only paragraphs of different sides are compared.
     """
-    n, size = len(shingles), np.array([len(x) for x in shingles])
-    owner = np.repeat(np.arange(n), size)
-    _, number, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
-    twice = times[number] > 1
-    owner, number = owner[twice], np.unique(number[twice], return_inverse=True)[1]
-    order = np.argsort(number, kind="stable")
-    owner, number = owner[order], number[order]
-    shared = np.zeros((n, n), np.float32)
-    for start in range(0, int(number[-1]) + 1 if len(number) else 0, 1024):
-        some = slice(*np.searchsorted(number, (start, start + 1024)))
-        part = np.zeros((n, min(1024, int(number[-1]) + 1 - start)), np.float32)
-        part[owner[some], number[some] - start] = 1
-        shared += part @ part.T
-    np.fill_diagonal(shared, 0)
+    size = np.array([len(x) for x in shingles])
+    shared = common_counts(shingles)
     i, j = np.nonzero(shared)
     both = shared[i, j].astype(np.int64)
     near = 100 * both >= 80 * (size[i] + size[j] - both)
@@ -292,9 +281,18 @@ def repeated_passages(docs: DataFrame, scratch: Scratch | None = None, least: in
     apart = f"d0 <> d1 or s1 - s0 >= {least}"
     many = rows.groupBy("hash").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("start").alias("s0"), F.max("start").alias("s1")).where(apart).select("hash")
     cells = _cells(rows, scratch)
-    close = cells.select("hash").distinct()
-    first = rows.join(close, "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("doc", "start")).alias("x"))
+    close = scratch.keep(cells.select("hash").distinct(), "close")
+    colliding = marked_bits(close)
+
+    def near_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(among(colliding, hashed(batch.column(0)))))
+
+    # places are combined before they are shuffled, so a paragraph that stands everywhere is no hot task
+    first = rows.select("hash", "doc", "start").mapInArrow(near_ones, "hash long, doc long, start int")
+    first = first.groupBy("hash").agg(F.min(F.struct("doc", "start")).alias("x")).join(close, "hash", "left_semi")
     first = scratch.keep(first.select("hash", "x.doc", "x.start"), "first-places")
+    scratch.drop(close)
     sets = _sets(docs, first.select("hash", "doc"), scratch, least, passage)
     near = _near(cells, sets.join(first, "hash"), scratch)
     scratch.drop(cells, sets, first)
