@@ -202,14 +202,15 @@ def _variants(docs: DataFrame, near: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(found, "variants")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, said: DataFrame) -> DataFrame:
     """The ``at`` of ``pairs`` (at, with, place, kind) whose words bear the match out.
 
+    ``said`` has the (at, words, n) of all lines in them, as a table, so that
+    the many lines whose partner is one and the same can be split.
     Kind 0: both lines lack the word at ``place``; 1: the line has it, its
     partner is the rest; -1: the other way round.  In each case the words
     before the place are equal, and so are those after it.
     """
-    said = texts.select(F.struct("doc_id", "line").alias("at"), "words", "n").dropDuplicates(["at"])
     both = pairs.join(said.toDF("at", "a", "na"), "at").join(said.toDF("with", "b", "nb"), "with")
     part = lambda c, n: F.call_function("substring_index", F.col(c), F.lit(" "), n)
     before, after = F.col("place"), F.col("place") + 1 - F.greatest("na", "nb")
@@ -220,6 +221,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _matched(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, line) of the lines that one of their ``pairs`` bears out: the first partner of each, then, if that fails, all."""
     pairs = scratch.keep(pairs, "pairs")
+    texts = scratch.keep(texts.select(F.struct("doc_id", "line").alias("at"), "words", "n").dropDuplicates(["at"]), "texts")
     first = pairs.groupBy("at").agg(F.min(F.struct("with", "place", "kind")).alias("p")).select("at", "p.*")
     first = scratch.keep(first, "first-partners")
     good = scratch.keep(_verified(first, texts), "verified")
