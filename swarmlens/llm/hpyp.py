@@ -10,23 +10,27 @@ Training counts (word, previous word) pairs; they are split by word hash into
 buckets, so that a word's customers in all contexts and in their parents meet in
 one bucket.  What a context has over all words is added up in other buckets, by
 context, and sent back to the buckets that asked.  A Gibbs sweep takes every
-pair's customers out and seats them one by one by the Chinese restaurant
-process, given the parent's probability of the word and how many tables each
-context has, both as the last sweep left them; then the tables' customers in the
-parents likewise.  After a burn-in the predictive probabilities of the samples
-are averaged.
+pair's customers out of its restaurant, and their tables' customers out of the
+parents, and draws its number of tables anew from its distribution given the
+rest; then the tables' customers in the parents likewise.  Pairs of one word in
+different contexts, and words in different buckets, are drawn side by side, so
+they see each other as the last sweep left them.  After a burn-in the predictive
+probabilities of the samples are averaged.
 
 Scoring: a block of texts asks each bucket of words for the pairs it holds and
 each bucket of contexts for its contexts, gets customers, tables, the parents'
 probabilities and training counts in the order it asked, and adds up the
 averaged predictions for its texts.  Keys travel as compressed arrays, one row for each
-block and bucket.  Words are 56-bit hashes.
+block and bucket.  Words are 56-bit hashes, as contexts they are cut to 40 bits.
+Documents are scored in rounds, so that the shuffle files of one are gone before
+the next.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,9 +46,11 @@ from swarmlens.llm.wordhash import blocks, mix, words
 U64 = np.uint64
 END = U64(0xE5D0_0000_0000_0000 | 0x17 << 8)  # the word hash of the end of a text
 START_CONTEXT = 0
-BLOCK_CHARS = 8_000_000  #: texts of about so many characters ask together
-BUCKET_BYTES = 8_000_000  #: input bytes for each bucket of words
+BLOCK_CHARS = 3_000_000  #: texts of about so many characters ask together
+BUCKET_BYTES = 4_000_000  #: input bytes for each bucket of words
 BURN_IN, SAMPLES = 1, 2
+ROUNDS = 2  #: rounds of scoring, where there is more than one bucket
+CONTEXT = U64(0xFFFF_FFFF_FF00_0000)  #: bits of a word's hash that name it as a context
 STRENGTH = 1.0
 
 
@@ -53,14 +59,19 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
+@lru_cache(maxsize=1)
+def _codec() -> tuple:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(values: np.ndarray) -> bytes:
     """Compressed bytes of an array, plane by plane."""
     raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
+    return _codec()[0].compress(np.ascontiguousarray(raw.T).tobytes())
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    raw = np.frombuffer(_codec()[1].decompress(data), np.uint8)
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
 
@@ -90,31 +101,62 @@ def types_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pairs_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, previous word, offset): the keys of ``types_of``, and the hash of the word before, 0 at the start of a text."""
+    """(key, previous word, offset): the keys of ``types_of``, and the context hash of the word before, 0 at the start of a text."""
     key, offset = types_of(texts)
-    before = np.concatenate((key[:1], key[:-1])) & ~U64(0xFF)
+    before = np.concatenate((key[:1], key[:-1])) & CONTEXT
     before[offset[:-1]] = 0
     return key, before, offset
 
 
-def pair_code(key: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return mix(key + mix(before + U64(1)))
+def _sorted_pairs(key: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, start): the order by key, then context, and where each different pair begins in it."""
+    order = np.argsort(key)
+    found = key[order]
+    rank = np.cumsum(np.concatenate(([0], (found[1:] != found[:-1]).astype(np.int64)))) if len(key) else np.zeros(0, np.int64)
+    if len(key) and rank[-1] >= 1 << 24:
+        order = np.lexsort((before, key))
+        fresh = (key[order][1:] != key[order][:-1]) | (before[order][1:] != before[order][:-1])
+    else:
+        code = _composite(rank, before[order])
+        inner = np.argsort(code)
+        order, code = order[inner], code[inner]
+        fresh = code[1:] != code[:-1]
+    return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), fresh)))
+
+
+def _composite(rank: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """One number for the rank of a key (below 2**24) and a context."""
+    return (rank.astype(U64) << U64(40)) | (before >> U64(24))
+
+
+def _round_of(block: int, rounds: int) -> int:
+    """Blocks of a task, and first blocks of tasks, take turns."""
+    return ((block >> 24) + (block & 0xFFFFFF)) % rounds
+
+
+def _whole(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``pairs_of`` of many texts, made in parts."""
+    keys, befores, ends = [], [], [np.zeros(1, np.int64)]
+    for a, b in blocks(texts):
+        key, before, offset = pairs_of(texts[a:b])
+        keys.append(key)
+        befores.append(before)
+        ends.append(offset[1:] + ends[-1][-1])
+    return np.concatenate(keys), np.concatenate(befores), np.concatenate(ends)
 
 
 def _unique_pairs(texts: list) -> tuple[np.ndarray, ...]:
     """(key, previous word, count) of the pairs of ``texts``, by key and previous word."""
-    found = []
-    for _, key, before, _ in _pairs_in_parts(texts):
-        _, at, n = np.unique(pair_code(key, before), return_index=True, return_counts=True)
-        found.append((key[at], before[at], n))
-    return _merged(*map(np.concatenate, zip(*found)))
+    key, before, _ = _whole(texts)
+    order, start = _sorted_pairs(key, before)
+    at = order[start]
+    return key[at], before[at], np.diff(start, append=len(key))
 
 
 def _merged(key: np.ndarray, before: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    _, at, where = np.unique(pair_code(key, before), return_index=True, return_inverse=True)
-    n = np.bincount(where, n).astype(np.int64)
-    order = np.lexsort((before[at], key[at]))
-    return key[at][order], before[at][order], n[order]
+    order, start = _sorted_pairs(key, before)
+    at = order[start]
+    return key[at], before[at], np.add.reduceat(n[order], start).astype(np.int64)
 
 
 def _buckets_of(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
@@ -146,11 +188,6 @@ def _text_blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tupl
         yield number, ids, texts
 
 
-def _pairs_in_parts(texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    for a, b in blocks(texts):
-        yield a, *pairs_of(texts[a:b])
-
-
 def _counted(docs: DataFrame, bits: int) -> DataFrame:
     """The state of each bucket's training pairs, each at one table."""
 
@@ -214,7 +251,28 @@ class Pairs:
         self.types = self.above(np.ones(len(keys), np.int64))
         counts = np.add.reduceat(self.customers, self.first)
         self.counts = np.add.reduceat(counts, self.types.first)  # of each word
-        self.contexts, self.context = np.unique(before, return_inverse=True)
+
+    @cached_property
+    def by_context(self) -> tuple[np.ndarray, np.ndarray]:
+        """(contexts in order, which of them each pair has)."""
+        order = np.argsort(self.before)
+        found = self.before[order]
+        fresh = np.concatenate(([True], found[1:] != found[:-1]))
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(fresh) - 1
+        return found[fresh], which
+
+    def places(self, types: np.ndarray, of: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, seen) among the pairs of other ones: ``types`` are places among the types, -1 if unseen, ``of`` which of them each has."""
+        rank = types[of]
+        if len(self.types.keys) >= 1 << 24:
+            own, other = (mix(r.astype(U64) + mix(b)) for r, b in ((self.type, self.before), (rank, before)))
+            order = np.argsort(own)
+            at = np.minimum(np.searchsorted(own[order], other), len(own) - 1)
+            return order[at], (own[order][at] == other) & (rank >= 0)
+        own, other = _composite(self.type, self.before), _composite(np.maximum(rank, 0), before)
+        at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+        return at, (own[at] == other) & (rank >= 0)
 
     @classmethod
     def of(cls, row) -> Pairs:
@@ -262,6 +320,24 @@ class Shared:
     def parent(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         return (customers - self.parent_discount * tables) / (STRENGTH + self.parent_customers) + self.unknown()
 
+    def parent_less(self, arrived: np.ndarray, top: np.ndarray, gone: np.ndarray) -> np.ndarray:
+        """The parent's probability of words of ``arrived`` customers at ``top`` tables, without ``gone`` of the customers."""
+        left = arrived - gone
+        kept = np.minimum(top, left)
+        room = STRENGTH + self.parent_customers - gone
+        fresh = (STRENGTH + self.parent_discount * np.maximum(self.parent_tables - (top - kept), 0)) / (self.words + 1)
+        return (left - self.parent_discount * kept + fresh) / room
+
+    def types_less(self, bucket: Bucket, below: np.ndarray, top: np.ndarray, of: np.ndarray, gone: np.ndarray) -> np.ndarray:
+        """The probability of types ``of`` of ``bucket`` in their context, each without ``gone`` of its customers."""
+        left = bucket.customers[of] - gone
+        kept = np.minimum(below[of], left)
+        word, context = bucket.word[of], bucket.context[of]
+        parent = self.parent_less(np.add.reduceat(below, bucket.first)[word], top[word], below[of] - kept)
+        room = STRENGTH + np.maximum(self.customers[context] - gone, 0)
+        fresh = (STRENGTH + self.discount * np.maximum(self.tables[context] - (below[of] - kept), 0)) * parent
+        return (left - self.discount * kept + fresh) / room
+
     def back_off(self, context: np.ndarray) -> np.ndarray:
         return (STRENGTH + self.discount * self.tables[context]) / (STRENGTH + self.customers[context])
 
@@ -274,40 +350,73 @@ class Shared:
         return (customers - self.discount * tables) / (STRENGTH + self.customers[context])
 
 
-def seat(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator, one_by_one: int = 64) -> np.ndarray:
-    """Tables after seating each type's customers by the Chinese restaurant process.
+@lru_cache(maxsize=8)
+def log_arrangements(discount: float, most: int) -> np.ndarray:
+    """(most + 1, most + 1) logs of how much the seatings of c customers at t tables weigh together (generalised Stirling numbers)."""
+    table = np.full((most + 1, most + 1), -np.inf)
+    table[0, 0] = 0.0
+    t = np.arange(most + 1)
+    for c in range(most):
+        with np.errstate(divide="ignore"):
+            stay = np.where(c > t * discount, np.log(np.maximum(c - t * discount, 0)) + table[c], -np.inf)
+        table[c + 1] = np.logaddexp(stay, np.concatenate(([-np.inf], table[c, :-1])))
+    return table
+
+
+EXACT = 48  #: customers up to which the number of tables is drawn from its exact distribution
+
+
+def seat(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each type, drawn given everything else: a Gibbs step for all customers of a type at once.
 
     ``others``: tables of the other types of the restaurant; ``base``: the
-    parent's probability.  The first ``one_by_one`` customers of a type are
-    seated singly.  From there on the wait until one opens a table is drawn at
-    once: the chance of none among the next k is (1 + k / m) ** -a, with m the
-    customers less discounts and a the weight of a new table.
+    parent's probability without what this type has there.  t tables weigh the
+    product of STRENGTH + discount * (others + k) over k < t, base ** t, and the
+    weight of all seatings of the customers at t tables.  A type of more than
+    EXACT customers seats them one after the other instead.
     """
     tables = np.ones(len(customers), np.int64)
-    order = np.argsort(-customers, kind="stable")
+    weight = log_arrangements(round(discount, 6), EXACT)
+    log_base = np.log(np.maximum(base, 1e-300))
+    order = np.argsort(customers, kind="stable")
     size = customers[order]
-    other, chance = others[order].astype(float), base[order]
-    t = np.ones(len(size))
-    alive = int((size > 1).sum())
-    for seated in range(1, one_by_one):
-        alive = int(np.searchsorted(-size[:alive], -seated, "left"))  # types with more than ``seated`` customers
-        if not alive:
-            break
-        fresh = (STRENGTH + discount * (other[:alive] + t[:alive])) * chance[:alive]
-        t[:alive] += rng.random(alive) * (fresh + seated - discount * t[:alive]) < fresh
-    at = np.flatnonzero(size > one_by_one)
-    seated = np.full(len(at), float(one_by_one))
+    for c in np.unique(size[(size > 1) & (size <= EXACT)]).tolist():
+        at = order[slice(*np.searchsorted(size, (c, c + 1)))]
+        for part in np.split(at, range(1 << 16, len(at), 1 << 16)):
+            k = np.arange(c)
+            chance = np.cumsum(np.log(STRENGTH + discount * (others[part][:, None] + k)) + log_base[part][:, None], axis=1) + weight[c, 1 : c + 1]
+            tables[part] = np.argmax(chance + rng.gumbel(size=chance.shape), axis=1) + 1
+    many = np.flatnonzero(customers > EXACT)
+    if len(many):
+        tables[many] = _seat_one_by_one(customers[many], others[many], base[many], discount, rng)
+    return tables
+
+
+def _seat_one_by_one(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator, singly: int = 64) -> np.ndarray:
+    """Tables after seating each type's customers by the Chinese restaurant process.
+
+    The first ``singly`` customers of a type are seated singly.  From there on
+    the wait until one opens a table is drawn at once: the chance of none among
+    the next k is (1 + k / m) ** -a, with m the customers less discounts and a
+    the weight of a new table.
+    """
+    t = np.ones(len(customers))
+    for seated in range(1, singly):
+        some = np.flatnonzero(customers > seated)
+        fresh = (STRENGTH + discount * (others[some] + t[some])) * base[some]
+        t[some] += rng.random(len(some)) * (fresh + seated - discount * t[some]) < fresh
+    at = np.flatnonzero(customers > singly)
+    seated = np.full(len(at), float(singly))
     while len(at):
-        fresh = (STRENGTH + discount * (other[at] + t[at])) * chance[at]
+        fresh = (STRENGTH + discount * (others[at] + t[at])) * base[at]
         left = np.maximum(seated - discount * t[at], 1e-3)
         with np.errstate(over="ignore"):
             wait = left * np.expm1(-np.log(1.0 - rng.random(len(at))) / np.maximum(fresh, 1e-12))
         seated = seated + np.floor(np.minimum(wait, 1e15)) + 1
-        more = seated <= size[at]
+        more = seated <= customers[at]
         at, seated = at[more], seated[more]
         t[at] += 1
-    tables[order] = t.astype(np.int64)
-    return tables
+    return t.astype(np.int64)
 
 
 def _contexts(state: DataFrame, bits: int) -> DataFrame:
@@ -323,9 +432,10 @@ def _contexts(state: DataFrame, bits: int) -> DataFrame:
                 pairs = Pairs.of(row)
                 seating = unpack(row["tables"], "<i8")
                 size = len(pairs.keys) + len(pairs.first) + len(pairs.types.words)
-                sums = [np.bincount(pairs.context, x).astype(np.int64) for x in (pairs.customers, pairs.split(seating[-size:])[0])]
-                parts = _buckets_of(pairs.contexts, bits)
-                columns = [[pack_sorted(pairs.contexts[a:b]) for _, a, b in parts], *([pack(x[a:b]) for _, a, b in parts] for x in sums)]
+                contexts, context = pairs.by_context
+                sums = [np.bincount(context, x).astype(np.int64) for x in (pairs.customers, pairs.split(seating[-size:])[0])]
+                parts = _buckets_of(contexts, bits)
+                columns = [[pack_sorted(contexts[a:b]) for _, a, b in parts], *([pack(x[a:b]) for _, a, b in parts] for x in sums)]
                 yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]] * len(parts), pa.int32()), pa.array([p[0] for p in parts], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "part", "contexts", "customers", "tables"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
@@ -353,10 +463,11 @@ def _sweep(state: DataFrame, contexts: DataFrame, shared: Shared, number: int, s
         tables, below, top = pairs.split(kept[-size:])
         total = np.concatenate([unpack(x, "<i8") for x in told.sort_values("part")["tables"]])
         rng = np.random.default_rng([seed, number, int(row["bucket"])])
-        base = shared.types(pairs.above(tables), below, top)[0][pairs.type]
-        tables = seat(pairs.customers, np.maximum(total[pairs.context] - tables, 0), base, shared.pair_discount, rng)
+        # what a pair or type has in its parents goes with it before it is seated anew
+        base = shared.types_less(pairs.above(tables), below, top, pairs.type, tables)
+        tables = seat(pairs.customers, np.maximum(total[pairs.by_context[1]] - tables, 0), base, shared.pair_discount, rng)
         bucket = pairs.above(tables)
-        base = shared.parent(np.add.reduceat(below, bucket.first), top)[bucket.word]
+        base = shared.parent_less(np.add.reduceat(below, bucket.first)[bucket.word], top[bucket.word], below)
         below = seat(bucket.customers, np.maximum(shared.tables[bucket.context] - below, 0), base, shared.discount, rng)
         arrived = np.add.reduceat(below, bucket.first)
         top = seat(arrived, np.maximum(shared.parent_tables - top, 0), np.full(len(top), 1 / (shared.words + 1)), shared.parent_discount, rng)
@@ -398,8 +509,8 @@ def fit(docs: DataFrame, scratch: Scratch, seed: int = 8) -> tuple[DataFrame, Da
 _ANSWERS = "block long, kind int, bucket int, low binary, high binary, counts binary"
 
 
-def _answers(docs: DataFrame, state: DataFrame, contexts: DataFrame, samples: list[Shared], bits: int) -> DataFrame:
-    """Answers to the pairs (kind 0) and contexts (kind 1) each block of texts holds, of every sample one after the other.
+def _answers(docs: DataFrame, state: DataFrame, contexts: DataFrame, samples: list[Shared], bits: int, turn: int, rounds: int) -> DataFrame:
+    """Answers to the pairs (kind 0) and contexts (kind 1) each block of texts of a round holds, of every sample one after the other.
 
     Of pairs: ``low`` the customers, then the tables, and of each of their types
     ``high`` the probability and ``counts`` the word's; of contexts: ``low`` the
@@ -408,6 +519,8 @@ def _answers(docs: DataFrame, state: DataFrame, contexts: DataFrame, samples: li
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, texts in _text_blocks(batches, BLOCK_CHARS):
+            if _round_of(block, rounds) != turn:
+                continue
             keys, before, _ = _unique_pairs(texts)
             distinct = np.unique(before)
             rows = [(0, k, pack_sorted(keys[a:b]), pack(before[a:b])) for k, a, b in _buckets_of(keys, bits)]
@@ -423,13 +536,11 @@ def _answers(docs: DataFrame, state: DataFrame, contexts: DataFrame, samples: li
             seatings = [pairs.split(x) for x in unpack(row["tables"], "<i8").reshape(len(samples), -1)]
             buckets = [pairs.above(x) for x, _, _ in seatings]
             levels = [s.types(b, *x[1:]) for s, b, x in zip(samples, buckets, seatings)]
-            code = pair_code(pairs.keys, pairs.before)
-            order = np.argsort(code)
-            code = code[order]
             types, words_ = buckets[0].keys, buckets[0].words
         for block, number, raw, raw_before in zip(asked["block"], asked["bucket"], asked["keys"], asked["before"]):
             keys, before = unpack_sorted(raw), unpack(raw_before, "<u8")
-            asked_types = np.unique(keys)
+            of = np.cumsum(np.concatenate(([0], (keys[1:] != keys[:-1]).astype(np.int64))))
+            asked_types = keys[np.flatnonzero(np.diff(of, prepend=-1))]
             byte, word = (asked_types & U64(0xFF)).astype(np.int64), asked_types & ~U64(0xFF)
             low, high, count = np.zeros((1 + len(samples), len(keys)), "<u4"), np.zeros((len(samples), len(byte))), np.zeros(len(byte), np.int64)
             if len(model):
@@ -438,10 +549,7 @@ def _answers(docs: DataFrame, state: DataFrame, contexts: DataFrame, samples: li
                 count[known] = pairs.counts[at[known]]
                 place = np.minimum(np.searchsorted(types, asked_types), len(types) - 1)
                 met = types[place] == asked_types
-                mine = pair_code(keys, before)
-                own = np.minimum(np.searchsorted(code, mine), len(code) - 1)
-                seen = code[own] == mine
-                own = order[own]
+                own, seen = pairs.places(np.where(met, place, -1), of, before)
                 low[0][seen] = pairs.customers[own[seen]]
             for k, s in enumerate(samples):
                 parent = np.full(len(byte), s.unknown())
@@ -456,7 +564,7 @@ def _answers(docs: DataFrame, state: DataFrame, contexts: DataFrame, samples: li
 
     def answer_contexts(model: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
-        rows = [(unpack_sorted(r["contexts"]), unpack(r["customers"], "<i8"), unpack(r["tables"], "<i8")) for _, r in model.sort_values("sample").iterrows()]
+        rows = [(unpack_sorted(r["keys"]), unpack(r["counts"], "<i8"), unpack(r["tables"], "<i8")) for _, r in model.sort_values("sample").iterrows()]
         for block, number, raw in zip(asked["block"], asked["bucket"], asked["before"]):
             wanted = unpack_sorted(raw)
             low, high = np.zeros((len(samples), len(wanted)), np.int64), np.zeros((len(samples), len(wanted)), np.int64)
@@ -467,10 +575,21 @@ def _answers(docs: DataFrame, state: DataFrame, contexts: DataFrame, samples: li
             out.append((block, 1, number, pack(low.ravel()), pack(high.ravel()), b""))
         return pd.DataFrame(out, columns=["block", "kind", "bucket", "low", "high", "counts"])
 
+    def either(key: tuple, model: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        return (answer_contexts if key[0] else answer)(model, asked)
+
     asked = docs.mapInArrow(ask, "block long, kind int, bucket int, keys binary, before binary")
-    pairs = state.groupBy("bucket").cogroup(asked.where("kind = 0").groupBy("bucket")).applyInPandas(answer, _ANSWERS)
-    part = contexts.groupBy("part").cogroup(asked.where("kind = 1").groupBy("bucket")).applyInPandas(answer_contexts, _ANSWERS)
-    return pairs.unionByName(part)
+    pairs = state.select(F.lit(0).alias("kind"), "bucket", "keys", "before", "counts", "tables", F.lit(-1).alias("sample"))
+    known = contexts.select(F.lit(1).alias("kind"), F.col("part").alias("bucket"), F.col("contexts").alias("keys"), F.lit(None).cast("binary").alias("before"), F.col("customers").alias("counts"), "tables", "sample")
+    return pairs.unionByName(known).groupBy("kind", "bucket").cogroup(asked.groupBy("kind", "bucket")).applyInPandas(either, _ANSWERS)
+
+
+def _bare_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is columns of files and nothing else, which reads alike each time."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.child()
+    return plan.nodeName().startswith("Relation") or "LogicalRelation" in plan.getClass().getName()
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -487,14 +606,27 @@ def scored(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(docs.sparkSession, "hpyp")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if not docs.inputFiles():
+    if not _bare_scan(docs):
         docs = scratch.keep(docs, "documents")
     state, held, samples, bits = fit(docs, scratch)
     tokens, distinct = int(samples[-1].tokens), int(samples[-1].words)
-    answers = _answers(docs, state, held, samples, bits)
+    rounds = ROUNDS if bits else 1
+    done = None
+    for turn in range(rounds):
+        answers = _answers(docs, state, held, samples, bits, turn, rounds)
+        part = scratch.keep(_scores_of(docs, answers, samples, tokens, distinct, turn, rounds), "scores")
+        done = part if done is None else done.unionByName(part)
+    scratch.drop(state, held)
+    return done.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+
+
+def _scores_of(docs: DataFrame, answers: DataFrame, samples: list[Shared], tokens: int, distinct: int, turn: int, rounds: int) -> DataFrame:
+    """The scores of the blocks of a round, from the answers to them."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, texts in _text_blocks(batches, BLOCK_CHARS):
+            if _round_of(block, rounds) != turn:
+                continue
             for a, b in blocks(texts):
                 yield pa.RecordBatch.from_arrays([pa.array([block] * (b - a), pa.int64()), pa.array(range(a, b), pa.int32()), pa.array(ids[a:b], pa.int64()), pa.array(texts[a:b], pa.string())], names=["block", "row", "doc_id", "text"])
 
@@ -506,7 +638,11 @@ def scored(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         joined = lambda part, name, kind, n: np.concatenate([unpack(x, kind).reshape(n, -1) for x in part[name]], 1).astype(float)
         low, high = joined(pairs, "low", "<u4", 1 + len(samples)), joined(pairs, "high", "<f4", len(samples))
         counts = np.concatenate([unpack(x, "<i8") for x in pairs["counts"]])
-        keys, before, _ = _unique_pairs(texts)
+        key, previous, offset = _whole(texts)
+        order, start = _sorted_pairs(key, previous)
+        keys, before = key[order[start]], previous[order[start]]
+        which = np.empty(len(key), np.int64)  # pair of each token
+        which[order] = np.repeat(np.arange(len(start)), np.diff(start, append=len(key)))
         contexts, context = np.unique(before, return_inverse=True)
         customers, tables = joined(told, "low", "<i8", len(samples)), joined(told, "high", "<i8", len(samples))
         of_type = np.cumsum(np.concatenate(([True], keys[1:] != keys[:-1]))) - 1
@@ -517,24 +653,16 @@ def scored(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             back_off = STRENGTH + s.pair_discount * tables[k]
             chance += (low[0] - s.pair_discount * low[1 + k] + back_off[context] * high[k][of_type]) / (STRENGTH + customers[k])[context] / len(samples)
         logs, counts = np.log10(chance), counts[of_type]
-        code = pair_code(keys, before)
-        order = np.argsort(code)
-        code = code[order]
         base = np.log10((counts + 0.5) / (tokens + 0.5 * (distinct + 1)))
-        out = []
-        for _, k, b, offset in _pairs_in_parts(texts):
-            at = order[np.searchsorted(code, pair_code(k, b))]
-            sums = [np.add.reduceat(x[at], offset[:-1]) for x in (base, logs, (counts > 0).astype(np.int64))]
-            out.append(pd.DataFrame({"n_tokens": np.diff(offset), "n_known": sums[2], "base_score": sums[0], "score": sums[1]}))
-        table = pd.concat(out, ignore_index=True)
+        sums = [np.add.reduceat(x[which], offset[:-1]) for x in (base, logs, (counts > 0).astype(np.int64))]
+        table = pd.DataFrame({"n_tokens": np.diff(offset), "n_known": sums[2], "base_score": sums[0], "score": sums[1]})
         table.insert(0, "doc_id", rows["doc_id"].astype("Int64").to_numpy())
         table["held_out"] = [held_out(None if pd.isna(i) else int(i)) for i in table["doc_id"]]
         table["train_tokens"] = tokens
         return table[["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]]
 
     numbered = docs.mapInArrow(number, "block long, row int, doc_id long, text string")
-    rows = numbered.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add_up, _SCORES)
-    return rows.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    return numbered.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add_up, _SCORES)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

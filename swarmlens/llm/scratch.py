@@ -54,7 +54,11 @@ class Scratch:
         self.sweep()
 
     def sweep(self) -> None:
-        """Let the shuffle files of finished steps go: Spark deletes them once the driver forgets their plans."""
+        """Let the shuffle files of finished steps go: Spark deletes them once the driver forgets their plans.
+
+        Listeners hold on to the last execution they heard of, so they get a small one.
+        """
+        self.spark.range(1).count()
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
