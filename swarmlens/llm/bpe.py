@@ -57,7 +57,7 @@ class MonoidBPE:
 
     PART = 8  #: bytes of the longest parts that are remembered
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 140_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 300_000):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.matches = regex.compile(pattern)
