@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._count = 0
+        self._swept = time.monotonic()
         atexit.register(self._close)
 
     def path(self, name: str) -> str:
@@ -51,13 +53,16 @@ class Scratch:
             for folder in {os.path.dirname(f) for f in df.inputFiles()}:
                 if folder.replace("file:///", "file:/").startswith(self.base.replace("file:///", "file:/")):
                     self._delete(folder)
-        self.sweep()
 
     def sweep(self) -> None:
         """Let the shuffle files of finished steps go: Spark deletes them once the driver forgets their plans.
 
-        Listeners hold on to the last execution they heard of, so they get a small one.
+        Listeners hold on to the last execution they heard of, so they get a
+        small one.  Steps of less than a second leave too little behind for that.
         """
+        if time.monotonic() - self._swept < 1:
+            return
+        self._swept = time.monotonic()
         self.spark.range(1).count()
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
