@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from swarmlens.llm import bpe, chat_format, hpyp, jaccard_join, langid, line_dedup, quality_crf, substring_dedup, tiling, token_counts
+from swarmlens.llm import bpe, chat_format, hpyp, infill, jaccard_join, langid, line_dedup, quality_crf, substring_dedup, tiling, token_counts
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_hpyp_scores": hpyp.op8,
         "op9_token_counts": token_counts.op9,
         "op10_substring_dedup": substring_dedup.op10,
+        "op13_fill_in_middle": infill.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": chat_format.OP6_SQL}
+    return {"op6_chat_format": chat_format.OP6_SQL, "op13_fill_in_middle": infill.OP13_SQL}
