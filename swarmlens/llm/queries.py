@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from swarmlens.llm import bpe, chat_format, hpyp, infill, jaccard_join, langid, line_dedup, merkle, quality_crf, substring_dedup, tiling, token_counts
+from swarmlens.llm import bpe, chat_format, hpyp, infill, jaccard_join, langid, line_dedup, merkle, minhash_join, quality_crf, substring_dedup, tiling, token_counts
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_hpyp_scores": hpyp.op8,
         "op9_token_counts": token_counts.op9,
         "op10_substring_dedup": substring_dedup.op10,
+        "op11_minhash_join": minhash_join.op11,
         "op12_merkle_manifest": merkle.op12,
         "op13_fill_in_middle": infill.op13,
     }
