@@ -24,7 +24,8 @@ more.  Full sets decide.
     instead (two points that agree in 24 share two in the next longer prefix,
     and so on), which parts those that only share a few common passages; the
     last such level, and lists with few left, compare signatures in pairs of
-    blocks of bounded size.
+    blocks of bounded size.  A pair of blocks with many collisions measures its
+    full sets at once and gives a spanning forest of its links, never its pairs.
 
 Each pair of two components whose signatures agree in enough coordinates is
 confirmed on the full sets or has been; nothing is capped.
@@ -36,11 +37,13 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarmlens.llm.components import connected
+from swarmlens.llm.components import connected, least_reached
+from swarmlens.llm.overlaps import common_counts
 from swarmlens.llm.rows import without
 from swarmlens.llm.scratch import Scratch
 from swarmlens.llm.sketch import among, hashed, marked_bits
@@ -48,12 +51,20 @@ from swarmlens.llm.wordhash import blocks, mix, shingles, words
 
 WIDTH, SHARE = 3, 85
 COORDINATES, MATCHES = 40, 24
-CELL, BLOCK, LEVELS = 256, 1024, 3
+CELL, BLOCK, LEVELS = 256, 512, 3
+BLOCK_SHINGLES = 1 << 19  #: of a block, in the mean, so that very long texts make smaller blocks
+TEXTS = 256  #: texts that are Python strings at a time
+DENSE = 2  #: collisions a point from which on a pair of blocks measures its sets itself
 _FACTORS = np.random.Generator(np.random.PCG64(1111)).integers(0, 1 << 64, COORDINATES, np.uint64) | np.uint64(1)
 
 
-def _sets(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For blocks of texts, (shingles, offset): the sorted distinct shingles of each."""
+def _sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For blocks of the column ``texts``, (shingles, offset): the sorted distinct shingles of each."""
+    for part in (texts.slice(k, TEXTS).to_pylist() for k in range(0, len(texts), TEXTS)):
+        yield from _sets_of(part)
+
+
+def _sets_of(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for a, b in blocks(texts):
         code, offset = shingles(words(texts[a:b]), WIDTH)
         doc = np.repeat(np.arange(b - a), np.diff(offset))
@@ -84,7 +95,7 @@ def _points(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for code, offset in _sets(batch.column(1).to_pylist()):
+            for code, offset in _sets(batch.column(1)):
                 n = np.diff(offset)
                 full = n > 0
                 sid = [_name(code[a:b]) if b > a else None for a, b in zip(offset[:-1], offset[1:])]
@@ -123,7 +134,7 @@ def _next(entries: DataFrame, orders: DataFrame, level: int, matches: int) -> Da
 
 
 def _by_cell(rows: DataFrame, kernel: Callable) -> DataFrame:
-    """(a, b) that ``kernel`` finds in the rows of each cell, which has a bounded number; kernel gets a dict of arrays."""
+    """(a, b, cell) that ``kernel`` finds in the rows of each cell, which has a bounded number; kernel gets a dict of arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -144,16 +155,15 @@ def _by_cell(rows: DataFrame, kernel: Callable) -> DataFrame:
         flat = table.column("signature").combine_chunks()
         flat = flat.flatten() if not isinstance(flat, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
         columns["signature"] = flat.to_numpy().reshape(-1, COORDINATES)
-        a, b = [], []
+        out = []
         for low, high in zip(edges[:-1], edges[1:]):
             x, y = kernel({k: v[low:high] for k, v in columns.items()})
-            a.append(np.minimum(x, y))
-            b.append(np.maximum(x, y))
-        a, b = np.concatenate(a), np.concatenate(b)
-        for k in range(0, len(a), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(a[k : k + (1 << 16)], pa.int64()), pa.array(b[k : k + (1 << 16)], pa.int64())], names=["a", "b"])
+            out.append((np.minimum(x, y), np.maximum(x, y), np.full(len(x), columns["cell"][low])))
+        out = [np.concatenate(x) for x in zip(*out)]
+        for k in range(0, len(out[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)], pa.int64()) for x in out], names=["a", "b", "cell"])
 
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, cell long")
 
 
 def _agreement(x: dict, y: dict) -> np.ndarray:
@@ -189,15 +199,32 @@ def _forest(matches: int) -> Callable:
 
 def _across(matches: int) -> Callable:
     def run(cell: dict) -> tuple[np.ndarray, np.ndarray]:
-        """The collisions of points left (side 1) with all points (side 0) of other components."""
+        """The collisions of points left (side 1) with all points (side 0) of other components; every point with itself if they are many."""
         left = cell["side"] == 1
         x, y = ({k: v[pick] for k, v in cell.items()} for pick in (left, ~left))
         i, j = np.nonzero((_agreement(x, y) >= matches) & (x["root"][:, None] != y["root"][None, :]))
+        if len(i) > DENSE * len(left):
+            every = np.unique(cell["sid"])
+            return every, every
         return x["sid"][i], y["sid"][j]
 
     return run
 
 
+def _links_of_cell(group: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the links within a cell, from its sets."""
+    sets, sid = [np.asarray(x) for x in group["set"]], group["sid"].to_numpy()
+    n = np.array([len(x) for x in sets])
+    shared = common_counts(sets)
+    i, j = np.nonzero(np.triu(shared, 1))
+    both = shared[i, j].astype(np.int64)
+    linked = 100 * both >= SHARE * (n[i] + n[j] - both)
+    root = least_reached(len(sets), i[linked], j[linked])
+    other = np.flatnonzero(root != np.arange(len(sets)))
+    a, b = sid[root[other]], sid[other]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
 class _Confirmed:
     """Pairs of points measured on full sets, which are made again from the texts."""
 
@@ -211,8 +238,8 @@ class _Confirmed:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                pick = np.flatnonzero(among(wanted, hashed(batch.column(0))))
-                for code, offset in _sets(batch.column(1).take(pa.array(pick)).to_pylist()):
+                chosen = batch.filter(pa.array(among(wanted, hashed(batch.column(0)))))
+                for code, offset in _sets(chosen.column(1)):
                     offset = offset[np.concatenate(([True], np.diff(offset) > 0))]  # empty sets have no name
                     sid = [_name(code[a:b]) for a, b in zip(offset[:-1], offset[1:])]
                     lists = pa.ListArray.from_arrays(pa.array(offset, pa.int32()), pa.array(code.view(np.int64)))
@@ -223,13 +250,18 @@ class _Confirmed:
         self.scratch.drop(names)
         return found
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the kept, distinct ``pairs`` (a, b) that link."""
-        needed = self.scratch.keep(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "ends")
+    def links(self, pairs: DataFrame, dense: DataFrame | None = None) -> DataFrame:
+        """Those of the kept, distinct ``pairs`` (a, b) that link, and a forest of the links within the kept cells ``dense`` (cell, sid)."""
+        ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
+        ends = ends if dense is None else ends.union(dense.select("sid"))
+        needed = self.scratch.keep(ends.distinct(), "ends")
         sets = self.sets(needed)
         both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         sized = both.select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("n"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"))
-        found = self.scratch.keep(sized.where(f"100 * i >= {SHARE} * (n - i)").select("a", "b"), "links")
+        found = sized.where(f"100 * i >= {SHARE} * (n - i)").select("a", "b")
+        if dense is not None:
+            found = found.unionByName(dense.join(sets, "sid").groupBy("cell").applyInPandas(_links_of_cell, "a long, b long"))
+        found = self.scratch.keep(found.distinct(), "links")
         self.scratch.drop(needed, sets)
         return found
 
@@ -251,33 +283,36 @@ def minhash_links(docs: DataFrame, scratch: Scratch, cell: int = CELL, block: in
     dealt = lists.withColumn("salt", F.explode(F.when(F.col("size") > cell, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     number = F.pmod(F.xxhash64("sid", "salt"), F.ceil(F.col("size") / cell))
     cells = dealt.select("sid", F.xxhash64("list", "salt", number).alias("cell")).join(signed, "sid")
-    tried = scratch.keep(_by_cell(cells, _forest(matches)), "forest")
+    tried = scratch.keep(_by_cell(cells, _forest(matches)).select("a", "b").distinct(), "forest")
     links = confirmed.links(tried)
 
     roots = scratch.keep(connected(links, scratch).toDF("sid", "root"), "roots")
     lists = lists.where("size > 2")  # the forest of two points is all of them
     across = None
     for level in range(1, levels + 1):
-        rooted = scratch.keep(lists.select("list", "sid", "place").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted")
-        parts = rooted.groupBy("list", "root").agg(F.count("*").alias("n"))
-        left = parts.groupBy("list").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"))
-        left = scratch.keep(left.select("list", "size", F.col("most.root").alias("main"), (F.col("size") - F.col("most.n")).alias("left")).where("left > 0"), "left")
+        rooted = lists.select("list", "sid", "place").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        rooted = scratch.keep(rooted.join(points.select("sid", "n"), "sid"), "rooted")
+        parts = rooted.groupBy("list", "root").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+        left = parts.groupBy("list").agg(F.sum("m").alias("size"), F.sum("n").alias("shingles"), F.max(F.struct("m", "root")).alias("most"))
+        left = scratch.keep(left.select("list", "size", "shingles", F.col("most.root").alias("main"), (F.col("size") - F.col("most.m")).alias("left")).where("left > 0"), "left")
         now = left if level == levels else left.where(F.col("left") <= block)
-        found = _by_cell(_block_pairs(rooted.join(now, "list"), block).join(signed, "sid"), _across(matches))
-        found = scratch.keep(found.join(tried, ["a", "b"], "left_anti"), "across")
+        found = scratch.keep(_by_cell(_block_pairs(rooted.drop("n").join(now, "list"), block).join(signed, "sid"), _across(matches)), "across")
         across = found if across is None else across.unionByName(found)
         more = left.where(F.col("left") > block)
         if level == levels or more.isEmpty():
             break
         lists = _merged(_next(rooted.join(more, "list", "left_semi"), orders, level + 1, matches), scratch)
-    across = scratch.keep(across.distinct(), "pairs-across")
-    links = scratch.keep(links.unionByName(confirmed.links(across)), "all-links")
+    pairs = across.where("a < b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    dense = across.where("a = b").select("cell", F.col("a").alias("sid"))
+    more = confirmed.links(scratch.keep(pairs, "pairs-across"), scratch.keep(dense, "dense"))
+    links = scratch.keep(links.unionByName(more), "all-links")
     return ids, links
 
 
 def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
     """(sid, root, side, cell): points left meet all points of their list in pairs of blocks."""
-    all_blocks, left_blocks = F.ceil(F.col("size") / block), F.ceil(F.col("left") / block)
+    smaller = F.greatest(F.lit(1.0), F.col("shingles") / F.col("size") * block / BLOCK_SHINGLES)  # long texts
+    all_blocks, left_blocks = F.ceil(F.col("size") / block * smaller), F.ceil(F.col("left") / block * smaller)
     own = lambda n: F.pmod(F.xxhash64("sid", F.lit(7)), n)
     every = rows.select("*", own(all_blocks).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), left_blocks - 1)).alias("j"), F.lit(0).alias("side"))
     others = rows.where("root <> main").select("*", F.explode(F.sequence(F.lit(0).cast("long"), all_blocks - 1)).alias("i"), own(left_blocks).alias("j"), F.lit(1).alias("side"))
