@@ -24,10 +24,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swarmlens.llm.scratch import Scratch
 from swarmlens.llm.wordhash import blocks
 
 BUCKETS = 1 << 16
-MOST_LANGUAGES = 256  #: of more labels the most frequent ones are learned
+HELD = 16  #: languages that a task counts at a time
+COMPARED = 1024  #: codewords of which every two are compared; more languages get longer random ones instead
 SHARPNESS = 4.0
 AMBIGUOUS = 0.2
 _LETTER = regex.compile(r"\p{L}")
@@ -69,8 +71,12 @@ def codewords(n: int, bits: int = 0) -> np.ndarray:
     if n <= 5:
         rows = [c for c in product((0, 1), repeat=n) if c[0] == 0 and any(c)]
         return np.array(rows, np.int8).reshape(len(rows), n).T
-    bits = bits or 4 * int(np.ceil(np.log2(n))) + 7
+    bits = bits or (4 if n <= COMPARED else 8) * int(np.ceil(np.log2(n))) + 7
     rng = np.random.default_rng(20)
+    if n > COMPARED:
+        table = rng.integers(0, 2, (n, bits)).astype(np.int8)
+        table[0], table[1] = 0, 1  # no bit is alike for all
+        return table
     best, far = None, -1
     for _ in range(50):
         table = rng.integers(0, 2, (n, bits)).astype(np.int8)
@@ -86,20 +92,23 @@ def codewords(n: int, bits: int = 0) -> np.ndarray:
 class OutputCodes:
     """The fitted classifiers: languages, codewords, log-odds (buckets, bits) and weights of bits."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    def __init__(self, languages: list[str], ones: np.ndarray, shares: np.ndarray):
+        """``shares`` (buckets) sums the languages' shares of a trigram, ``ones`` (buckets, bits) those of the languages whose bit is set."""
         self.languages = languages
         self.codes = codewords(len(languages))
         bits = self.codes.shape[1]
         self.odds = np.zeros((BUCKETS, max(1, bits)), np.float32)
-        share = counts / np.maximum(1, counts.sum(1, keepdims=True))  # languages count alike
-        for b in range(bits):
-            one, zero = share[self.codes[:, b] == 1].mean(0), share[self.codes[:, b] == 0].mean(0)
-            self.odds[:, b] = np.log((one + 1e-7) / (zero + 1e-7))
-        # what each bit's margin is for each language's own trigrams tells how far apart it holds them
-        own = share @ self.odds
-        sign = 2 * self.codes - 1
-        self.weight = np.clip((own[:, :bits] * sign).min(0), 0.05, None) if bits else np.ones(1)
-        self.weight = self.weight / self.weight.sum()
+        if bits:  # languages count alike
+            set_in = self.codes.sum(0, dtype=np.int64)
+            zeros = np.maximum(shares[:, None] - ones, 0)
+            self.odds[:] = np.log((ones / set_in + 1e-7) / (zeros / (len(languages) - set_in) + 1e-7))
+        self.weight = np.ones(max(1, bits)) / max(1, bits)
+
+    def weigh(self, least: np.ndarray) -> None:
+        """Weigh the bits by the least margin that each has for any language's own trigrams: how far apart it holds them."""
+        if self.codes.shape[1]:
+            self.weight = np.clip(least, 0.05, None)
+            self.weight = self.weight / self.weight.sum()
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         code, offset = trigrams(texts)
@@ -118,8 +127,9 @@ class OutputCodes:
             return [(self.languages[0], 1.0, False) if t and _LETTER.search(t) else ("und", 0.0, True) for t in texts]
         out = []
         margin = SHARPNESS * self.margins(texts)
-        signed = margin[:, None, :] * (2 * self.codes - 1)[None]
-        loss = (np.logaddexp(0, -signed) * self.weight).sum(2) * len(self.weight)
+        # log(1 + exp(-m)) where the bit is set and log(1 + exp(m)) where it isn't differ by m
+        weight = self.weight * len(self.weight)
+        loss = (np.logaddexp(0, margin) @ weight)[:, None] - (margin * weight) @ self.codes.T
         chance = np.exp(loss.min(1, keepdims=True) - loss)
         chance /= chance.sum(1, keepdims=True)
         for t, c in zip(texts, chance):
@@ -134,35 +144,94 @@ class OutputCodes:
 def fit(docs: DataFrame) -> OutputCodes:
     """Classifiers from every row of ``docs`` (doc_id, text, lang) with a lang that isn't held out.
 
-    Of more than MOST_LANGUAGES labels the most frequent ones are learned, ties
-    by name; a null or empty text teaches its label only; a null doc_id is not
-    held out; repeated rows count as often as they stand.
+    All labels are learned that any text with a trigram has; a null or empty
+    text teaches nothing.  A null doc_id is not held out; repeated rows count
+    as often as they stand.  What reaches the driver is the labels' names and
+    BUCKETS times as many numbers as codewords have bits, which grow as the
+    logarithm of the labels.
     """
-    hash_of = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary"))
-    labelled = docs.where(F.col("lang").isNotNull() & ~F.coalesce(hash_of % 4 == 2, F.lit(False))).groupBy(F.col("lang").cast("string").alias("lang")).count()
-    known = frozenset(r["lang"] for r in labelled.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+
+        def flushed():
+            for g, counts in sorted(total.items()):
+                bucket = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(bucket), pa.string()), pa.array(bucket, pa.int32()), pa.array(counts[bucket])], names=["lang", "bucket", "n"])
+            total.clear()
+
         for batch in batches:
-            rows = [(t, g) for i, t, g in zip(*(batch.column(k).to_pylist() for k in range(3))) if g in known and not held_out(i)]
+            rows = [(t, g) for i, t, g in zip(*(batch.column(k).to_pylist() for k in range(3))) if not held_out(i)]
             texts, langs = [r[0] for r in rows], np.array([r[1] for r in rows], object)
             for a, b in blocks(texts):
                 code, offset = trigrams(texts[a:b])
                 owner = np.repeat(langs[a:b], np.diff(offset))
                 for g in set(langs[a:b]):
+                    if g not in total and len(total) >= HELD:
+                        yield from flushed()
                     total.setdefault(g, np.zeros(BUCKETS, np.int64))
                     total[g] += np.bincount(code[owner == g], minlength=BUCKETS)
-        for g, counts in sorted(total.items()):
-            bucket = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([g] * len(bucket)), pa.array(bucket, pa.int32()), pa.array(counts[bucket])], names=["lang", "bucket", "n"])
-
-    counts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "lang string, bucket int, n long")
-    counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # MOST_LANGUAGES * BUCKETS rows at most
-    languages = sorted(counts["lang"].unique())
-    table = np.zeros((len(languages), BUCKETS))
-    table[counts["lang"].map({g: k for k, g in enumerate(languages)}).to_numpy(int), counts["bucket"].to_numpy(int)] = counts["n"]
-    return OutputCodes(languages, table)
+        yield from flushed()
+
+    scratch = Scratch(docs.sparkSession, "languages")
+    labelled = docs.where("lang is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    counts = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = scratch.keep(counts, "counts")
+    totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}  # a row a label
+    languages = sorted(totals)
+    codes, place = codewords(len(languages)), {g: k for k, g in enumerate(languages)}
+    size = np.array([totals[g] for g in languages], float)
+    bits = codes.shape[1]
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each bucket the sum of the languages' shares, and for each bit of those that have it set."""
+        held, sums = None, np.zeros(bits + 1)
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["bucket", "sums"])
+
+        for batch in batches:
+            for g, bucket, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != held:
+                    if held is not None:
+                        yield row()
+                    held, sums = bucket, np.zeros(bits + 1)
+                share = n / size[place[g]]
+                sums[0] += share
+                sums[1:] += share * codes[place[g]]
+        if held is not None:
+            yield row()
+
+    ordered = counts.repartition("bucket").sortWithinPartitions("bucket", "lang")
+    ones, shares = np.zeros((BUCKETS, bits)), np.zeros(BUCKETS)
+    for r in ordered.mapInArrow(shared, "bucket int, sums array<double>").collect():  # BUCKETS rows at most
+        shares[r["bucket"]], ones[r["bucket"]] = r["sums"][0], r["sums"][1:]
+    model = OutputCodes(languages, ones, shares)
+    odds = model.odds
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The least margin of each bit over the languages of a partition."""
+        least, held, margin = None, None, np.zeros(bits)
+
+        def lower(least):
+            signed = margin * (2 * codes[place[held]] - 1)
+            return signed if least is None else np.minimum(least, signed)
+
+        for batch in batches:
+            for g, bucket, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if g != held:
+                    if held is not None:
+                        least = lower(least)
+                    held, margin = g, np.zeros(bits)
+                margin += n / size[place[g]] * odds[bucket, :bits]
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([lower(least).tolist()], pa.list_(pa.float64()))], names=["least"])
+
+    if bits:
+        by_language = counts.repartition("lang").sortWithinPartitions("lang", "bucket")
+        model.weigh(np.min([r["least"] for r in by_language.mapInArrow(own, "least array<double>").collect()], axis=0))  # a row a task
+    scratch.drop(counts)
+    return model
 
 
 def identified(docs: DataFrame, model: OutputCodes) -> DataFrame:

@@ -4,8 +4,10 @@ A line is its sequence of words, A-Z in lower case.  Two lines match when they
 are equal or within the edit bound of their length: one word put in, left out
 or replaced where that leaves them 0.8 alike, which it does from ``MIN_WORDS``
 words on.  A line goes if an earlier line of the corpus (by doc_id, then line)
-matches it; of a group of copies the earliest stays.  Lines without a word are
-left alone.
+matches it that stays: of a group of copies the earliest stays, and of a chain
+in which each line matches only the one before every second.  (The earlier
+lines looked at are the first of each group of step 2.)  Lines without a word
+are left alone.
 
 1.  Emit variants.  A variant of a line is what is left after at most one
     deletion, and lines within the bound share a variant.  A first key of a
@@ -24,7 +26,7 @@ left alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,16 +116,28 @@ class LineWords:
         return b" ".join(raw.split())  # at the same six bytes that words end at
 
 
-def _numbers(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _numbers(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Callable]:
+    """(doc_id, hash, text, h) of ``docs``, and what gives the row of each in a batch of that.
 
+    A row is 0, but a hash of the text where rows of different texts may share a doc_id.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    repeated = scratch.keep(docs.groupBy("doc_id").count().where("count > 1").select(F.xxhash64("doc_id").alias("h")), "repeated-ids")
+    wanted = marked_bits(repeated)  # ids that it lets through as well get a hash for a row, which changes nothing
+    scratch.drop(repeated)
+
+    def rows(batch: pa.RecordBatch) -> pa.Array:
+        return pa.array(np.where(among(wanted, hashed(batch.column(3))), batch.column(1).to_numpy(zero_copy_only=False), 0), pa.int64())
+
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text", F.xxhash64("doc_id").alias("h")), rows
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, lid, keys) of every line that has a word; keys are null below MIN_WORDS."""
+
+def _lines(docs: DataFrame, rows_of: Callable) -> DataFrame:
+    """(doc_id, row, line, lid, keys) of every line that has a word; keys are empty below MIN_WORDS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts, every = batch.column(2).to_pylist(), rows_of(batch)
             for a, b in blocks(texts):
                 lines = LineWords(texts[a:b])
                 keys = lines.keys() if len(lines.size) else np.zeros((0, SELECTED + 2), U64)
@@ -131,14 +145,14 @@ def _lines(docs: DataFrame) -> DataFrame:
                 long = lines.size >= MIN_WORDS
                 np.cumsum(long * (SELECTED + 2), out=offsets[1:])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, mask=None), pa.array(keys[long].reshape(-1).view(np.int64)))
-                ids = batch.column(0).slice(a, b - a).take(pa.array(lines.doc))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number, pa.int32()), pa.array(lines.hash.view(np.int64)), lists], names=["doc_id", "line", "lid", "keys"])
+                ids, rows = (c.slice(a, b - a).take(pa.array(lines.doc)) for c in (batch.column(0), every))
+                yield pa.RecordBatch.from_arrays([ids, rows, pa.array(lines.number, pa.int32()), pa.array(lines.hash.view(np.int64)), lists], names=["doc_id", "row", "line", "lid", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, line int, lid long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, row long, line int, lid long, keys array<long>")
 
 
-def _occurrence(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return mix(mix(doc_id.view(U64)) + line.astype(U64))
+def _occurrence(doc_id: np.ndarray, row: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(mix(doc_id.view(U64) + row.view(U64) * U64(3)) + line.astype(U64))
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -165,8 +179,8 @@ def _alike(lines: DataFrame, scratch: Scratch) -> DataFrame:
     return found
 
 
-def _variants(docs: DataFrame, near: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, line, words, n, variants) of the lines of ``near`` (doc_id, line); ``variants`` begins with the line's own hash.
+def _variants(docs: DataFrame, rows_of: Callable, near: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, row, line, words, n, variants) of the lines of ``near`` (doc_id, row, line); ``variants`` begins with the line's own hash.
 
     ``words`` are the line's n words with a space between.
 
@@ -175,35 +189,36 @@ def _variants(docs: DataFrame, near: DataFrame, scratch: Scratch) -> DataFrame:
 
     def run_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            code = _occurrence(_ids(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False))
+            code = _occurrence(_ids(batch.column(0)), _ids(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64))], names=["h"])
 
-    names = scratch.keep(near.select("doc_id", "line").mapInArrow(run_names, "h long"), "occurrences")
+    names = scratch.keep(near.select("doc_id", "row", "line").mapInArrow(run_names, "h long"), "occurrences")
     wanted = marked_bits(names)
     scratch.drop(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), _ids(batch.column(0))
+            texts, ids, every = batch.column(2).to_pylist(), _ids(batch.column(0)), rows_of(batch)
+            rows = every.to_numpy()
             for a, b in blocks(texts):
                 block = LineWords(texts[a:b])
-                pick = np.flatnonzero(among(wanted, _occurrence(ids[a:b][block.doc], block.number)) & (block.size >= MIN_WORDS))
+                pick = np.flatnonzero(among(wanted, _occurrence(ids[a:b][block.doc], rows[a:b][block.doc], block.number)) & (block.size >= MIN_WORDS))
                 if not len(pick):
                     continue
                 variant, offset = block.variants(pick)
                 lists = pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(variant.view(np.int64)))
                 said = pa.array([block.text(k) for k in pick.tolist()], pa.binary()).cast(pa.string())
-                doc = batch.column(0).slice(a, b - a).take(pa.array(block.doc[pick]))
-                yield pa.RecordBatch.from_arrays([doc, pa.array(block.number[pick], pa.int32()), said, pa.array(block.size[pick], pa.int32()), lists], names=["doc_id", "line", "words", "n", "variants"])
+                doc, row = (c.slice(a, b - a).take(pa.array(block.doc[pick])) for c in (batch.column(0), every))
+                yield pa.RecordBatch.from_arrays([doc, row, pa.array(block.number[pick], pa.int32()), said, pa.array(block.size[pick], pa.int32()), lists], names=["doc_id", "row", "line", "words", "n", "variants"])
 
-    found = docs.mapInArrow(run, "doc_id long, line int, words string, n int, variants array<long>")
+    found = docs.mapInArrow(run, "doc_id long, row long, line int, words string, n int, variants array<long>")
     if wanted is None:  # no array could hold them
-        found = found.join(near.select(F.col("doc_id").alias("d"), F.col("line").alias("l")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l")), "left_semi")
+        found = found.join(near.toDF("d", "r", "l"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")) & (F.col("line") == F.col("l")), "left_semi")
     return scratch.keep(found, "variants")
 
 
 def _verified(pairs: DataFrame, said: DataFrame) -> DataFrame:
-    """The ``at`` of ``pairs`` (at, with, place, kind) whose words bear the match out.
+    """(at, with) of the ``pairs`` (at, with, place, kind) whose words bear the match out.
 
     ``said`` has the (at, words, n) of all lines in them, as a table, so that
     the many lines whose partner is one and the same can be split.
@@ -215,36 +230,65 @@ def _verified(pairs: DataFrame, said: DataFrame) -> DataFrame:
     part = lambda c, n: F.call_function("substring_index", F.col(c), F.lit(" "), n)
     before, after = F.col("place"), F.col("place") + 1 - F.greatest("na", "nb")
     same = (F.col("na") - F.col("nb") == F.col("kind")) & (part("a", before) == part("b", before)) & (part("a", after) == part("b", after))
-    return both.where(same).select("at")
+    return both.where(same).select("at", "with")
 
 
 def _matched(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, line) of the lines that one of their ``pairs`` bears out: the first partner of each, then, if that fails, all."""
+    """(doc_id, row, line) of the lines that one of their ``pairs`` bears out whose partner stays.
+
+    The first partner of each is compared; where that fails, or goes itself,
+    all of them are.
+    """
     pairs = scratch.keep(pairs, "pairs")
-    texts = scratch.keep(texts.select(F.struct("doc_id", "line").alias("at"), "words", "n").dropDuplicates(["at"]), "texts")
+    texts = scratch.keep(texts.select(F.struct("doc_id", "row", "line").alias("at"), "words", "n").dropDuplicates(["at"]), "texts")
     first = pairs.groupBy("at").agg(F.min(F.struct("with", "place", "kind")).alias("p")).select("at", "p.*")
     first = scratch.keep(first, "first-partners")
     good = scratch.keep(_verified(first, texts), "verified")
-    failed = first.select("at").join(good, "at", "left_anti")
-    if not failed.isEmpty():
-        good = good.unionByName(scratch.keep(_verified(pairs.join(failed, "at", "left_semi"), texts), "verified-others"))
-    return good.select("at.doc_id", "at.line")
+    others = first.select("at").join(good, "at", "left_anti").unionByName(good.join(good.select(F.col("at").alias("with")).distinct(), "with", "left_semi").select("at"))
+    others = scratch.keep(others, "to-verify")
+    links = good
+    if not others.isEmpty():
+        links = good.unionByName(_verified(pairs.join(others, "at", "left_semi"), texts)).distinct()
+        links = scratch.keep(links, "verified-others")
+    return _decided(links, scratch).select("at.doc_id", "at.row", "at.line")
+
+
+def _decided(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(at) of the lines that go, given the kept ``links`` (at, with) of lines to earlier ones: those with a partner that stays.
+
+    A round decides the lines whose partners are all decided, and the first
+    lines of all chains stay, so the rounds are as many as the longest chain
+    has lines; most lines are decided in the first.
+    """
+    # what has no earlier partner stays
+    gone = scratch.keep(links.join(links.select(F.col("at").alias("with")).distinct(), "with", "left_anti").select("at").distinct(), "gone")
+    open_links = scratch.keep(links.join(gone, "at", "left_anti"), "open-links")
+    while not open_links.isEmpty():
+        # partners that are open are not decided yet; of the others those that aren't gone stay
+        lines = open_links.select(F.col("at").alias("with")).distinct()
+        known = open_links.join(gone.select(F.col("at").alias("with"), F.lit(True).alias("goes")), "with", "left").join(lines.withColumn("open", F.lit(True)), "with", "left")
+        state = known.groupBy("at").agg(F.bool_and(F.coalesce("goes", F.lit(False))).alias("stays"), F.bool_or(F.col("goes").isNull() & F.col("open").isNull()).alias("goes"))
+        state = scratch.keep(state, "decided")
+        gone = scratch.keep(gone.unionByName(state.where("goes").select("at")), "gone")
+        # a line that stays is no longer open, so that those after it go
+        open_links = scratch.keep(open_links.join(state.where("stays or goes").select("at"), "at", "left_anti"), "open-links")
+    return gone
 
 
 def dropped_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(lines, dropped): all lines with a word (doc_id, line), and those that an earlier line matches."""
-    docs = _numbers(docs)
-    lines = scratch.keep(_lines(docs), "lines")
-    first = lines.groupBy("lid").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
+    """(lines, dropped): all lines with a word (doc_id, row, line), and those that an earlier line matches."""
+    docs, rows_of = _numbers(docs, scratch)
+    lines = scratch.keep(_lines(docs, rows_of), "lines")
+    first = lines.groupBy("lid").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count("*").alias("n"))
     first = scratch.keep(first, "first")
-    again = lines.select("doc_id", "line", "lid").join(first.where("n > 1").drop("n"), "lid").where("not (doc_id <=> first.doc_id and line = first.line)").select("doc_id", "line")
+    again = lines.select("doc_id", "row", "line", "lid").join(first.where("n > 1").drop("n"), "lid").where("not (doc_id <=> first.doc_id and row = first.row and line = first.line)").select("doc_id", "row", "line")
     again = scratch.keep(again, "again")
     alike = _alike(lines, scratch)
-    near = scratch.keep(first.join(alike, "lid", "left_semi").select("first.doc_id", "first.line"), "near")
-    count = scratch.keep(lines.select("doc_id", "line"), "numbers")
+    near = scratch.keep(first.join(alike, "lid", "left_semi").select("first.doc_id", "first.row", "first.line"), "near")
+    count = scratch.keep(lines.select("doc_id", "row", "line"), "numbers")
     scratch.drop(first, alike, lines)
-    texts = _variants(docs, near, scratch)
-    at = F.struct("doc_id", "line").alias("at")
+    texts = _variants(docs, rows_of, near, scratch)
+    at = F.struct("doc_id", "row", "line").alias("at")
     # the line's own hash is at place -1
     each = texts.select(at, F.posexplode("variants").alias("place", "variant")).withColumn("place", F.col("place") - 1)
     groups = each.groupBy("variant", "place").agg(F.min("at").alias("earliest"), F.count("*").alias("members"))
@@ -263,15 +307,15 @@ def dropped_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                lists = part.column(2)
+                lists = part.column(3)
                 length = lists.value_lengths().to_numpy(zero_copy_only=False)
                 variant = lists.flatten().to_numpy(zero_copy_only=False)
                 place = np.arange(len(variant)) - np.repeat(np.cumsum(length) - length, length) - 1
                 pick = np.flatnonzero(among(wanted, variant.view(U64)) & (place >= 0))
                 row = pa.array(np.repeat(np.arange(part.num_rows), length)[pick])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(variant[pick]), pa.array(place[pick], pa.int32())], names=["doc_id", "line", "variant", "place"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in range(3)), pa.array(variant[pick]), pa.array(place[pick], pa.int32())], names=["doc_id", "row", "line", "variant", "place"])
 
-    some = texts.select("doc_id", "line", "variants").mapInArrow(grouped, "doc_id long, line int, variant long, place int")
+    some = texts.select("doc_id", "row", "line", "variants").mapInArrow(grouped, "doc_id long, row long, line int, variant long, place int")
     met = scratch.keep(some.select(at, "variant", "place").join(useful, ["variant", "place"]), "met")
     fellow = met.where("earliest < at").select("at", F.col("earliest").alias("with"), "place", F.lit(0).alias("kind"))
     longer = met.where("line_at < at").select("at", F.col("line_at").alias("with"), "place", F.lit(1).alias("kind"))
@@ -282,16 +326,16 @@ def dropped_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
 def line_report(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row (doc_id, n_lines, n_dropped, dropped) per doc_id of ``docs``; ``dropped`` are line numbers from 0.
 
-    Null and empty texts have no lines; rows that repeat a doc_id are one
-    document and don't drop each other's lines at the same place; a null doc_id
-    is a document before all others; an empty table gives no rows; other
+    Null and empty texts have no lines; equal rows are one; rows of different
+    texts that repeat a doc_id are told apart, in an order by hash, and counted
+    together; a null doc_id is before all others; an empty table gives no rows; other
     columns are not looked at.
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     lines, dropped = dropped_lines(docs, scratch)
     total = lines.distinct().groupBy("doc_id").agg(F.count("*").alias("n_lines"))
     gone = dropped.groupBy("doc_id").agg(F.count("*").alias("n_dropped"), F.array_sort(F.collect_list("line")).alias("dropped"))
-    every = _numbers(docs).select("doc_id").distinct()
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     rows = every.join(total, every.doc_id.eqNullSafe(total.doc_id), "left").join(gone, every.doc_id.eqNullSafe(gone.doc_id), "left")
     return rows.select(
         every.doc_id,
@@ -305,14 +349,21 @@ def without_repeated_lines(docs: DataFrame, scratch: Scratch | None = None) -> D
     """``docs`` with the matched lines taken out of ``text``, and ``n_chars`` counted again if there is one.
 
     A document that had words and has none left is itself a repeat and goes.
+    Equal rows stay or go together; of rows that repeat a doc_id with different
+    texts each loses its own matched lines; null texts stay as they are, and an
+    empty table gives no rows.
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     _, dropped = dropped_lines(docs, scratch)
-    gone = dropped.groupBy("doc_id").agg(F.concat(F.array(F.lit(-1)), F.array_sort(F.collect_set("line"))).alias("gone")).withColumnRenamed("doc_id", "key")
+    gone = dropped.groupBy("doc_id", "row").agg(F.concat(F.array(F.lit(-1)), F.array_sort(F.collect_set("line"))).alias("gone")).withColumnRenamed("doc_id", "key")
+    gone = scratch.keep(gone, "gone-lines")
     rows, place = numbered(docs)
     # split below the join, so that the texts are split once and not for every piece
-    rows = rows.withColumn("lines", F.split(place["text"], "\n"))
-    rows = rows.join(gone, rows[place["doc_id"]].cast("long").eqNullSafe(gone["key"]), "left")
+    rows = rows.withColumn("lines", F.split(place["text"], "\n")).withColumn("hash", F.xxhash64(place["text"]))
+    same = rows[place["doc_id"]].cast("long").eqNullSafe(F.col("key"))
+    rows = rows.join(gone.where("row = 0").select("key", "gone"), same, "left").drop("key")
+    told = gone.where("row <> 0").select("key", "row", F.col("gone").alias("told"))  # rows that share a doc_id with others
+    rows = rows.join(told, rows[place["doc_id"]].cast("long").eqNullSafe(F.col("key")) & (rows["hash"] == told["row"]), "left").withColumn("gone", F.coalesce("gone", "told")).drop("key", "row", "told")
 
     def piece(k):
         before = F.get("gone", k)

@@ -147,8 +147,20 @@ def dropped(rows):
                     gone.add((i, k))
                 else:
                     first[w] = (i, k)
-    many = [(w, p) for w, p in first.items() if len(w) >= line_dedup.MIN_WORDS]
-    return gone | {p for w, p in many if any(q < p and one_edit(v, w) for v, q in many)}
+    many = {w: p for w, p in first.items() if len(w) >= line_dedup.MIN_WORDS}
+    groups = {}
+    for w, p in many.items():
+        for k in range(len(w)):
+            groups.setdefault((w[:k] + w[k + 1 :], k), []).append(p)
+    stays = set()
+    for w, p in sorted(many.items(), key=lambda x: x[1]):
+        # the first of each group that it is in, lines that lack one word of it, and that it lacks one word of
+        partners = {min(groups[w[:k] + w[k + 1 :], k]) for k in range(len(w))} | {many.get(w[:k] + w[k + 1 :]) for k in range(len(w))}
+        partners |= {min(groups[w, k]) for k in range(len(w) + 1) if (w, k) in groups}
+        assert all(one_edit(next(v for v, q in many.items() if q == x), w) for x in partners - {None, p})
+        if not partners & stays:
+            stays.add(p)
+    return gone | (set(many.values()) - stays)
 
 
 def test_line_dedup(docs):
@@ -169,6 +181,24 @@ def test_lines_leave_the_texts(docs):
     assert Counter((r["doc_id"], r["text"], r["n_chars"]) for r in kept.collect()) == expected
 
 
+def test_rows_that_repeat_a_doc_id_keep_their_own_lines(spark):
+    again, unique = "dup line with quite a few words in it", "a completely different unique sentence of some length"
+    rows = [(0, again), (5, again), (5, unique + "\n" + again), (5, unique + " more"), (5, unique + " more"), (None, again.upper()), (None, "x\n" + unique)]
+    frame = table(spark, rows)
+    left = Counter((r["doc_id"], r["text"]) for r in line_dedup.without_repeated_lines(frame).collect())
+    said = Counter(w for (_, t), n in left.items() for w in t.lower().split("\n") for _ in range(n))
+    assert said[again] == 1 and said["x"] == 1 and said[unique] + said[unique + " more"] >= 1
+    assert not any(i in (0, 5) and again in t for i, t in left)  # the null doc_id is before all others
+    assert sum(r["n_dropped"] for r in line_dedup.line_report(frame).collect()) == 5
+
+
+def test_a_chain_of_lines_keeps_every_second(spark):
+    base = [f"word{k}" for k in range(8)]
+    lines = [" ".join(f"other{j}" if j < k else w for j, w in enumerate(base)) for k in range(7)]
+    report = line_dedup.line_report(table(spark, list(enumerate(lines)))).collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in report} == {k: k % 2 for k in range(7)}
+
+
 def test_decontamination(spark):
     items = [(1, " ".join(f"a{k}" for k in range(30))), (2, " ".join(f"b{k}" for k in range(12))), (3, None), (4, "too short"), (5, "")]
     a = items[0][1].split()
@@ -381,9 +411,25 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.identified(frame, nothing).collect()} == {"und"}
 
 
+def test_all_of_300_languages_are_learned(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    parts = {f"l{k:03d}": ["".join(rng.choice(letters) for _ in range(4)) for _ in range(6)] for k in range(300)}
+    rows = [(n, " ".join(rng.choice(parts[g]) for _ in range(30)), g) for n, g in enumerate(g for g in parts for _ in range(4))]
+    rows += [(9000, None, "only null"), (9001, "", "only empty")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+    assert set(model.languages) == {g for i, t, g in rows if t and not langid.held_out(i)}
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identified(frame, model).collect()}
+    assert sum(found[i] == g for i, t, g in rows if t) >= 0.98 * 1200
+
+
 def test_codewords_are_apart():
-    for n in (2, 3, 4, 5, 9):
+    for n in (2, 3, 4, 5, 9, 2000):
         table = langid.codewords(n)
+        if n > langid.COMPARED:
+            assert len({r.tobytes() for r in table}) == n
+            continue
         assert min((table[a] != table[b]).sum() for a in range(n) for b in range(a)) >= max(1, n - 3)
 
 
