@@ -269,7 +269,7 @@ def _decided(links: DataFrame, scratch: Scratch) -> DataFrame:
         known = open_links.join(gone.select(F.col("at").alias("with"), F.lit(True).alias("goes")), "with", "left").join(lines.withColumn("open", F.lit(True)), "with", "left")
         state = known.groupBy("at").agg(F.bool_and(F.coalesce("goes", F.lit(False))).alias("stays"), F.bool_or(F.col("goes").isNull() & F.col("open").isNull()).alias("goes"))
         state = scratch.keep(state, "decided")
-        gone = scratch.keep(gone.unionByName(state.where("goes").select("at")), "gone")
+        gone = gone.unionByName(state.where("goes").select("at"))
         # a line that stays is no longer open, so that those after it go
         open_links = scratch.keep(open_links.join(state.where("stays or goes").select("at"), "at", "left_anti"), "open-links")
     return gone
