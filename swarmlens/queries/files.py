@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import os
 import sqlite3
+import uuid
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from swarmlens.queries.simulation import G, I, _profiles
 from swarmlens.sources import model, readers
 from swarmlens.sources.folders import local_path, work_folder
 from swarmlens.streaming import actions as streams
+from swarmlens.streaming import episodes, stateful
 
 A = "WITH " + model.ACTIONS_SQL
 #: Platform actions that the events of the test tables stand for; sign-ups are not logged.
@@ -77,35 +81,51 @@ UNION ALL SELECT 'legacy_end', NULL, strftime(last, '%Y-%m-%dT%H:%M:%S'), NULL,
 # Platform databases
 
 
-def _database(s, label: str, table: str, columns: str, rows: DataFrame) -> str:
-    """A database with ``rows`` as one table; rows are streamed, so the driver holds one partition at a time."""
+def _database(s, label: str, table: str, columns: str, rows: DataFrame, by: str) -> str:
+    """A folder of databases with ``rows`` as one table; every task writes one, of a range of ``by``."""
     folder = local_path(work_folder(s, label))
     os.makedirs(folder)
-    path = f"{folder}/{table}.db"
-    con = sqlite3.connect(path)
-    con.execute(f"CREATE TABLE {table} ({columns})")
-    con.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(rows.columns))})", (tuple(r) for r in rows.toLocalIterator()))
-    con.commit()
-    con.close()
-    return path
+    row = ", ".join("?" * len(rows.columns))
+
+    def write(batches):
+        path = f"{folder}/{TaskContext.get().partitionId():06d}.db"
+        draft = f"{path}-{uuid.uuid4().hex}"  # a task that runs again puts its file in place of the first
+        con = sqlite3.connect(draft)
+        con.execute(f"CREATE TABLE {table} ({columns})")
+        n = 0
+        for batch in batches:
+            con.executemany(f"INSERT INTO {table} VALUES ({row})", zip(*(c.to_pylist() for c in batch.columns)))
+            n += batch.num_rows
+        con.commit()
+        con.close()
+        os.replace(draft, path)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    parts = int(s.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(parts, by).sortWithinPartitions(*dict.fromkeys([by, *rows.columns])).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return folder
 
 
-def _trace(s, d) -> DataFrame:
+def _trace_database(s, d) -> str:
     info = F.to_json(F.struct(F.col("event_id").alias("post_id"), F.concat(F.lit("text "), "user_id").alias("content"), F.lit(1).alias("junk")))
     rows = model.table(s, d, "events").select("event_id", "user_id", _named(TRACE, "event_type").alias("action"), F.when(F.col("event_id") % 7 == 0, "no json").otherwise(info).alias("info"), F.col("ts").cast("string").alias("created_at"))
-    path = _database(s, "trace", "trace", "id INTEGER PRIMARY KEY, user_id INT, action TEXT, info TEXT, created_at TEXT", rows)
+    return _database(s, "trace", "trace", "id INTEGER PRIMARY KEY, user_id INT, action TEXT, info TEXT, created_at TEXT", rows, "event_id")
+
+
+def _trace(s, d) -> DataFrame:
+    path = _trace_database(s, d)
     return readers.new_actions(s, path).select("rowid", "agent_id", "action_type", F.array_join(F.map_keys("action_args"), ",").alias("kept"), F.col("action_args")["content"].alias("content"))
 
 
 def _db_posts(s, d) -> DataFrame:
     rows = model.table(s, d, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit("order "), "o_orderkey"), F.col("o_orderdate").cast("string"))
-    path = _database(s, "posts", "post", "post_id INTEGER PRIMARY KEY, user_id INT, content TEXT, created_at TEXT", rows)
+    path = _database(s, "posts", "post", "post_id INTEGER PRIMARY KEY, user_id INT, content TEXT, created_at TEXT", rows, "o_orderkey")
     return readers.platform_posts(s, path, 50, 20).select("post_id", "user_id", "content")
 
 
 def _db_comments(s, d) -> DataFrame:
-    rows = model.table(s, d, "lineitem").select(F.expr("10 * l_orderkey + l_linenumber"), "l_orderkey", "l_suppkey", F.concat(F.lit("line "), "l_linenumber"), F.col("l_shipdate").cast("string"))
-    path = _database(s, "comments", "comment", "comment_id INT, post_id INT, user_id INT, content TEXT, created_at TEXT", rows)
+    rows = model.table(s, d, "lineitem").select(F.expr("10 * l_orderkey + l_linenumber AS comment_id"), "l_orderkey", "l_suppkey", F.concat(F.lit("line "), "l_linenumber"), F.col("l_shipdate").cast("string"))
+    path = _database(s, "comments", "comment", "comment_id INT, post_id INT, user_id INT, content TEXT, created_at TEXT", rows, "comment_id")
     return readers.platform_comments(s, path, None, 60, 10).select("comment_id", "post_id", "user_id", "content")
 
 
@@ -113,17 +133,16 @@ def _interview_trace(s, d) -> DataFrame:
     rows = model.interviews(s, d)
     info = F.when(F.col("turn") % 4 == 2, F.concat(F.lit("plain "), "conv_id")).otherwise(F.to_json(F.struct("prompt", "response")))
     stamp = F.format_string("%012d-%06d", "conv_id", "turn")
-    # conversations of one number are told apart by an order over everything that is written
-    return rows.select("agent_id", F.lit("interview"), info.alias("info"), stamp.alias("created_at")).orderBy("created_at", "info")
+    return rows.select("agent_id", F.lit("interview").alias("action"), info.alias("info"), stamp.alias("created_at"))
 
 
 def _db_interviews(s, d) -> DataFrame:
-    path = _database(s, "interviews", "trace", "user_id INT, action TEXT, info TEXT, created_at TEXT", _interview_trace(s, d))
+    path = _database(s, "interviews", "trace", "user_id INT, action TEXT, info TEXT, created_at TEXT", _interview_trace(s, d), "created_at")
     return readers.interview_rows(s, path, None, 100).select("user_id", F.md5("prompt").alias("prompt"), F.md5("response").alias("response"), "created_at")
 
 
 def _db_latest_interview(s, d) -> DataFrame:
-    path = _database(s, "interviews", "trace", "user_id INT, action TEXT, info TEXT, created_at TEXT", _interview_trace(s, d))
+    path = _database(s, "interviews", "trace", "user_id INT, action TEXT, info TEXT, created_at TEXT", _interview_trace(s, d), "created_at")
     rows = readers.sqlite_rows(s, path, "trace", "rowid bigint, user_id bigint, info string, created_at string")
     return readers.last_positions(rows, "user_id", "created_at").select("user_id", "created_at")
 
@@ -250,21 +269,13 @@ def _streamed(s, frame: DataFrame, mode: str) -> DataFrame:
 
 
 def _log_folder(s, d) -> str:
-    """The platforms' logs as *.jsonl files, with control records at the end."""
+    """The platforms' logs as JSON lines, written by tasks, with control records and torn lines in a file of their own."""
     folder = local_path(work_folder(s, "logs"))
-    rows = model.actions(s, d).select("platform", F.to_json(F.struct(F.col("round").cast("int").alias("round"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "agent_id", "agent_name", "action_type")).alias("value"), "seq").orderBy("platform", "seq")
-    logs = {}
-    try:
-        for r in rows.toLocalIterator():
-            if r["platform"] not in logs:
-                os.makedirs(f"{folder}/{r['platform']}")
-                logs[r["platform"]] = open(f"{folder}/{r['platform']}/actions.jsonl", "w")
-            logs[r["platform"]].write(r["value"] + "\n")
-        if "twitter" in logs:
-            logs["twitter"].write('{"event_type": "simulation_end", "round": 5}\nnot json\n\n')
-    finally:
-        for log in logs.values():
-            log.close()
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp")
+    rows = model.actions(s, d).select("platform", F.col("round").cast("int").alias("round"), stamp, "agent_id", "agent_name", "action_type")
+    rows.write.partitionBy("platform").json(f"file://{folder}")
+    control = s.createDataFrame([('{"event_type": "simulation_end", "round": 5}',), ("not json",), ("",)], "value string")
+    control.coalesce(1).write.mode("append").text(f"file://{folder}/platform=twitter")
     return folder
 
 
@@ -280,6 +291,47 @@ def _stream_batches(s, d) -> DataFrame:
     return _streamed(s, streams.count_batches(told), "append").groupBy("platform").agg(F.count("*").alias("batches"), F.sum("n").alias("actions"), F.max("n").alias("largest"))
 
 
+def _simulated(s, d) -> DataFrame:
+    """A stream of the actions of twenty simulations, of which every second one ends, from files that tasks write."""
+    folder = work_folder(s, "simulations")
+    told = model.actions(s, d).select("platform", F.concat(F.lit("sim_"), F.col("agent_id") % 20).alias("simulation"), "seq", F.col("seq").cast("string").alias("text"), F.lit(None).cast("string").alias("event_type"), F.col("round").cast("int").alias("round"))
+    ends = told.where("substr(simulation, 5) % 2 = 0").groupBy("platform", "simulation").agg((F.max("seq") + 1).alias("seq"), F.lit(None).cast("string").alias("text"), F.lit("simulation_end").alias("event_type"), F.max("round").alias("round"))
+    told.unionByName(ends).write.json(folder)
+    return s.readStream.schema(told.schema).json(folder)
+
+
+def _stream_timed_batches(s, d) -> DataFrame:
+    """What a batching stream gives of all rows that are there; the rest of simulations that go on waits."""
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = s.conf.get(key)
+    s.conf.set(key, "false")  # no epochs for timers alone: the query ends
+    try:
+        out = _streamed(s, stateful.timed_batches(_simulated(s, d)), "append")
+    finally:
+        s.conf.set(key, before)
+    each = out.select("platform", "simulation", "batch", "n", F.explode(F.transform(F.split("text", "\n"), lambda x: x.cast("long"))).alias("seq"))
+    return each.groupBy("platform", "simulation").agg(F.countDistinct("batch").alias("batches"), F.count("*").alias("actions"), F.max("n").alias("largest"), F.sum("seq").alias("seqs"))
+
+
+def _stream_progress(s, d) -> DataFrame:
+    out = _streamed(s, stateful.progress(_simulated(s, d)), "update")
+    last = out.groupBy("platform", "simulation").agg(F.max_by(F.struct("actions", "current_round", "completed"), "_batch").alias("x"))
+    return last.select("platform", "simulation", "x.*")
+
+
+def _stream_memory(s, d) -> DataFrame:
+    """A trace database followed by row ids, a few thousand an epoch, and appended to a graph's memory."""
+    path = _trace_database(s, d)
+    folder = local_path(work_folder(s, "memory"))
+    most = max(1000, model.table(s, d, "events").count() // 8)
+    rows = readers.sqlite_changes(s, path, "trace", readers.TRACE_ROWS, most=most, progress=f"{folder}/progress")
+    acts = readers.as_actions(rows).select("rowid", "agent_id", "action_type", F.col("action_args")["content"].alias("content"))
+    query = episodes.append_episodes(acts, f"{folder}/episodes", f"file://{folder}/checkpoint")
+    query.processAllAvailable()
+    query.stop()
+    return episodes.episodes(s, f"file://{folder}/episodes", "rowid long, agent_id long, action_type string, content string")
+
+
 def _stream_dedupe(s, d) -> DataFrame:
     rows = streams.parsed(streams.log_stream(s, _log_folder(s, d))).where("event_type is null")
     return _streamed(s, streams.deduplicated(rows), "append").groupBy("platform").agg(F.count("*").alias("actions"))
@@ -362,6 +414,20 @@ QUERIES = {
         _stream_batches,
         f"{A}, n AS (SELECT platform, CASE WHEN platform = 'twitter' THEN count(*) ELSE count(*) // 5 * 5 END AS n FROM actions GROUP BY 1) SELECT platform, CAST(ceil(n / 5.0) AS BIGINT) AS batches, CAST(n AS BIGINT) AS actions, CAST(5 AS BIGINT) AS largest FROM n",
     ),
+    "stream_timed_batches": (
+        _stream_timed_batches,
+        f"""{A}, t AS (SELECT platform, 'sim_' || agent_id % 20 AS simulation, agent_id % 2 = 0 AS ended, seq FROM actions), p AS (SELECT *, row_number() OVER (PARTITION BY platform, simulation ORDER BY seq) AS place, count(*) OVER (PARTITION BY platform, simulation) AS n FROM t)
+        SELECT platform, simulation, CAST(ceil(count(*) / 5.0) AS BIGINT) AS batches, count(*) AS actions, least(count(*), 5) AS largest, CAST(sum(seq) AS BIGINT) AS seqs FROM p WHERE ended OR place <= n // 5 * 5 GROUP BY platform, simulation""",
+    ),
+    "stream_progress": (
+        _stream_progress,
+        f"""{A} SELECT platform, 'sim_' || agent_id % 20 AS simulation, count(*) AS actions, CAST(max(round) AS INTEGER) AS current_round, bool_or(agent_id % 2 = 0) AS completed FROM actions GROUP BY 1, 2""",
+    ),
+    "stream_memory": (
+        _stream_memory,
+        f"""WITH t AS (SELECT event_id AS rowid, user_id AS agent_id, {TRACE_SQL} AS action, event_id % 7 <> 0 AS good FROM events)
+        SELECT rowid, agent_id, upper(action) AS action_type, CASE WHEN good THEN 'text ' || agent_id END AS content FROM t WHERE action <> 'sign_up'""",
+    ),
     "stream_dedupe": (
         _stream_dedupe,
         f"""{A} SELECT platform, count(DISTINCT (date_trunc('second', "timestamp"), agent_id, action_type)) AS actions FROM actions GROUP BY platform""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import sqlite3
 import time
 from collections.abc import Iterator
@@ -9,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 ACTION_SCHEMA = "round INT, timestamp STRING, agent_id BIGINT, agent_name STRING, action_type STRING, action_args MAP<STRING, STRING>, result STRING, success BOOLEAN, platform STRING, event_type STRING, _bad STRING"
 TEXT_SUFFIXES = ("pdf", "md", "markdown", "txt")
@@ -165,48 +167,148 @@ def page_with_retry(fetch, tries: int = 3, delay: float = 2.0, sleep=time.sleep)
 
 
 class _Range(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+    """Rows of one file from rowid ``low`` to ``high``."""
 
+    def __init__(self, path: str, low: int, high: int):
+        self.path, self.low, self.high = path, low, high
 
-class _SqliteReader(DataSourceReader):
-    def __init__(self, options: dict, schema):
-        self.options, self.schema = options, schema
 
-    def _run(self, sql: str, args: tuple = ()):
-        import os
+class _Sqlite:
+    """A table that stands in one database file, or in every ``*.db`` of a folder."""
 
-        if not os.path.exists(self.options["path"]):
-            return []
-        con = sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
+    def __init__(self, options: dict, schema):
+        self.path, self.table, self.names = options["path"].removeprefix("file://"), options["table"], [f.name for f in schema]
+        self.kinds = [f.dataType.typeName() for f in schema]
+        self.rows = max(1, int(options.get("rows", 100_000)))
+        self.conditions: list[tuple[str, list]] = []
+
+    def files(self) -> list[str]:
+        if os.path.isdir(self.path):
+            return sorted(f"{self.path}/{name}" for name in os.listdir(self.path) if name.endswith(".db"))
+        return [self.path] if os.path.exists(self.path) else []
+
+    def _run(self, path: str, sql: str, args: list = ()) -> list:
+        con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
         try:
-            if con.execute("SELECT 1 FROM sqlite_master WHERE type IN ('table', 'view') AND name = ?", (self.options["table"],)).fetchone() is None:
+            if con.execute("SELECT 1 FROM sqlite_master WHERE type IN ('table', 'view') AND name = ?", (self.table,)).fetchone() is None:
                 return []
             return con.execute(sql, args).fetchall()
         finally:
             con.close()
 
-    def partitions(self):
-        after = int(self.options.get("after", -1))
-        found = self._run(f"SELECT min(rowid), max(rowid) FROM {self.options['table']} WHERE rowid > ?", (after,))
+    def last(self, path: str) -> int:
+        """The greatest rowid, or -1."""
+        found = self._run(path, f"SELECT max(rowid) FROM {self.table}")
+        return found[0][0] if found and found[0][0] is not None else -1
+
+    def ranges(self, path: str, after: int, upto: int | None = None) -> list[_Range]:
+        found = self._run(path, f"SELECT min(rowid), max(rowid) FROM {self.table} WHERE rowid > ? AND rowid <= ?", [after, upto if upto is not None else 2**63 - 1])
         if not found or found[0][0] is None:
-            return [_Range(0, -1)]
+            return []
         low, high = found[0]
-        step = max(1, int(self.options.get("rows", 100_000)))
-        return [_Range(k, min(high, k + step - 1)) for k in range(low, high + 1, step)]
+        return [_Range(path, k, min(high, k + self.rows - 1)) for k in range(low, high + 1, self.rows)]
+
+    def read(self, part: _Range):
+        where = "".join(f" AND {sql}" for sql, _ in self.conditions)
+        sql = f"SELECT {', '.join(self.names)} FROM {self.table} WHERE rowid BETWEEN ? AND ?{where} ORDER BY rowid"
+        for row in self._run(part.path, sql, [part.low, part.high, *(v for _, values in self.conditions for v in values)]):
+            yield tuple(None if v is None else str(v) if k == "string" else v for v, k in zip(row, self.kinds))
+
+
+class _SqliteReader(_Sqlite, DataSourceReader):
+    def __init__(self, options: dict, schema):
+        super().__init__(options, schema)
+        self.after = int(options.get("after", -1))
+
+    def pushFilters(self, filters):
+        """Comparisons with a value become conditions of the query inside the database.
+
+        Spark checks strings again, since a database may hold other kinds of values in such a column.
+        """
+        for f in filters:
+            pushed = _condition(f, dict(zip(self.names, self.kinds)))
+            if pushed is not None:
+                self.conditions.append(pushed)
+            if pushed is None or any(isinstance(v, str) for v in pushed[1]):
+                yield f
+
+    def partitions(self):
+        return [part for path in self.files() for part in self.ranges(path, self.after)] or [_Range("", 0, -1)]
 
     def read(self, partition):
-        names = [f.name for f in self.schema]
-        sql = f"SELECT {', '.join(names)} FROM {self.options['table']} WHERE rowid BETWEEN ? AND ? ORDER BY rowid"
-        kinds = [f.dataType.typeName() for f in self.schema]
-        for row in self._run(sql, (partition.low, partition.high)):
-            yield tuple(None if v is None else str(v) if k == "string" else v for v, k in zip(row, kinds))
+        return super().read(partition) if partition.path else iter(())
+
+
+def _condition(f, kinds: dict[str, str]) -> tuple[str, list] | None:
+    """A filter as SQL over one column and its values, which holds wherever the filter does."""
+    signs = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+    name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+    if name not in kinds:
+        return None
+    if isinstance(f, IsNotNull):
+        return f"{name} IS NOT NULL", []
+    values = list(f.value) if isinstance(f, In) else [f.value] if type(f) in signs else []
+    text = kinds[name] == "string"
+    if not values or not all(type(v) is (str if text else int) for v in values) or not (text or kinds[name] in ("long", "integer")):
+        return None
+    sql = f"{name} IN ({', '.join('?' * len(values))})" if isinstance(f, In) else f"{name} {signs[type(f)]} ?"
+    return (f"(typeof({name}) <> 'text' OR {sql})" if text else sql), values
+
+
+class _SqliteChanges(_Sqlite, DataSourceStreamReader):
+    """Offsets are the rowid that each file has been read up to.
+
+    With ``most`` an epoch has that many rowids of a file at most.  What has
+    been planned last is then noted in the folder ``progress`` before an epoch
+    is read; Spark plans an epoch that was not finished again before it asks
+    for more, so after a restart the note is where the checkpoint is.
+    """
+
+    def __init__(self, options: dict, schema):
+        super().__init__(options, schema)
+        self.most = int(options["most"]) if "most" in options else None
+        self.note = options["progress"].removeprefix("file://") + "/planned.json" if self.most else None
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        last = {path: end for path in self.files() if (end := self.last(path)) >= 0}
+        if not self.most:
+            return last
+        planned = self._planned()
+        return planned | {path: max(planned.get(path, -1), min(end, planned.get(path, self._first(path)) + self.most)) for path, end in last.items()}
+
+    def _first(self, path: str) -> int:
+        """The place before the first rowid."""
+        return self._run(path, f"SELECT min(rowid) FROM {self.table}")[0][0] - 1
+
+    def _planned(self) -> dict:
+        if not os.path.exists(self.note):
+            return {}
+        with open(self.note) as note:
+            return json.load(note)
+
+    def partitions(self, start: dict, end: dict) -> list:
+        if any(end.get(path, -1) < at for path, at in start.items() if path in end):
+            raise ValueError("the noted progress is behind the checkpoint")
+        if self.note:
+            os.makedirs(os.path.dirname(self.note), exist_ok=True)
+            with open(self.note + ".new", "w") as note:
+                json.dump(end, note)
+            os.replace(self.note + ".new", self.note)
+        return [part for path, upto in sorted(end.items()) for part in self.ranges(path, start.get(path, -1), upto)]
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class SqliteSource(DataSource):
-    """``spark.read.format("sqlite_rows")`` with options path, table, after (rowid) and a schema of the columns wanted.
+    """Format ``sqlite_rows`` with options path (a database or a folder of ``*.db``), table and a schema of the columns wanted.
 
     Tables are read in ranges of rowid; a missing file or table has no rows.
+    Batches take ``after`` (rowid); streams read what is appended, with
+    ``most`` rowids of a file an epoch and then a ``progress`` folder.
     """
 
     @classmethod
@@ -219,25 +321,42 @@ class SqliteSource(DataSource):
     def reader(self, schema):
         return _SqliteReader(dict(self.options), schema)
 
+    def streamReader(self, schema):
+        return _SqliteChanges(dict(self.options), schema)
+
 
 def sqlite_rows(spark: SparkSession, path: str, table: str, schema: str, after: int = -1) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteSource)
     return spark.read.format("sqlite_rows").schema(schema).option("path", path).option("table", table).option("after", after).load()
 
 
-def new_actions(spark: SparkSession, path: str, after: int = -1) -> DataFrame:
-    """Actions of the trace table past a rowid: ignored kinds left out, known arguments kept, kinds renamed."""
+def sqlite_changes(spark: SparkSession, path: str, table: str, schema: str, **options) -> DataFrame:
+    """A stream of the rows that are in the tables and are appended to them."""
+    spark.dataSource.register(SqliteSource)
+    return spark.readStream.format("sqlite_rows").schema(schema).option("path", path).option("table", table).options(**options).load()
+
+
+TRACE_ROWS = "rowid bigint, user_id bigint, action string, info string, created_at string"
+
+
+def as_actions(rows: DataFrame) -> DataFrame:
+    """Actions of rows of a trace: ignored kinds left out, known arguments kept, kinds renamed."""
     from swarmlens.functions import rules
 
-    rows = sqlite_rows(spark, path, "trace", "rowid bigint, user_id bigint, action string, info string, created_at string", after)
     args = F.coalesce(F.from_json("info", "map<string, string>"), F.create_map().cast("map<string, string>"))
     rows = rows.where(~F.col("action").isin(*rules.IGNORED_ACTIONS))
     return rows.select("rowid", F.col("user_id").alias("agent_id"), rules.standard_action("action").alias("action_type"), rules.kept_args(args).alias("action_args"), "created_at")
 
 
+def new_actions(spark: SparkSession, path: str, after: int = -1) -> DataFrame:
+    """Actions of the trace table past a rowid."""
+    return as_actions(sqlite_rows(spark, path, "trace", TRACE_ROWS, after))
+
+
 def interview_rows(spark: SparkSession, path: str, user_id: int | None = None, limit: int = 100) -> DataFrame:
     """Newest interviews of the trace table: prompt and response, or the whole info where there is none."""
-    rows = sqlite_rows(spark, path, "trace", "rowid bigint, user_id bigint, action string, info string, created_at string").where("action = 'interview'")
+    rows = sqlite_rows(spark, path, "trace", TRACE_ROWS).where("action = 'interview'")
     if user_id is not None:
         rows = rows.where(F.col("user_id") == user_id)
     response = F.coalesce(F.get_json_object("info", "$.response"), F.col("info"))

@@ -40,7 +40,7 @@ class _TailReader(DataSourceStreamReader):
         return {}
 
     def _files(self) -> list[str]:
-        return sorted(os.path.join(d, n) for d, _, names in os.walk(self.folder) for n in names if n.endswith(".jsonl"))
+        return sorted(os.path.join(d, n) for d, _, names in os.walk(self.folder) for n in names if n.endswith((".jsonl", ".json", ".txt")) and n[0] not in "._")
 
     def latestOffset(self) -> dict:
         return {path: end for path in self._files() if (end := self._whole(path))}
@@ -83,7 +83,7 @@ class _TailReader(DataSourceStreamReader):
 
 
 class TailSource(DataSource):
-    """``spark.readStream.format("jsonl_tail").option("path", folder)``: new lines of every *.jsonl below a folder."""
+    """``spark.readStream.format("jsonl_tail").option("path", folder)``: new lines of every *.jsonl, *.json and *.txt below a folder."""
 
     @classmethod
     def name(cls) -> str:
