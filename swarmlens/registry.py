@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("actions", "graph", "retrieval", "ranked", "texts", "simulation", "reports", "files", "forms", "driver")
+MODULES = ("actions", "graph", "retrieval", "ranked", "texts", "simulation", "reports", "files", "forms", "stored", "driver")
 
 
 def _all() -> dict:
