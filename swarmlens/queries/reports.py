@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from swarmlens.functions import render
+from swarmlens import sinks
+from swarmlens.functions import render, rules
 from swarmlens.operators import actions, graph, reports
 from swarmlens.plans import tools
-from swarmlens.sources import model
+from swarmlens.sources import model, readers
+from swarmlens.sources.folders import work_folder
 
 NAMES = {"click": "tool_call", "view": "section_complete", "purchase": "llm_response", "signup": "planning_complete", "error": "report_complete"}
 LOG_SQL = "log AS (SELECT user_id AS report_id, event_id AS line, CASE event_type WHEN 'click' THEN 'tool_call' WHEN 'view' THEN 'section_complete' WHEN 'purchase' THEN 'llm_response' WHEN 'signup' THEN 'planning_complete' ELSE 'report_complete' END AS action, CAST(json_extract_string(props, '$.k') AS INTEGER) % 9 AS section_index, value AS elapsed FROM events)"
 
+PROGRESS_SQL = f"""WITH {LOG_SQL}, p AS (SELECT report_id, line, CASE action WHEN 'report_complete' THEN 'completed' WHEN 'planning_complete' THEN 'planning' ELSE 'generating' END AS status, section_index FROM log),
+  l AS (SELECT report_id, arg_max(status, line) AS status, arg_max(section_index, line) AS current_section FROM p GROUP BY report_id)
+SELECT report_id, status, CAST(20 + floor(70 * current_section / 9.0) AS INTEGER) AS progress, 'section ' || current_section AS message, current_section FROM l"""
+
 
 def _log(s, d):
     named = F.try_element_at(F.create_map(*(F.lit(x) for p in NAMES.items() for x in p)), F.col("event_type"))
@@ -21,7 +27,33 @@ def _log(s, d):
     )
 
 
+def _written_log(s, d):
+    """The log through its files, with torn lines among them."""
+    folder = work_folder(s, "report-log")
+    sinks.append_report_log(_log(s, d), folder)
+    s.createDataFrame([('{"report_id": 1, "action": "tool_c',), ("",)], "value string").coalesce(1).write.mode("append").text(folder)
+    return readers.report_log(s, folder)
+
+
+def _written_progress(s, d):
+    folder = work_folder(s, "progress")
+    status = F.when(F.col("action") == "report_complete", "completed").when(F.col("action") == "planning_complete", "planning").otherwise("generating")
+    rows = _log(s, d).select("report_id", "line", status.alias("status"), rules.report_progress(F.col("section_index"), F.lit(9)).cast("int").alias("progress"), F.concat(F.lit("section "), "section_index").alias("message"), F.col("section_index").alias("current_section"))
+    for part in (0, 1):  # two runs append to one folder
+        sinks.append_progress(rows.where(F.col("line") % 2 == part), folder)
+    return readers.latest_progress(s, folder)
+
+
 QUERIES = {
+    "report_log_files": (
+        lambda s, d: _written_log(s, d).select("report_id", "line", "action", "section_index", "elapsed", F.get_json_object("details", "$.content").alias("content")),
+        f"WITH {LOG_SQL} SELECT report_id, line, action, section_index, elapsed, 'c' || line AS content FROM log",
+    ),
+    "report_log_read_back": (
+        lambda s, d: reports.last_sections(_written_log(s, d)),
+        f"WITH {LOG_SQL} SELECT report_id, section_index, 'c' || max(line) AS content FROM log WHERE action = 'section_complete' GROUP BY ALL",
+    ),
+    "progress_files": (_written_progress, PROGRESS_SQL),
     "report_log_summary": (
         lambda s, d: reports.log_summary(_log(s, d)),
         f"""WITH {LOG_SQL} SELECT report_id, count(*) FILTER (WHERE action = 'tool_call') AS tool_calls, count(DISTINCT section_index) FILTER (WHERE action = 'section_complete') AS sections_done,

@@ -56,6 +56,17 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def append_report_log(log: DataFrame, path: str) -> None:
+    """Records of a report's making (report_id, line, action, section_index, elapsed, details as JSON text), a JSON object a line."""
+    details = F.from_json("details", "map<string, string>").alias("details")
+    log.select("report_id", "line", "action", "section_index", F.col("elapsed").alias("elapsed_seconds"), details).write.mode("append").json(path)
+
+
+def append_progress(progress: DataFrame, path: str) -> None:
+    """Progress records (report_id, line, status, progress, message, current_section); the last of a report is its state."""
+    progress.select("report_id", "line", "status", "progress", "message", "current_section").write.mode("append").json(path)
+
+
 def write_sections(sections: DataFrame, path: str) -> None:
     """(section_index, title, body) as one text file each, named by index."""
     lines = sections.select(F.format_string("section_%02d", "section_index").alias("section"), F.concat(F.lit("## "), "title", F.lit("\n\n"), "body").alias("value"))

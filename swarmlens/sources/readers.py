@@ -112,6 +112,20 @@ def agent_log(spark: SparkSession, path: str, from_line: int = 0) -> DataFrame:
     return log_lines(spark, path, from_line).where(F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull())
 
 
+def report_log(spark: SparkSession, folder: str) -> DataFrame:
+    """(report_id, line, action, section_index, elapsed, details as JSON text) of the records of reports; torn lines are left out."""
+    schema = "report_id BIGINT, line BIGINT, action STRING, section_index INT, elapsed_seconds DOUBLE, details MAP<STRING, STRING>, _bad STRING"
+    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(folder).where("_bad is null and action is not null")
+    return rows.select("report_id", "line", "action", "section_index", F.col("elapsed_seconds").alias("elapsed"), F.to_json("details").alias("details"))
+
+
+def latest_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """(report_id, status, progress, message, current_section): the last progress record of each report."""
+    rows = spark.read.schema("report_id BIGINT, line BIGINT, status STRING, progress INT, message STRING, current_section INT").json(folder).where("report_id is not null")
+    last = rows.groupBy("report_id").agg(F.max_by(F.struct("status", "progress", "message", "current_section"), "line").alias("p"))
+    return last.select("report_id", "p.*")
+
+
 def sections(spark: SparkSession, folder: str) -> DataFrame:
     """(section_index, content) of section_NN files, or folders as the sink writes them, in order."""
     rows = spark.read.text(f"{folder}/section[_=]*", wholetext=True).withColumn("path", F.col("_metadata.file_path"))
