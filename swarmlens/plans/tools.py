@@ -13,9 +13,7 @@ from swarmlens.functions import render, rules, text
 from swarmlens.operators import graph, simulation
 from swarmlens.plans import retrieval
 
-TYPE_LIMIT, FACT_LIMIT = 30, 100  #: entities and facts that a tool lists where its parameter ``limit`` says nothing else
-
-Tool = Callable[[DataFrame, DataFrame, dict], str]
+Tool = Callable[[DataFrame, DataFrame, dict], str | DataFrame]
 
 
 def _quick(nodes: DataFrame, edges: DataFrame, p: dict) -> str:
@@ -41,28 +39,40 @@ def _statistics(nodes: DataFrame, edges: DataFrame, p: dict) -> str:
     return f"nodes: {row['n_nodes']}, edges: {row['n_edges']}, labels: {row['n_labels']}"
 
 
-def _by_type(nodes: DataFrame, edges: DataFrame, p: dict) -> str:
-    return "\n".join(r["name"] for r in graph.labelled(nodes, p["entity_type"]).orderBy("id").limit(int(p.get("limit", TYPE_LIMIT))).collect())
+def _lines(rows: DataFrame, order: str, line: str, p: dict) -> DataFrame:
+    """One row: the lines in order; all of them where the parameter ``limit`` is not given."""
+    if "limit" in p:
+        rows = rows.orderBy(order).limit(int(p["limit"]))
+    told = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("line"))))
+    return rows.agg(F.array_join(F.transform(told, lambda x: x["line"]), "\n").alias("text"))
+
 
+def _by_type(nodes: DataFrame, edges: DataFrame, p: dict) -> DataFrame:
+    return _lines(graph.labelled(nodes, p["entity_type"]), "id", "name", p)
 
-def _entity(nodes: DataFrame, edges: DataFrame, p: dict) -> str:
-    return "\n".join(r["fact"] for r in retrieval.entity_view(nodes, edges, p["entity_name"]).orderBy("edge").limit(int(p.get("limit", FACT_LIMIT))).collect())
 
+def _entity(nodes: DataFrame, edges: DataFrame, p: dict) -> DataFrame:
+    return _lines(retrieval.entity_view(nodes, edges, p["entity_name"]), "edge", "fact", p)
 
-#: Tools and older names for them; results are cut to what a reader takes, so they are small.
+
+#: Tools and older names for them; searches are cut to what a reader takes, lists are a frame of one row.
 TOOLS: dict[str, Tool] = {"quick_search": _quick, "panorama_search": _panorama, "insight_forge": _insight, "get_graph_statistics": _statistics, "get_entities_by_type": _by_type, "get_entity_summary": _entity}
 ALIASES = {"search_graph": "quick_search", "get_simulation_context": "insight_forge"}
 
 
-def run_tool(name: str, parameters: dict, nodes: DataFrame, edges: DataFrame) -> str:
-    """A tool's text; an unknown tool or a missing parameter becomes a message."""
+def tool_row(name: str, parameters: dict, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (text) of a tool; an unknown tool or a missing parameter becomes a message."""
     tool = TOOLS.get(ALIASES.get(name, name))
-    if tool is None:
-        return f"unknown tool: {name}; there are {', '.join(TOOLS)}"
     try:
-        return tool(nodes, edges, parameters)
+        text = tool(nodes, edges, parameters) if tool else f"unknown tool: {name}; there are {', '.join(TOOLS)}"
     except KeyError as e:
-        return f"{name} needs the parameter {e}"
+        text = f"{name} needs the parameter {e}"
+    return text if isinstance(text, DataFrame) else nodes.sparkSession.createDataFrame([(text,)], "text string")
+
+
+def run_tool(name: str, parameters: dict, nodes: DataFrame, edges: DataFrame) -> str:
+    """The text of ``tool_row``, for a caller that reads it."""
+    return tool_row(name, parameters, nodes, edges).first()["text"]
 
 
 def with_model(rows: DataFrame, prompt: str, model: Callable[[str], str], output: str = "answer") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -194,7 +195,8 @@ def _tool_texts(s, d) -> DataFrame:
         ("get_graph_statistics", {}), ("get_entities_by_type", {"entity_type": "Nation"}), ("get_entities_by_type", {}), ("no_such_tool", {}),
         ("search_graph", {"query": "part of region", "limit": 5}), ("get_entity_summary", {"entity_name": "nation_3"}), ("panorama_search", {"query": "region", "limit": 3, "include_expired": False}),
     ]
-    return s.createDataFrame([(k, name, tools.run_tool(name, p, nodes, edges)) for k, (name, p) in enumerate(asked)], "k int, tool string, text string")
+    rows = [tools.tool_row(name, p, nodes, edges).select(F.lit(k).alias("k"), F.lit(name).alias("tool"), "text") for k, (name, p) in enumerate(asked)]
+    return reduce(DataFrame.unionByName, rows)
 
 
 TOOLS_SQL = f"""{NE}, scored AS (SELECT id, fact, CASE WHEN contains(lower(fact), 'part of region') THEN 100 ELSE CASE WHEN contains(lower(fact), 'part') THEN 10 ELSE 0 END + CASE WHEN contains(lower(fact), 'of') THEN 10 ELSE 0 END + CASE WHEN contains(lower(fact), 'region') THEN 10 ELSE 0 END END
