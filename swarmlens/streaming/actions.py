@@ -143,19 +143,24 @@ def count_batches(rows: DataFrame, size: int = 5) -> DataFrame:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, held = state.get if state.exists else (0, "[]")
         waiting = json.loads(held)
-        out, ended = [], False
+        ended = False
+
+        def batches(last: bool) -> pd.DataFrame:
+            """What is whole of what waits, in one pass; with ``last`` the rest too."""
+            nonlocal number, waiting
+            stop = len(waiting) if last else len(waiting) // size * size
+            parts = [waiting[k : min(k + size, stop)] for k in range(0, stop, size)]
+            waiting, first, number = waiting[stop:], number, number + len(parts)
+            return pd.DataFrame([(key[0], first + k, len(p), "\n".join(p)) for k, p in enumerate(parts)], columns=["platform", "batch", "n", "text"])
+
         for frame in frames:
-            for text in frame["text"]:
-                if text is None or pd.isna(text):
-                    ended = True
-                else:
-                    waiting.append(text)
-        while len(waiting) >= size or (ended and waiting):
-            part, waiting = waiting[:size], waiting[size:]
-            out.append((key[0], number, len(part), "\n".join(part)))
-            number += 1
+            told = frame["text"].notna()
+            ended |= bool((~told).any())
+            waiting += frame["text"][told].tolist()
+            yield batches(False)
+        if ended and waiting:
+            yield batches(True)
         state.update((number, json.dumps(waiting)))
-        yield pd.DataFrame(out, columns=["platform", "batch", "n", "text"])
 
     return rows.groupBy("platform").applyInPandasWithState(run, "platform string, batch long, n long, text string", "batch long, held string", "append", GroupStateTimeout.NoTimeout)
 
