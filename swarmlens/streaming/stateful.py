@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 KEYS = ("platform", "simulation")
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FRAME = 4096  #: batches that a task gives out at once
 BATCH, RECENT = 5, 50  #: fixed values: actions of a batch, and newest actions shown
 
 BATCHES = "platform string, simulation string, batch long, n long, reason string, text string"
@@ -42,16 +43,20 @@ class _Batcher(StatefulProcessor):
         number, due = (self.progress.get() if self.progress.exists() else None) or (0, -1)
         held = [(int(s), t) for s, t in self.waiting.get()] if self.waiting.exists() else []
         ended = False
+        frames = [pd.DataFrame(held, columns=["seq", "text"]).astype({"seq": "int64", "text": "object"})]
         for frame in rows:
             told = frame["text"].notna()
             ended |= bool((~told).any())
-            held += [(int(s), t) for s, t in zip(frame["seq"][told], frame["text"][told])]
-        held.sort()
-        out = []
-        while len(held) >= self.size or (ended and held):
-            part, held = held[: self.size], held[self.size :]
-            out.append(self._batch(key, number, part, "full" if len(part) == self.size else "end"))
-            number += 1
+            frames.append(frame.loc[told, ["seq", "text"]])
+        came = pd.concat(frames, ignore_index=True).sort_values(["seq", "text"])
+        del frames
+        stop = len(came) if ended else len(came) // self.size * self.size
+        held = [(int(s), t) for s, t in zip(came["seq"].iloc[stop:], came["text"].iloc[stop:])]
+        text = came["text"].to_numpy()[:stop]
+        for low in range(0, stop, self.size * FRAME):
+            parts = [text[k : k + self.size] for k in range(low, min(stop, low + self.size * FRAME), self.size)]
+            yield self._frame([(*key, number + k, len(p), "full" if len(p) == self.size else "end", "\n".join(p)) for k, p in enumerate(parts)])
+            number += len(parts)
         if due >= 0:
             self.handle.deleteTimer(due)
             due = -1
@@ -62,7 +67,6 @@ class _Batcher(StatefulProcessor):
         else:
             self.waiting.clear()
         self.progress.update((number, due))
-        yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         number, due = (self.progress.get() if self.progress.exists() else None) or (0, -1)
