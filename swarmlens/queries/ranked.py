@@ -28,8 +28,10 @@ def edge_index(spark: SparkSession, sf_dir: str) -> ranked.Index:
 
 
 def node_index(spark: SparkSession, sf_dir: str) -> ranked.Index:
-    text = F.concat_ws(" ", "name", "summary")
-    return _once(spark, sf_dir, "nodes", lambda folder: ranked.build(model.nodes(spark, sf_dir).select(F.col("id").alias("doc"), text.alias("text")), folder))
+    docs = model.nodes(spark, sf_dir).select(F.col("id").alias("doc"), F.concat_ws(" ", "name", "summary").alias("text"))
+    # nodes are short and may stand in a file or two, which few tasks would cut into words
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _once(spark, sf_dir, "nodes", lambda folder: ranked.build(docs.repartition(tasks, "doc"), folder))
 
 
 def _document_index(spark: SparkSession, sf_dir: str) -> ranked.Index:
