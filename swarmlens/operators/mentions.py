@@ -8,7 +8,8 @@ length, which are the names themselves.
 
 Texts have very many pieces, and nearly all are in no name.  A filter of a
 fixed size, which every task gets, has the hashes of the names' pieces; pieces
-that it doesn't know are dropped where they are cut.  It errs to the safe side
+that it doesn't know are dropped where they are cut, and in the same way texts
+that no name's rarest piece is in, before texts are shuffled.  It errs to the safe side
 only: what passes by chance meets nothing.  Both sides are shuffled by piece,
 so neither has to fit anywhere, and a piece of very many texts is used only by
 names that have no rarer one.
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,12 @@ def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64((1 << BITS) - 1)).astype(np.int64), (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _known(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes have both their bits set."""
+    first, second = _places(h)
+    return (bits[first >> 3] >> (first & 7).astype(np.uint8)) & (bits[second >> 3] >> (second & 7).astype(np.uint8)) & 1 == 1
+
+
 def _hashes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every piece of ``width`` characters of the texts, which overlap."""
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -82,9 +90,8 @@ def _cut(rows: DataFrame, widths: Callable[[str], int] | list[int], known: np.nd
                 for width, places in groups.items():
                     row, h = _hashes([texts[k] for k in places], width)
                     if bits is not None:
-                        first, second = _places(h)
-                        keep = (bits[first >> 3] >> (first & 7).astype(np.uint8)) & (bits[second >> 3] >> (second & 7).astype(np.uint8)) & 1
-                        row, h = row[keep == 1], h[keep == 1]
+                        keep = _known(bits, h)
+                        row, h = row[keep], h[keep]
                     if not len(h):
                         continue
                     order = np.lexsort((h, row))
@@ -120,6 +127,17 @@ def _filter(pieces: DataFrame) -> np.ndarray:
     return bits.reshape(-1)
 
 
+def _with_candidates(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The ``rows`` (key, ..) whose key one of ``candidates`` may have, so that no other text is shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast(_filter(candidates.select(F.col("key.a").alias("piece"))))
+
+    @F.pandas_udf("boolean")
+    def known(a: pd.Series) -> pd.Series:
+        return pd.Series(_known(shared.value, a.to_numpy().view(np.uint64)))
+
+    return rows.where(known("key.a"))
+
+
 def _met(names: DataFrame, texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(low, key, copies) of every name in every different text; names by low, and the texts' ids by key."""
     spark = names.sparkSession
@@ -146,7 +164,8 @@ def _met(names: DataFrame, texts: DataFrame, width: int) -> tuple[DataFrame, Dat
     # a piece that no text has is the rarest: such a name is nowhere
     rarest = options.join(often, "piece", "left").groupBy("low").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "piece")).alias("best"))
     lookup = rarest.where("best.often > 0").select("low", F.col("best.piece").alias("piece"))
-    candidates = pieces.join(lookup, "piece").select("low", "key").distinct()
+    candidates = kept(pieces.join(lookup, "piece").select("low", "key").distinct(), "candidates")
+    rows = _with_candidates(rows, candidates)
     bodies = rows.groupBy("key").agg(F.first("text_low").alias("text_low"), F.count("*").alias("copies"))  # texts repeat; each is searched once
     met = candidates.join(bodies, "key").where(F.contains("text_low", "low"))
     return met.select("low", "key", "copies"), wanted, rows.select("key", "text_id")
