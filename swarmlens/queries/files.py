@@ -81,8 +81,8 @@ UNION ALL SELECT 'legacy_end', NULL, strftime(last, '%Y-%m-%dT%H:%M:%S'), NULL,
 # Platform databases
 
 
-def _database(s, label: str, table: str, columns: str, rows: DataFrame, by: str) -> str:
-    """A folder of databases with ``rows`` as one table; every task writes one, of a range of ``by``."""
+def _database(s, label: str, table: str, columns: str, rows: DataFrame, by: str, index: str | None = None) -> str:
+    """A folder of databases with ``rows`` as one table; every task writes one, of a range of ``by``, with an index on the column ``index``."""
     folder = local_path(work_folder(s, label))
     os.makedirs(folder)
     row = ", ".join("?" * len(rows.columns))
@@ -96,6 +96,8 @@ def _database(s, label: str, table: str, columns: str, rows: DataFrame, by: str)
         for batch in batches:
             con.executemany(f"INSERT INTO {table} VALUES ({row})", zip(*(c.to_pylist() for c in batch.columns)))
             n += batch.num_rows
+        if index:
+            con.execute(f"CREATE INDEX by_{index} ON {table} ({index})")
         con.commit()
         con.close()
         os.replace(draft, path)

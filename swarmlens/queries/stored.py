@@ -42,13 +42,13 @@ def _renamed(df: DataFrame) -> DataFrame:
 
 def _paged_nodes(s, d) -> DataFrame:
     rows = model.nodes(s, d).select("id", "name", "summary")
-    path = _database(s, "nodes", "node", "uuid TEXT, name TEXT, summary TEXT", rows, "id")
+    path = _database(s, "nodes", "node", "uuid TEXT, name TEXT, summary TEXT", rows, "id", "uuid")
     return paged.paged_rows(s, path, "node", "uuid", "uuid string, name string, summary string", rows=700)
 
 
 def _paged_edges(s, d) -> DataFrame:
     rows = model.edges(s, d).select("source", "id", "name", "fact")
-    path = _database(s, "edges", "edge", "source TEXT, uuid TEXT, name TEXT, fact TEXT", rows, "id")
+    path = _database(s, "edges", "edge", "source TEXT, uuid TEXT, name TEXT, fact TEXT", rows, "id", "source")
     # by a key that many edges share
     return paged.paged_rows(s, path, "edge", "source", "uuid string, source string, fact string", page=37, rows=5000)
 

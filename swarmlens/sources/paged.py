@@ -4,6 +4,8 @@ The table is planned as ranges of its key, which are paged side by side.  In a
 range a page is asked for after the last row of the page before; the cursor is
 the key and the row's own number, so that rows of one key are never lost
 between two pages.  A page with fewer rows than asked for is the last.
+The table should have an index on its key, as what is paged by a key has;
+without one every page is a scan of the file.
 """
 
 from __future__ import annotations
@@ -39,28 +41,42 @@ class _PagedReader(_Sqlite, DataSourceReader):
             return [_Keys(path, None, None) for path in self.files()[:1]] or [_Keys("", None, None)]
         parts = []
         for path in self.files():
-            found = self._run(path, f"SELECT count(*) FROM {self.table}")
-            edges = [self._run(path, f"SELECT {self.key} FROM {self.table} ORDER BY {self.key} LIMIT 1 OFFSET ?", [k])[0][0] for k in range(self.keys, found[0][0] if found else 0, self.keys)]
-            edges = [None, *dict.fromkeys(e for e in edges if e is not None), None]
+            edges = [None, *self._edges(path), None]
             parts += [_Keys(path, low, high) for low, high in zip(edges[:-1], edges[1:])]
         return parts or [_Keys("", None, None)]
 
+    def _edges(self, path: str) -> Iterator:
+        """Keys that begin a range; each is looked for from the one before, so that the index is passed once."""
+        found = self._run(path, f"SELECT {self.key} FROM {self.table} ORDER BY {self.key} LIMIT 1 OFFSET ?", [self.keys])
+        if found and found[0][0] is None:  # the first range has all null keys
+            found = self._run(path, f"SELECT min({self.key}) FROM {self.table}")
+        while found and found[0][0] is not None:
+            edge = found[0][0]
+            yield edge
+            found = self._run(path, f"SELECT {self.key} FROM {self.table} WHERE {self.key} >= ? ORDER BY {self.key} LIMIT 1 OFFSET ?", [edge, self.keys])
+            if found and found[0][0] == edge:  # more rows of one key than a range has
+                found = self._run(path, f"SELECT min({self.key}) FROM {self.table} WHERE {self.key} > ?", [edge])
+
     def fetch(self, part: _Keys, cursor: tuple | None) -> list[tuple]:
-        """Up to a page of rows after ``cursor``: the columns wanted, then the cursor of each.  Null keys come first."""
-        where, args = ["1"], []
-        if part.low is not None:
-            where, args = [f"{self.key} >= ?"], [part.low]
+        """Up to a page of rows after ``cursor``: the columns wanted, then the cursor of each.  Null keys come first.
+
+        First what is left of the cursor's own key, then greater keys: each enters the index where the page begins.
+        """
+        after, row = cursor or (None, None)
+        same, equal = f"{self.key} IS NULL" if after is None else f"{self.key} = ?", [] if after is None else [after]
+        if row is not None:
+            same, equal = f"{same} AND rowid > ?", [*equal, row]
+        more, args = f"{self.key} IS NOT NULL" if after is None else f"{self.key} > ?", [] if after is None else [after]
+        if row is None and part.low is not None:
+            same, equal, more, args = "0", [], f"{self.key} >= ?", [part.low]
         if part.high is not None:
-            where.append(f"({self.key} < ?" + (f" OR {self.key} IS NULL)" if part.low is None else ")"))
-            args.append(part.high)
-        if cursor is not None:
-            key, row = cursor
-            where.append(f"(({self.key} IS NULL AND rowid > ?) OR {self.key} IS NOT NULL)" if key is None else f"({self.key}, rowid) > (?, ?)")
-            args += [row] if key is None else [key, row]
-        sql = f"SELECT {', '.join(self.names)}, {self.key}, rowid FROM {self.table} WHERE {' AND '.join(where)} ORDER BY {self.key}, rowid LIMIT ?"
+            more, args = f"{more} AND {self.key} < ?", [*args, part.high]
+        columns, place = f"SELECT {', '.join(self.names)}, {self.key}, rowid FROM {self.table}", len(self.names) + 1
+        sql = f"SELECT * FROM ({columns} WHERE {same} ORDER BY rowid LIMIT ?) UNION ALL SELECT * FROM ({columns} WHERE {more} ORDER BY {self.key}, rowid LIMIT ?) ORDER BY {place}, {place + 1} LIMIT ?"
+        args = [*equal, self.page, *args, self.page, self.page]
         for k in range(TRIES):
             try:
-                return self._run(part.path, sql, [*args, self.page])
+                return self._run(part.path, sql, args)
             except sqlite3.OperationalError:  # busy or out of reach
                 if k == TRIES - 1:
                     raise
