@@ -262,17 +262,22 @@ class Pairs:
         which[order] = np.cumsum(fresh) - 1
         return found[fresh], which
 
+    @cached_property
+    def numbers(self) -> tuple[np.ndarray, np.ndarray | None]:
+        """(a number of each pair, ascending; the pairs in that order, None if it is theirs): once for all blocks that ask."""
+        if len(self.types.keys) < 1 << 24:
+            return _composite(self.type, self.before), None
+        own = mix(self.type.astype(U64) + mix(self.before))
+        order = np.argsort(own)
+        return own[order], order
+
     def places(self, types: np.ndarray, of: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, seen) among the pairs of other ones: ``types`` are places among the types, -1 if unseen, ``of`` which of them each has."""
         rank = types[of]
-        if len(self.types.keys) >= 1 << 24:
-            own, other = (mix(r.astype(U64) + mix(b)) for r, b in ((self.type, self.before), (rank, before)))
-            order = np.argsort(own)
-            at = np.minimum(np.searchsorted(own[order], other), len(own) - 1)
-            return order[at], (own[order][at] == other) & (rank >= 0)
-        own, other = _composite(self.type, self.before), _composite(np.maximum(rank, 0), before)
+        own, order = self.numbers
+        other = _composite(np.maximum(rank, 0), before) if order is None else mix(rank.astype(U64) + mix(before))
         at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-        return at, (own[at] == other) & (rank >= 0)
+        return at if order is None else order[at], (own[at] == other) & (rank >= 0)
 
     @classmethod
     def of(cls, row) -> Pairs:
