@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from swarmlens.llm.components import connected, least_reached
 from swarmlens.llm.overlaps import common_counts
-from swarmlens.llm.rows import without
+from swarmlens.llm.rows import parted, without
 from swarmlens.llm.scratch import Scratch
 from swarmlens.llm.sketch import among, counted_bits, hashed, marked_bits
 from swarmlens.llm.wordhash import blocks, shingles, words
@@ -225,7 +225,7 @@ class _Space:
             (100 * F.col("i").cast("long") >= 80 * (F.col("na") + F.col("nb") - F.col("i")).cast("long")).alias("link"),
         )
         result = scratch.keep(result, "distances")
-        scratch.drop(sets)
+        scratch.drop(sets, *([pairs] if screen else []))
         return result
 
     @staticmethod
@@ -301,14 +301,19 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, block: int = 64, pivots: in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common = _common_shingles(docs, sketch_bits)
     rows = scratch.keep(_points(docs, common), "points")
-    first = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "n")).alias("first")).select("sid", "first.doc_id")
-    points = rows.join(first, [rows.sid == first.sid, rows.doc_id.eqNullSafe(first.doc_id)], "left_semi").dropDuplicates(["sid"])
-    points = scratch.keep(points.select("sid", "doc_id", "n", "pivots", "classes"), "distinct-points")
     ids = scratch.keep(rows.select("doc_id", "n", "sid"), "ids")
-    scratch.drop(rows)
+    # most sets are those of one document, whose rows need no shuffle
+    first = ids.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("rows"))
+    first = scratch.keep(first.where("rows > 1").select("sid", "first.doc_id"), "first")
+    some, single = parted(rows.where("sid is not null"), F.col("sid"), first.select("sid"))
+    points = some.join(first, [some.sid == first.sid, some.doc_id.eqNullSafe(first.doc_id)], "left_semi").dropDuplicates(["sid"])
+    points = points.unionByName(some.join(first.select("sid"), "sid", "left_anti").select(*some.columns))
+    points = points if single is None else points.unionByName(single)
+    points = scratch.keep(points.select("sid", "doc_id", "n", "pivots", "classes"), "distinct-points")
+    scratch.drop(rows, first)
     space = _Space(docs, points, scratch)
 
-    members = scratch.keep(_regions(points, scratch), "members")
+    members = _regions(points, scratch)
     met = [_inner_pairs(members.where(F.col("size") <= block))]
     links = []
     large = members.where(F.col("size") > block)
@@ -347,7 +352,8 @@ def _regions(points: DataFrame, scratch: Scratch) -> DataFrame:
     Regions of the same points are one.
     """
     entries = points.select(F.explode("pivots").alias("region"), "sid")
-    shared = entries.groupBy("region").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a < b").select("region")
+    # a point has each of its pivots once
+    shared = entries.groupBy("region").agg(F.count("*").alias("points")).where("points > 1").select("region")
     shared = scratch.keep(shared, "regions")
     wanted = marked_bits(shared)
 
@@ -370,7 +376,9 @@ def _regions(points: DataFrame, scratch: Scratch) -> DataFrame:
     mark = F.struct(F.count("*"), F.min("sid"), F.max("sid"), F.bit_xor(F.xxhash64("sid")), F.bit_xor(F.xxhash64("sid", F.lit(1))))
     size = entries.groupBy("region").agg(F.count("*").alias("size"), F.xxhash64(mark).alias("same"), F.max(F.col("i") <= F.col("n") - F.ceil(8 * F.col("n") / 9)).alias("short"))
     members = entries.join(size.where("short"), "region").groupBy("same", "sid").agg(F.min("i").alias("i"), F.first("n").alias("n"), F.first("size").alias("size"))
-    return members.select(F.col("same").alias("region"), "sid", "n", "i", "size", F.lit(None).cast("long").alias("pivot"))
+    members = scratch.keep(members.select(F.col("same").alias("region"), "sid", "n", "i", "size", F.lit(None).cast("long").alias("pivot")), "members")
+    scratch.drop(entries, shared)
+    return members
 
 
 def _rows_of(table: DataFrame, ids: DataFrame, schema: str, scratch: Scratch) -> DataFrame:
@@ -436,8 +444,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id stay or go together; a null doc_id stays.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    classes = scratch.keep(jaccard_classes(docs, scratch), "classes")
-    return without(docs, classes.where("component_id < doc_id").select("doc_id"))
+    kept = without(docs, jaccard_classes(docs, scratch).where("component_id < doc_id").select("doc_id"))
+    scratch.leave()
+    return kept
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

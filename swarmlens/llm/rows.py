@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from swarmlens.llm.scratch import Scratch
+from swarmlens.llm.sketch import among, marked_bits
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -11,8 +17,29 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names), dict(zip(docs.columns, names))
 
 
+def parted(rows: DataFrame, value: Column, values: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` whose ``value`` may be in the one column of ``values``, a kept table, and those whose value is not.
+
+    A bit array of bounded size tells them apart, so that a join shuffles the
+    first only; where ``values`` are too many for it, all rows may be there.
+    """
+    marked = marked_bits(values.select(F.xxhash64(values.columns[0]).alias("h")))
+    if marked is None:
+        return rows, None
+
+    @F.pandas_udf("boolean")
+    def may(h: pd.Series) -> pd.Series:
+        return pd.Series(among(marked, h.to_numpy(np.int64).view(np.uint64)))
+
+    held = may(F.xxhash64(value))
+    return rows.where(held), rows.where(~held)
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` less the rows whose doc_id is in the one column of ``ids``; a null is like any value."""
     rows, place = numbered(docs)
-    gone = ids.toDF("gone").distinct()
-    return rows.join(gone, rows[place["doc_id"]].cast("long").eqNullSafe(gone["gone"]), "left_anti").toDF(*docs.columns)
+    own = rows[place["doc_id"]].cast("long")
+    gone = Scratch(docs.sparkSession, "without").keep(ids.toDF("gone").select(F.col("gone").cast("long")).distinct(), "gone")
+    some, others = parted(rows, own, gone)
+    left = some.join(gone, own.eqNullSafe(gone["gone"]), "left_anti")
+    return (left if others is None else left.unionByName(others)).toDF(*docs.columns)

@@ -8,6 +8,7 @@ import os
 import tempfile
 import time
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._count = 0
+        self._kept: list[str] = []
         self._swept = time.monotonic()
         atexit.register(self._close)
 
@@ -45,15 +47,24 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
+        self._kept.append(path)
         self.sweep()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-                if folder.replace("file:///", "file:/").startswith(self.base.replace("file:///", "file:/")):
+                if urlsplit(folder).path.startswith(urlsplit(self.base).path + "/"):  # the setting may lack the scheme
                     self._delete(folder)
 
+    def leave(self, *frames: DataFrame) -> None:
+        """Delete all tables kept here but ``frames``, when nothing else is read any more."""
+        still = {os.path.basename(os.path.dirname(f)) for df in frames for f in df.inputFiles()}
+        gone = [p for p in self._kept if os.path.basename(p) not in still]
+        self._kept = [p for p in self._kept if os.path.basename(p) in still]
+        for path in gone:
+            self._delete(path)
+
     def sweep(self) -> None:
         """Let the shuffle files of finished steps go: Spark deletes them once the driver forgets their plans.
 
