@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarmlens.llm.rows import numbered
+from swarmlens.llm.rows import numbered, parted
 from swarmlens.llm.scratch import Scratch
 from swarmlens.llm.sketch import among, hashed, marked_bits
 from swarmlens.llm.wordhash import blocks, mix, power_tables, words
@@ -233,14 +233,15 @@ def _verified(pairs: DataFrame, said: DataFrame) -> DataFrame:
     return both.where(same).select("at", "with")
 
 
-def _matched(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def _matched(pairs: DataFrame, texts: DataFrame, scratch: Scratch, made_of: tuple[DataFrame, ...]) -> DataFrame:
     """(doc_id, row, line) of the lines that one of their ``pairs`` bears out whose partner stays.
 
     The first partner of each is compared; where that fails, or goes itself,
-    all of them are.
+    all of them are.  ``made_of`` are the tables that both come from, which nothing else reads.
     """
     pairs = scratch.keep(pairs, "pairs")
     texts = scratch.keep(texts.select(F.struct("doc_id", "row", "line").alias("at"), "words", "n").dropDuplicates(["at"]), "texts")
+    scratch.drop(*made_of)
     first = pairs.groupBy("at").agg(F.min(F.struct("with", "place", "kind")).alias("p")).select("at", "p.*")
     first = scratch.keep(first, "first-partners")
     good = scratch.keep(_verified(first, texts), "verified")
@@ -288,6 +289,7 @@ def dropped_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     count = scratch.keep(lines.select("doc_id", "row", "line"), "numbers")
     scratch.drop(first, alike, lines)
     texts = _variants(docs, rows_of, near, scratch)
+    scratch.drop(near)
     at = F.struct("doc_id", "row", "line").alias("at")
     # the line's own hash is at place -1
     each = texts.select(at, F.posexplode("variants").alias("place", "variant")).withColumn("place", F.col("place") - 1)
@@ -319,7 +321,7 @@ def dropped_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     met = scratch.keep(some.select(at, "variant", "place").join(useful, ["variant", "place"]), "met")
     fellow = met.where("earliest < at").select("at", F.col("earliest").alias("with"), "place", F.lit(0).alias("kind"))
     longer = met.where("line_at < at").select("at", F.col("line_at").alias("with"), "place", F.lit(1).alias("kind"))
-    near_lines = _matched(fellow.unionByName(longer).unionByName(shorter), texts, scratch)
+    near_lines = _matched(fellow.unionByName(longer).unionByName(shorter), texts, scratch, (texts, met, useful))
     return count, scratch.keep(again.unionByName(near_lines).distinct(), "dropped")
 
 
@@ -353,29 +355,37 @@ def without_repeated_lines(docs: DataFrame, scratch: Scratch | None = None) -> D
     texts each loses its own matched lines; null texts stay as they are, and an
     empty table gives no rows.
     """
+    own = scratch is None
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     _, dropped = dropped_lines(docs, scratch)
     gone = dropped.groupBy("doc_id", "row").agg(F.concat(F.array(F.lit(-1)), F.array_sort(F.collect_set("line"))).alias("gone")).withColumnRenamed("doc_id", "key")
     gone = scratch.keep(gone, "gone-lines")
+    if own:
+        scratch.leave(gone)
     rows, place = numbered(docs)
-    # split below the join, so that the texts are split once and not for every piece
-    rows = rows.withColumn("lines", F.split(place["text"], "\n")).withColumn("hash", F.xxhash64(place["text"]))
+    rows, whole = parted(rows, rows[place["doc_id"]].cast("long"), gone.select("key"))
+    rows = rows.withColumn("hash", F.xxhash64(place["text"]))
     same = rows[place["doc_id"]].cast("long").eqNullSafe(F.col("key"))
     rows = rows.join(gone.where("row = 0").select("key", "gone"), same, "left").drop("key")
     told = gone.where("row <> 0").select("key", "row", F.col("gone").alias("told"))  # rows that share a doc_id with others
     rows = rows.join(told, rows[place["doc_id"]].cast("long").eqNullSafe(F.col("key")) & (rows["hash"] == told["row"]), "left").withColumn("gone", F.coalesce("gone", "told")).drop("key", "row", "told")
 
-    def piece(k):
-        before = F.get("gone", k)
-        return F.slice("lines", before + 2, F.coalesce(F.get("gone", k + 1), F.size("lines")) - before - 1)
+    def kept_of(lines):
+        def piece(k):
+            before = F.get("gone", k)
+            return F.slice(lines, before + 2, F.coalesce(F.get("gone", k + 1), F.size(lines)) - before - 1)
 
-    left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone") - 1), piece)), "\n")
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone") - 1), piece)), "\n")
+
+    # split above the join, which then shuffles each text once; as an argument, so that it is split once and not for every piece
+    left = F.get(F.transform(F.array(F.split(place["text"], "\n")), kept_of), F.lit(0))
     rows = rows.withColumn("left", F.when(F.col("gone").isNull(), F.col(place["text"])).otherwise(left))
     rows = rows.where(F.col("gone").isNull() | F.col("left").rlike("[^\\x20\\x09-\\x0D]"))
     changed = {place["text"]: F.col("left")}
     if "n_chars" in place:
         changed[place["n_chars"]] = F.length("left").cast(dict(docs.dtypes)["n_chars"])
-    return rows.withColumns(changed).select(*place.values()).toDF(*docs.columns)
+    rows = rows.withColumns(changed).select(*place.values())
+    return (rows if whole is None else rows.unionByName(whole)).toDF(*docs.columns)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
